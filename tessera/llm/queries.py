@@ -11,6 +11,21 @@ from tessera.llm.bpe import default_tokenizer
 from tessera.llm.tables import new_path, read
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(quality.remainder("doc_id", 4) != 2), "quality")
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (quality.remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import report, scan
+
+    return report(scan(read(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import read_token_files, with_checksum, write_token_files
 
@@ -31,5 +46,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), default_tokenizer(), end_id=0, capacity=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_files, op5_decontaminate, op7_packing)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality, toxicity
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(quality.remainder("doc_id", 5) != 0), "toxic")
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op7_packing, op9_toxicity, op10_html_text)}
 ORACLES: dict[str, str] = {}
