@@ -11,6 +11,12 @@ from tessera.llm.bpe import default_tokenizer
 from tessera.llm.tables import new_path, read
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.recompress import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
 
@@ -61,5 +67,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op7_packing, op9_toxicity, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op7_packing, op9_toxicity, op10_html_text)}
 ORACLES: dict[str, str] = {}
