@@ -46,12 +46,24 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op6_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_copies import near_embeddings
+
+    return near_embeddings(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(read(spark, sf_dir, "documents"), default_tokenizer(), end_id=0, capacity=2048)
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_copies import near_copies
+
+    return near_copies(read(spark, sf_dir, "documents"), percent=75)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality, toxicity
 
@@ -67,5 +79,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op7_packing, op9_toxicity, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op6_embedding_copies, op7_packing, op8_near_copies, op9_toxicity, op10_html_text)}
 ORACLES: dict[str, str] = {}
