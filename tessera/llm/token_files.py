@@ -74,7 +74,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.alias("t").join(totals.select(F.col("shard").alias("earlier"), F.col("total").alias("part")), F.col("earlier") < F.col("shard"), "left")
     bases = before.groupBy("shard").agg(F.coalesce(F.sum("part"), F.lit(0)).alias("base"))
-    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("shard_offset")).alias("start"), "n_tokens", "ids")
+    # One row per file: as many as the shards of the write, so they may go to every task.
+    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_offset")).alias("start"), "n_tokens", "ids")
 
 
 def with_checksum(rows: DataFrame) -> DataFrame:
