@@ -172,12 +172,14 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The given columns of every row, with its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*columns).schema.add("score", "double")
+    text = "text" if "text" in columns else "scored_text"
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in slices(batch, "scored_text"):
-                offsets, terms, counts, _ = term_counts(part.column("scored_text"))
+            for part in slices(batch, text):
+                offsets, terms, counts, _ = term_counts(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(known.score(known.embed(offsets, terms, counts)), pa.float64())], [*columns, "score"])
 
-    return docs.select(*columns, F.col("text").alias("scored_text")).mapInArrow(rate, schema)
+    needed = [] if text == "text" else [F.col("text").alias(text)]
+    return docs.select(*columns, *needed).mapInArrow(rate, schema)
