@@ -1,45 +1,5 @@
-"""Reading input tables, and intermediate tables in the folder that the whole cluster shares."""
+"""Tables of the input folder and of the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from tessera.sources.tables import drop, new_path, read, shared_dir, store
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def store(frame: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
-    spark = frame.sparkSession
-    path = new_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def drop(frame: DataFrame) -> None:
-    """Delete a table that store() wrote, once nothing reads it any more."""
-    spark = frame.sparkSession
-    for path in {p.rpartition("/")[0] for p in frame.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["drop", "new_path", "read", "shared_dir", "store"]
