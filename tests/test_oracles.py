@@ -25,7 +25,7 @@ def rows(columns, data):
     return sorted(columns), Counter(tuple(r[i] for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, sf_dir, name):
     frame = QUERIES[name](spark, sf_dir)
     want = db.execute(ORACLES[name])
