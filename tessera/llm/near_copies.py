@@ -189,13 +189,18 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
         crossing = x.join(y, "node").filter("a < b AND c_a <> c_b").select("a", "b")
         grown.append(store(_similar(_plausible(crossing, classes, percent), texts, percent), "links"))
         large = left.filter(F.col("size") > SMALL)
+        drop(members)
         if depth == DEPTH or large.isEmpty():
+            drop(left)
             break
         members = store(_shared(_branches(large.select("node", "rep"), classes, depth)), "nodes")
+        drop(left)
         pivots = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         grown.append(store(_similar(_plausible(pivots, classes, percent), texts, percent), "links"))
 
     found = components(_all(grown))
+    for done in (texts, *grown):
+        drop(done)
     placed = classes.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(k if k != "n_shingles" else "n").alias(k) for k in keys), F.coalesce("component", "rep").alias("component"))
     rows = sketches.select("doc_id", *keys).join(placed, keys, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
