@@ -39,6 +39,8 @@ SIGNATURE = 48
 TREES = 12
 SMALL = 48
 DEPTH = 8
+#: Seven bits of each token: enough to tell how far two signatures agree.
+SKETCH = "transform(signature, x -> cast(shiftright(x, 20) & 127 AS tinyint))"
 #: Signatures that agree in fewer places than this share are not compared further.
 LEAST_AGREEMENT = 0.5
 
@@ -123,20 +125,27 @@ def _branches(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     return members.join(classes.select("rep", "signature"), "rep").select(F.explode(F.array_distinct(drawn)).alias("node"), "rep")
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Members of nodes with several classes, with the node's size and smallest class."""
-    nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-    return members.join(nodes, "node")
+def _shared(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of nodes with several classes, with the node's size and smallest class, its pivot.
 
+    Nodes of one class, which most are, go before the rest gets its sizes and sketches.
+    """
+    nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    full = members.join(nodes, "node").join(classes.select("rep", "n", "sketch"), "rep")
+    pivots = full.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("pivot"))
+    return full.join(pivots, "node")
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) whose sizes and signatures allow the similarity."""
-    side = classes.select("rep", "n", "signature")
-    a = side.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    b = side.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    sized = pairs.distinct().join(a, "a").join(b, "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree >= LEAST_AGREEMENT * SIGNATURE))
-    return sized.select("a", "b")
+
+def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of (rep, n, sketch) whose sizes and sketches allow the similarity."""
+    sized = pairs.filter(100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    agree = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
+    return sized.filter(agree >= LEAST_AGREEMENT * SIGNATURE).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+
+
+def _with_pivot(members: DataFrame) -> DataFrame:
+    """Pairs of each node's pivot with its other classes."""
+    return members.filter("rep <> pivot.rep").select(F.col("pivot").alias("a"), F.struct("rep", "n", "sketch").alias("b"))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -170,33 +179,31 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     keys = ["high", "low", "n_shingles"]
     named = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # min_by with the smallest doc_id: the signature is the same for the whole class.
-    classes = store(named.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).withColumnRenamed("n_shingles", "n"), "classes")
-    members = store(_shared(_roots(classes)), "nodes")
+    classes = store(named.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).withColumnRenamed("n_shingles", "n").withColumn("sketch", F.expr(SKETCH)), "classes")
+    members = store(_shared(_roots(classes), classes), "nodes")
     active = members.select("rep").distinct()
     texts = store(docs.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi"), "texts")
 
-    links = store(_similar(_plausible(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), classes, percent), texts, percent), "links")
+    links = store(_similar(_plausible(_with_pivot(members), percent), texts, percent), "links")
     grown = [links]
     for depth in range(1, DEPTH + 1):
         found = components(_all(grown))
-        placed = members.select("node", "rep", "size").join(found, F.col("rep") == F.col("id"), "left").select("node", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        placed = members.drop("pivot").join(found, F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
         open_nodes = placed.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("node")
         left = store(placed.join(open_nodes, "node", "left_semi"), "open")
         drop(found)
         small = left if depth == DEPTH else left.filter(F.col("size") <= SMALL)
-        x = small.select("node", F.col("rep").alias("a"), F.col("component").alias("c_a"))
-        y = small.select("node", F.col("rep").alias("b"), F.col("component").alias("c_b"))
-        crossing = x.join(y, "node").filter("a < b AND c_a <> c_b").select("a", "b")
-        grown.append(store(_similar(_plausible(crossing, classes, percent), texts, percent), "links"))
+        x, y = (small.select("node", F.struct("rep", "n", "sketch").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
+        crossing = x.join(y, "node").filter("a.rep < b.rep AND c_a <> c_b")
+        grown.append(store(_similar(_plausible(crossing, percent), texts, percent), "links"))
         large = left.filter(F.col("size") > SMALL)
         drop(members)
         if depth == DEPTH or large.isEmpty():
             drop(left)
             break
-        members = store(_shared(_branches(large.select("node", "rep"), classes, depth)), "nodes")
+        members = store(_shared(_branches(large.select("node", "rep"), classes, depth), classes), "nodes")
         drop(left)
-        pivots = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        grown.append(store(_similar(_plausible(pivots, classes, percent), texts, percent), "links"))
+        grown.append(store(_similar(_plausible(_with_pivot(members), percent), texts, percent), "links"))
 
     found = components(_all(grown))
     for done in (texts, *grown):
