@@ -121,6 +121,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+def _right_singular(matrix: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors, by block power iteration from a fixed start."""
+    rank = min(rank, *matrix.shape)
+    basis = np.random.default_rng(7).normal(size=(matrix.shape[1], rank)).astype(np.float32)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
+    return basis.astype(np.float32)
+
+
 def labelled_counts(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> list:
     """Term counts of the bounded sample; only they, not the texts, reach the driver."""
     chosen = (
@@ -154,15 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     weight = np.where(frequency > 0, np.log((1 + len(rows)) / (1 + frequency)) + 0.3, 0)
     dense = np.zeros((len(rows), TERMS), np.float32)
     dense[_rows(offsets), terms] = _damped(offsets, counts) * weight[terms]
-    # The right singular vectors, from the smaller of the two Gram matrices.
-    if len(rows) < TERMS:
-        value, left = np.linalg.eigh((dense @ dense.T).astype(float))
-        top = np.argsort(value)[::-1][:RANK]
-        top = top[value[top] > 1e-9 * max(value.max(), 1e-30)]
-        basis = (dense.T @ left[:, top] / np.sqrt(value[top])).astype(np.float32)
-    else:
-        value, right = np.linalg.eigh((dense.T @ dense).astype(float))
-        basis = right[:, np.argsort(value)[::-1][:RANK]].astype(np.float32)
+    basis = _right_singular(dense, RANK)
     model = Model(weight, basis, np.zeros((0, basis.shape[1]), np.float32), y, float(y.mean()))
     model.vectors = model.embed(offsets, terms, counts)
     return model
