@@ -28,18 +28,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("m").alias("b")))
 
 
+def _digest(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every node of an edge (a, b), the smallest node it is connected with."""
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     now = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
+    seen = _digest(now)
+    while seen[0]:
         after = store(_small_star(_large_star(now)).distinct(), "edges")
         drop(now)
-        now = after
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if row == seen:
+        now, before = after, seen
+        seen = _digest(now)
+        if seen == before:
             break
-        seen = row
     # Now every node but the smallest has one edge, to the smallest.
     return store(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")

@@ -172,6 +172,36 @@ def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+class Links:
+    """Similar pairs found so far, and their components, which are only made anew when pairs came."""
+
+    def __init__(self, texts: DataFrame, percent: int):
+        self.texts, self.percent = texts, percent
+        self.tables: list[DataFrame] = []
+        self.known: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        chosen = store(_plausible(pairs, self.percent), "pairs")
+        if not chosen.isEmpty():
+            found = store(_similar(chosen, self.texts, self.percent), "links")
+            if not found.isEmpty():
+                self.tables.append(found)
+                self.known = None
+        drop(chosen)
+
+    def components(self) -> DataFrame:
+        if self.known is None:
+            edges = self.texts.sparkSession.createDataFrame([], "a long, b long")
+            for table in self.tables:
+                edges = edges.union(table)
+            self.known = components(edges)
+        return self.known
+
+    def drop(self) -> None:
+        for table in self.tables:
+            drop(table)
+
+
 def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,38 +214,27 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     active = members.select("rep").distinct()
     texts = store(docs.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi"), "texts")
 
-    links = store(_similar(_plausible(_with_pivot(members), percent), texts, percent), "links")
-    grown = [links]
+    links = Links(texts, percent)
+    links.add(_with_pivot(members))
     for depth in range(1, DEPTH + 1):
-        found = components(_all(grown))
-        placed = members.drop("pivot").join(found, F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
+        placed = members.drop("pivot").join(links.components(), F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
         open_nodes = placed.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("node")
         left = store(placed.join(open_nodes, "node", "left_semi"), "open")
-        drop(found)
+        drop(members)
         small = left if depth == DEPTH else left.filter(F.col("size") <= SMALL)
         x, y = (small.select("node", F.struct("rep", "n", "sketch").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
-        crossing = x.join(y, "node").filter("a.rep < b.rep AND c_a <> c_b")
-        grown.append(store(_similar(_plausible(crossing, percent), texts, percent), "links"))
-        large = left.filter(F.col("size") > SMALL)
-        drop(members)
+        links.add(x.join(y, "node").filter("a.rep < b.rep AND c_a <> c_b"))
+        large = left.filter(F.col("size") > SMALL).select("node", "rep")
         if depth == DEPTH or large.isEmpty():
             drop(left)
             break
-        members = store(_shared(_branches(large.select("node", "rep"), classes, depth), classes), "nodes")
+        members = store(_shared(_branches(large, classes, depth), classes), "nodes")
         drop(left)
-        grown.append(store(_similar(_plausible(_with_pivot(members), percent), texts, percent), "links"))
-
-    found = components(_all(grown))
-    for done in (texts, *grown):
-        drop(done)
+        links.add(_with_pivot(members))
+    found = links.components()
+    links.drop()
+    drop(texts)
     placed = classes.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(k if k != "n_shingles" else "n").alias(k) for k in keys), F.coalesce("component", "rep").alias("component"))
     rows = sketches.select("doc_id", *keys).join(placed, keys, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.union(more)
-    return out
