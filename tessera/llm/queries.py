@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import default_tokenizer
+from tessera.llm.oracles import ORACLES
 from tessera.llm.tables import new_path, read
 
 
@@ -85,5 +86,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op6_embedding_copies, op7_packing, op8_near_copies, op9_toxicity, op10_html_text, pipeline)}
-ORACLES: dict[str, str] = {}
