@@ -110,7 +110,7 @@ def _positions(tree: int) -> list[int]:
 def _roots(classes: DataFrame) -> DataFrame:
     """(node, rep): the first nodes of every class in every tree."""
     nodes = [F.xxhash64(F.lit(tree), F.lit(p), F.col("signature")[p]) for tree in range(TREES) for p in _positions(tree)]
-    return classes.select(F.explode(F.array(*nodes)).alias("node"), "rep")
+    return classes.select(F.explode(F.array(*nodes)).alias("node"), "rep", F.col("rep").alias("component"))
 
 
 def _branches(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _branches(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
 
     third = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(3)) == 0
     drawn = F.when(third, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-    return members.join(classes.select("rep", "signature"), "rep").select(F.explode(F.array_distinct(drawn)).alias("node"), "rep")
+    return members.join(classes.select("rep", "signature"), "rep").select(F.explode(F.array_distinct(drawn)).alias("node"), "rep", "component")
 
 
 def _shared(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _shared(members: DataFrame, classes: DataFrame) -> DataFrame:
     """
     nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     full = members.join(nodes, "node").join(classes.select("rep", "n", "sketch"), "rep")
-    pivots = full.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("pivot"))
+    pivots = full.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch", "component")).alias("pivot"))
     return full.join(pivots, "node")
 
 
@@ -144,8 +144,8 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_pivot(members: DataFrame) -> DataFrame:
-    """Pairs of each node's pivot with its other classes."""
-    return members.filter("rep <> pivot.rep").select(F.col("pivot").alias("a"), F.struct("rep", "n", "sketch").alias("b"))
+    """Pairs of each node's pivot with its classes of other components."""
+    return members.filter("component <> pivot.component").select(F.col("pivot").alias("a"), F.struct("rep", "n", "sketch").alias("b"))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -167,27 +167,38 @@ def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 at = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
 
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = texts.join(needed, "rep", "left_semi")
     a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
 class Links:
-    """Similar pairs found so far, and their components, which are only made anew when pairs came."""
+    """Similar pairs found so far, and their components, which are only made anew when pairs came.
+
+    Pairs compared before are not compared again.
+    """
 
     def __init__(self, texts: DataFrame, percent: int):
         self.texts, self.percent = texts, percent
         self.tables: list[DataFrame] = []
+        self.compared: list[DataFrame] = []
         self.known: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> None:
-        chosen = store(_plausible(pairs, self.percent), "pairs")
-        if not chosen.isEmpty():
-            found = store(_similar(chosen, self.texts, self.percent), "links")
-            if not found.isEmpty():
-                self.tables.append(found)
-                self.known = None
-        drop(chosen)
+        new = _plausible(pairs, self.percent)
+        for before in self.compared:
+            new = new.join(before, ["a", "b"], "left_anti")
+        chosen = store(new, "pairs")
+        if chosen.isEmpty():
+            drop(chosen)
+            return
+        self.compared.append(chosen)
+        found = store(_similar(chosen, self.texts, self.percent), "links")
+        if not found.isEmpty():
+            self.tables.append(found)
+            self.known = None
 
     def components(self) -> DataFrame:
         if self.known is None:
@@ -198,7 +209,7 @@ class Links:
         return self.known
 
     def drop(self) -> None:
-        for table in self.tables:
+        for table in (*self.tables, *self.compared):
             drop(table)
 
 
@@ -208,7 +219,7 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = store(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, high long, low long, signature array<long>"), "sketches")
     keys = ["high", "low", "n_shingles"]
     named = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # min_by with the smallest doc_id: the signature is the same for the whole class.
+    # The signature is the same for the whole class.
     classes = store(named.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).withColumnRenamed("n_shingles", "n").withColumn("sketch", F.expr(SKETCH)), "classes")
     members = store(_shared(_roots(classes), classes), "nodes")
     active = members.select("rep").distinct()
@@ -217,14 +228,14 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = Links(texts, percent)
     links.add(_with_pivot(members))
     for depth in range(1, DEPTH + 1):
-        placed = members.drop("pivot").join(links.components(), F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
+        placed = members.drop("pivot", "component").join(links.components(), F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
         open_nodes = placed.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("node")
         left = store(placed.join(open_nodes, "node", "left_semi"), "open")
         drop(members)
         small = left if depth == DEPTH else left.filter(F.col("size") <= SMALL)
         x, y = (small.select("node", F.struct("rep", "n", "sketch").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
         links.add(x.join(y, "node").filter("a.rep < b.rep AND c_a <> c_b"))
-        large = left.filter(F.col("size") > SMALL).select("node", "rep")
+        large = left.filter(F.col("size") > SMALL).select("node", "rep", "component")
         if depth == DEPTH or large.isEmpty():
             drop(left)
             break
