@@ -18,11 +18,10 @@ KEYS = ["l_partkey", "l_suppkey"]
 HIERARCHY = ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey"]
 
 
-def query(sql: str | None = None):
+def query(sql: str, name: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        QUERIES[name or f.__name__] = f
+        ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -86,8 +85,8 @@ def adjacent_dup_flag(spark, sf_dir):
 # --- ordinals and windows --------------------------------------------------------------------------
 
 
-@query("SELECT l_partkey, l_suppkey, n, CAST(sum(n) OVER (ORDER BY l_partkey, l_suppkey) - n AS BIGINT) AS before FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)")
-def exclusive_prefix_sums(spark, sf_dir):
+@query("SELECT l_partkey, l_suppkey, n, CAST(sum(n) OVER (ORDER BY l_partkey, l_suppkey) - n AS BIGINT) AS before FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)", "exclusive_prefix_sum")
+def lines_before(spark, sf_dir):
     return exclusive_prefix_sum(lines(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS, F.col("n"), "before")
 
 
@@ -105,10 +104,10 @@ def cumulative_sum(spark, sf_dir):
 def lead_span(spark, sf_dir):
     rows = lines(spark, sf_dir)
     index = nested_index.level(rows, HIERARCHY, 2)
-    total = index.agg(F.sum("children").alias("total"))
     # As many groups as there are pairs of flag and status.
-    ends = F.lead("offset").over(Window.orderBy("l_returnflag", "l_linestatus"))
-    return index.crossJoin(F.broadcast(total)).select("l_returnflag", "l_linestatus", "offset", F.coalesce(ends, "total").alias("end"))
+    order = Window.orderBy("l_returnflag", "l_linestatus")
+    total = F.sum("children").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return index.select("l_returnflag", "l_linestatus", "offset", F.coalesce(F.lead("offset").over(order), total).alias("end"))
 
 
 @query(
@@ -484,6 +483,13 @@ def eta_projection(spark, sf_dir):
     return levels.withColumn("total", total).select("level", F.expr("CASE WHEN done = 0 THEN NULL ELSE (total - done) * 100 div done END").alias("eta"))
 
 
+@query(SUMMARY + "SELECT level, uniq, coalesce(lag(dups * 1000 // generated) OVER (ORDER BY level), 500) AS share_before FROM (SELECT *, generated - uniq AS dups FROM s)")
+def level_eta_split(spark, sf_dir):
+    """The share of merging in the level before, in thousandths; half where there is none."""
+    share = F.expr("(generated - uniq) * 1000 div generated")
+    return _levels(spark, sf_dir).withColumn("share", share).select("level", "uniq", F.coalesce(F.lag("share").over(Window.orderBy("level")), F.lit(500)).alias("share_before"))
+
+
 @query(SUMMARY + "SELECT concat_ws(' |', lpad(CAST(level AS VARCHAR), 8, ' '), lpad(CAST(generated AS VARCHAR), 12, ' '), lpad(CAST(uniq AS VARCHAR), 12, ' ')) AS line FROM s")
 def fixed_width_row(spark, sf_dir):
     cells = [F.lpad(F.col(c).cast("string"), n, " ") for c, n in (("level", 8), ("generated", 12), ("uniq", 12))]
