@@ -38,7 +38,7 @@ SHINGLE = 5
 SIGNATURE = 48
 TREES = 12
 SMALL = 48
-DEPTH = 8
+DEPTH = 5
 #: Seven bits of each token: enough to tell how far two signatures agree.
 SKETCH = "transform(signature, x -> cast(shiftright(x, 20) & 127 AS tinyint))"
 #: Signatures that agree in fewer places than this share are not compared further.
@@ -227,6 +227,7 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     links = Links(texts, percent)
     links.add(_with_pivot(members))
+    branching = classes
     for depth in range(1, DEPTH + 1):
         placed = members.drop("pivot", "component").join(links.components(), F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
         open_nodes = placed.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("node")
@@ -239,12 +240,19 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
         if depth == DEPTH or large.isEmpty():
             drop(left)
             break
-        members = store(_shared(_branches(large, classes, depth), classes), "nodes")
+        # Only the classes in large nodes go on.
+        rest = store(branching.join(large.select("rep").distinct(), "rep", "left_semi"), "branching")
+        members = store(_shared(_branches(large, rest, depth), rest), "nodes")
         drop(left)
+        if branching is not classes:
+            drop(branching)
+        branching = rest
         links.add(_with_pivot(members))
     found = links.components()
     links.drop()
     drop(texts)
+    if branching is not classes:
+        drop(branching)
     placed = classes.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(k if k != "n_shingles" else "n").alias(k) for k in keys), F.coalesce("component", "rep").alias("component"))
     rows = sketches.select("doc_id", *keys).join(placed, keys, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))

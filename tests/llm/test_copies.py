@@ -74,7 +74,7 @@ def planted(seed, groups, size, words=60):
     return [(int(i), rows[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize(("groups", "size", "small"), [(30, 6, 48), (3, 60, 8), (40, 12, 4)])
+@pytest.mark.parametrize(("groups", "size", "small"), [(30, 6, 48), (3, 60, 8)])
 def test_planted_groups_equal_brute_force(spark, monkeypatch, groups, size, small):
     monkeypatch.setattr(near_copies, "SMALL", small)
     rows = planted(groups, groups, size)
