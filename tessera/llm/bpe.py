@@ -45,7 +45,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """Words with their ids, kept side by side; when there are too many, the half used last stays."""
 
-    def __init__(self, path: str, cached_words: int = 600_000):
+    def __init__(self, path: str, cached_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -40,7 +40,7 @@ from tessera.llm.text import U64, Words, grams, joined, mix, split
 STEPS = ("runs", "pairs", "pairs")
 #: Words on either side of a meeting of symbols that name it; they contain all that decides it.
 CONTEXT = 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _NULL_DOC = -(1 << 63)
 FAR = np.int64(1) << 40

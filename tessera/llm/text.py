@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one kernel call works on; a longer document is taken on its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

@@ -27,7 +27,7 @@ from tessera.llm.text import slices
 FILE_SCHEMA = T.StructType(
     [T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("shard_offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
-TOKEN_SLICE = 8 << 20
+TOKEN_SLICE = 3 << 20
 
 
 def encode_with_end(tokenizer: str, end_id: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
