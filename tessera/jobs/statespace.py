@@ -149,30 +149,72 @@ def reversi_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(rows, 4).groupBy(*BOARD).agg(F.count("*").alias("times"))
 
 
+CELLS4 = [(r, c) for r in range(2, 6) for c in range(2, 6)]
+
+
+def _bit(r: int, c: int) -> int:
+    return 1 << (63 - 8 * r - c)
+
+
+def _ways(r: int, c: int) -> list[tuple[int, int]]:
+    """(cells between, last cell) of all lines from a cell: a move turns the first if the last is own."""
+    out = []
+    for dr in (-1, 0, 1):
+        for dc in (-1, 0, 1):
+            between, rr, cc = 0, r + dr, c + dc
+            while (dr, dc) != (0, 0) and (rr, cc) in CELLS4:
+                if between:
+                    out.append((between, _bit(rr, cc)))
+                between |= _bit(rr, cc)
+                rr, cc = rr + dr, cc + dc
+    return out
+
+
+def _boards_sql() -> str:
+    spread = "(o_orderkey * 2654435761 + o_custkey * 40503)"
+    base = f"SELECT o_orderkey, o_orderkey % 2 AS player, (xor({spread}, ({spread} >> 7) * 97) & {int(boards.board_mask(4))}) | {0x1818000000} AS occ, (({spread} * 31) >> 3) AS raw FROM orders"
+    return f"b AS ({base}), c AS (SELECT o_orderkey, player, occ, raw & occ AS col FROM b)"
+
+
+SIDES = "CASE WHEN player = 1 THEN col ELSE xor(col, occ) END AS own, CASE WHEN player = 1 THEN xor(col, occ) ELSE col END AS other"
+
+
+def _moves(own: str, other: str) -> str:
+    cells = []
+    for cell in CELLS4:
+        ways = " OR ".join(f"(({other} & {between}) = {between} AND ({own} & {end}) <> 0)" for between, end in _ways(*cell))
+        cells.append(f"CASE WHEN (occ & {_bit(*cell)}) = 0 AND ({ways}) THEN {_bit(*cell)} ELSE 0 END")
+    return f"CAST({' + '.join(cells)} AS BIGINT)"
+
+
 def moves_sql() -> str:
     """Legal moves by cell: a move is a line of cells, all but the ends the opponent's, the last one own."""
-    mask = int(boards.board_mask(4))
-    spread = "(o_orderkey * 2654435761 + o_custkey * 40503)"
-    base = f"SELECT o_orderkey, o_orderkey % 2 AS player, (xor({spread}, ({spread} >> 7) * 97) & {mask}) | {0x1818000000} AS occ, (({spread} * 31) >> 3) AS raw FROM orders"
-    lines = []
-    for r in range(2, 6):
-        for c in range(2, 6):
-            bit = 1 << (63 - 8 * r - c)
-            ways = []
-            for dr in (-1, 0, 1):
-                for dc in (-1, 0, 1):
-                    between = 0
-                    for n in range(1, 4):
-                        rr, cc = r + n * dr, c + n * dc
-                        if (dr, dc) == (0, 0) or not (2 <= rr <= 5 and 2 <= cc <= 5):
-                            break
-                        cell = 1 << (63 - 8 * rr - cc)
-                        if between:
-                            ways.append(f"((other & {between}) = {between} AND (own & {cell}) <> 0)")
-                        between |= cell
-            lines.append(f"CASE WHEN (occ & {bit}) = 0 AND ({' OR '.join(ways)}) THEN {bit} ELSE 0 END")
-    return f"WITH b AS ({base}), c AS (SELECT *, raw & occ AS col FROM b), s AS (SELECT *, CASE WHEN player = 1 THEN col ELSE xor(col, occ) END AS own, CASE WHEN player = 1 THEN xor(col, occ) ELSE col END AS other FROM c) SELECT o_orderkey, occ, col, CAST({' + '.join(lines)} AS BIGINT) AS moves FROM s"
+    return f"WITH {_boards_sql()}, s AS (SELECT *, {SIDES} FROM c) SELECT o_orderkey, occ, col, {_moves('own', 'other')} AS moves FROM s"
+
+
+def children_sql() -> str:
+    """Every move of every board cell by cell, and the smallest of the sixteen equivalent boards."""
+    turned = " ".join(f"WHEN {_bit(*cell)} THEN " + " + ".join(f"CASE WHEN (other & {between}) = {between} AND (own & {end}) <> 0 THEN {between} ELSE 0 END" for between, end in _ways(*cell)) for cell in CELLS4)
+    shapes = []
+    for swap in (False, True):
+        for flip_r in (False, True):
+            for flip_c in (False, True):
+                to = {(r, c): (7 - x if flip_r else x, 7 - y if flip_c else y) for r, c in CELLS4 for x, y in [(c, r) if swap else (r, c)]}
+                o, k = (" + ".join(f"CASE WHEN ({v} & {_bit(*cell)}) <> 0 THEN {_bit(*to[cell])} ELSE 0 END" for cell in CELLS4) for v in ("occ2", "col2"))
+                shapes.append(f"{{'o': CAST({o} AS BIGINT), 'c': CAST({k} AS BIGINT)}}")
+    return (
+        f"WITH {_boards_sql()}, s AS (SELECT DISTINCT player, occ, col, {SIDES} FROM c), m AS (SELECT *, {_moves('own', 'other')} AS first_moves, {_moves('other', 'own')} AS passed_moves FROM s), "
+        "d AS (SELECT occ, CASE WHEN first_moves <> 0 THEN player ELSE 1 - player END AS mover, CASE WHEN first_moves <> 0 THEN first_moves ELSE passed_moves END AS moves, "
+        "CASE WHEN first_moves <> 0 THEN own ELSE other END AS own, CASE WHEN first_moves <> 0 THEN other ELSE own END AS other FROM m), "
+        f"e AS (SELECT d.*, cell FROM d, unnest([{', '.join(str(_bit(*cell)) for cell in CELLS4)}]) t(cell) WHERE (moves & cell) <> 0), "
+        f"f AS (SELECT *, CAST(CASE cell {turned} END AS BIGINT) AS turned FROM e), "
+        "g AS (SELECT occ | cell AS occ2, CASE WHEN mover = 1 THEN own | cell | turned ELSE xor(occ | cell, own | cell | turned) END AS col2, 1 - mover AS player2 FROM f), "
+        f"h AS (SELECT player2, unnest([{', '.join(shapes)}]) AS x, row_number() OVER () AS n FROM g), "
+        "k AS (SELECT n, unnest([{'o': x.o, 'c': x.c, 'late': 1 - player2}, {'o': x.o, 'c': xor(x.c, x.o), 'late': player2}]) AS y FROM h), "
+        "l AS (SELECT n, min(y) AS y FROM k GROUP BY n) "
+        "SELECT CAST(1 - y.late AS TINYINT) AS player, y.o AS occ, y.c AS col, count(*) AS times FROM l GROUP BY ALL"
+    )
 
 
 QUERIES = {"reversi_moves": reversi_moves, "reversi_children": reversi_children}
-ORACLES = {"reversi_moves": moves_sql()}
+ORACLES = {"reversi_moves": moves_sql(), "reversi_children": children_sql()}
