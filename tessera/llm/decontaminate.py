@@ -13,7 +13,6 @@ lower-cased in A-Z.  Nulls and texts without words have no windows; repeated ite
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -138,7 +137,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
         shared = spark.sparkContext.broadcast((index.order(count_shingles(docs, index)), names))
         passes.append(docs.mapInArrow(_search(shared, window), FOUND))
     if chunks == 1:
-        return passes[0].withColumn("hit", F.col("hit"))
+        return passes[0]
     every = passes[0]
     for more in passes[1:]:
         every = every.unionByName(more)
@@ -168,26 +167,19 @@ def _search(shared, window: int):
 
 
 def contamination(found: DataFrame) -> DataFrame:
-    """Count hit words, name the items, and apply the rule 20 * n_hit >= n_words."""
+    """Count hit words, name the items, and apply the rule 20 * n_hit >= n_words.
 
-    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, n_items, digest = [], [], []
-            for hit, items in zip(batch.column("hit").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                covered, end = 0, 0
-                for code in sorted(hit):
-                    s, e = code >> 16, (code >> 16) + (code & 0xFFFF)
-                    covered += max(0, e - max(s, end))
-                    end = max(end, e)
-                names = sorted(set(items))
-                n_hit.append(covered)
-                n_items.append(len(names))
-                digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            words = batch.column("n_words").to_numpy()
-            hits = np.array(n_hit, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(hits), pa.array(n_items, pa.int64()), pa.array(digest), pa.array((hits > 0) & (20 * hits >= words))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return found.mapInArrow(rule, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    Spans are summed up in order of their beginnings, so words in several spans count once.
+    """
+
+    def add(state, code):
+        begin = F.shiftright(code, 16)
+        end = begin + code.bitwiseAND(F.lit(0xFFFF).cast("long"))
+        return F.struct(F.greatest(state["end"], end).alias("end"), (state["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(begin, state["end"]))).alias("n"))
+
+    zero = F.lit(0).cast("long")
+    n_hit = F.aggregate(F.array_sort("hit"), F.struct(zero.alias("end"), zero.alias("n")), add, lambda state: state["n"])
+    names = F.array_sort(F.array_distinct("items"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")
+    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
