@@ -50,17 +50,16 @@ NO_NAME = ~U64(0)
 def top_boundaries(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places between top-level symbols, and how many words around decide each one (its reach).
 
-    symbols are word names and doc their documents; a place i lies before word i.  Reaches at the
-    edges of documents are endless, as the words beyond them differ from copy to copy.
+    symbols are word names and doc their documents; a place i lies before word i.  Words up to the edge
+    of a document are known, so the first merge takes edges as any other place; from then on their
+    reaches are endless, as the words beyond them differ from copy to copy.
     """
     n = len(symbols)
     at = np.arange(n)
     low, high = at.copy(), at.copy()
     edge = np.ones(n, bool)
     edge[1:] = doc[1:] != doc[:-1]
-    low[edge] -= FAR
-    high[edge] += FAR
-    name = symbols
+    name, end = symbols, n
     for turn, step in enumerate(STEPS):
         joins = np.zeros(len(name), bool)
         if step == "runs":  # neighbours of one name become one symbol, named by the name and the length
@@ -68,17 +67,23 @@ def top_boundaries(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
         else:  # a symbol whose coin says left takes in the one behind it whose coin says right
             right = ((mix(name + U64(turn + 1)) >> U64(40)) & U64(1)).astype(bool)
             joins[1:] = ~right[:-1] & right[1:] & ~edge[1:]
-        name, at, low, high, edge = _merge(name, at, low, high, edge, joins, n, turn)
+        name, at, low, high, edge = _merge(name, at, low, high, edge, joins, end, turn)
+        if not turn:
+            low[edge] -= FAR
+            high[edge] += FAR
+            end = n + FAR
     return at, np.where(edge, FAR, np.maximum(at - low, high - at))
 
 
-def _merge(name, at, low, high, edge, joins, n, salt):
-    """Join each symbol marked to the one before; boundaries left also depend on their neighbours."""
+def _merge(name, at, low, high, edge, joins, end, salt):
+    """Join each symbol marked to the one before; boundaries left also depend on their neighbours.
+
+    end is the reach of the place behind the last symbol."""
     if not len(name):
         return name, at, low, high, edge
     before, after = np.empty_like(low), np.empty_like(high)
     before[0], before[1:] = low[0], low[:-1]
-    after[-1], after[:-1] = n + FAR, high[1:]
+    after[-1], after[:-1] = end, high[1:]
     low, high = np.minimum(low, before), np.maximum(high, after)
     starts = np.flatnonzero(~joins)
     sizes = np.diff(np.append(starts, len(name)))

@@ -74,3 +74,21 @@ def test_equal_substrings_are_cut_alike():
         assert (reach[(reach < FAR // 2)] <= 40).all()
         cuts.append({int(a) for a, r in zip(at, reach, strict=True) if a - r >= 7 and a + r <= 67 and r <= CONTEXT})
     assert all(c == cuts[0] for c in cuts) and len(cuts[0]) > 10
+
+
+@pytest.mark.parametrize("length", (13, 14, 20))
+def test_passage_at_an_edge_of_one_document_and_amid_the_other(spark, length):
+    """Pairs of documents, each with a passage of its own, at the start, the end or as the whole of one."""
+    rng = np.random.default_rng(length)
+    rows = []
+    for i in range(600):
+        kinds = int(rng.integers(2, 12)) if i % 2 else 1000  # few words make runs
+        passage = " ".join(f"p{i}x{k}" for k in rng.integers(0, kinds, length))
+        own = [" ".join(f"o{i}{side}{k}" for k in range(20)) for side in "abcd"]
+        edge = (f"{passage} {own[0]}", f"{own[0]} {passage}", passage)[i % 3]
+        pair = [edge, f"{own[2]} {passage} {own[3]}"]
+        rng.shuffle(pair)
+        rows += [(2 * i, str(pair[0])), (2 * i + 1, str(pair[1]))]
+    want = brute(rows)
+    assert all(want[2 * i + 1][1] >= length for i in range(600))
+    assert result(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == want
