@@ -4,7 +4,9 @@ Markup is stripped into lines, one per block of the page; elements that never ho
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) leave blank
 lines behind.  The text lengths of WINDOW lines after each line are summed; where the sum surges from
 nothing the text begins, and where it dives to nothing it ends.  Of the stretches between surges and
-dives, those of the element that holds most text are kept whole, short lines included.
+dives, those of the element that holds most text are kept whole, short lines included.  On pages without
+a main element that is the innermost container with more than half of the text, and all lines from its
+first stretch to its last are kept.
 
 A null page counts as empty and gives an empty text.  An empty table gives no rows.
 """
@@ -34,6 +36,8 @@ MAIN = frozenset(("article", "main"))
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer menu menubar masthead navbar navigation nav newsletter notice notices alert popup modal promo promoted promotion related recommended respond replies reply share sharing sidebar side social sponsor sponsored subscribe toolbar widget pagination pager".split()
 )
+#: Elements that may hold the main text of a page without a main element, if they have several lines.
+CONTAINERS = frozenset("html body div section td center".split())
 COMMENTS = frozenset("comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -63,24 +67,34 @@ class Lines:
         self.rows: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.linked = 0
+        #: The container of each row, and the one around each container; 0 is the page.
+        self.within: list[int] = []
+        self.parents = [0]
+        self.container = 0
 
     def end(self, holder: int) -> None:
         line = " ".join(html.unescape("".join(self.text)).split())
         if line:
             self.rows.append((line, self.linked, holder))
+            self.within.append(self.container)
         self.text, self.linked = [], 0
 
     def gap(self, holder: int) -> None:
         self.end(holder)
         self.rows += [("", 0, holder)] * WINDOW
+        self.within += [self.container] * WINDOW
 
 
 def strip(page: str) -> Lines:
-    """Lines of the page; blank ones stand where elements were dropped or main elements begin or end."""
+    """Lines of the page; blank ones stand where main elements begin or end, or elements of the body were dropped.
+
+    Within a container a dropped element only breaks the line, as text may go on behind it.
+    """
     out = Lines()
     found = list(MARKUP.finditer(page))
     closes = _closing(found)
     at, skip_to, links, mains, holder = 0, -1, 0, 0, 0
+    opened: list[tuple[int, int, bool]] = []  # where the containers end, the ones around, and whether within a block
     for i, tag in enumerate(found):
         if i > skip_to:
             out.text.append(page[at : tag.start()])
@@ -100,12 +114,14 @@ def strip(page: str) -> Lines:
                 holder += not mains
             elif name not in INLINE:
                 out.end(holder)
+            while opened and opened[-1][0] <= i:
+                out.container = opened.pop()[1]
             continue
         if i in closes and dropped(name, tag["rest"], mains > 0):
             skip_to = closes[i]
             if name not in INLINE:
                 out.end(holder)
-                if not mains:
+                if not mains and not (opened and opened[-1][2]):
                     out.gap(holder)
         elif name == "a":
             links += i in closes
@@ -117,6 +133,10 @@ def strip(page: str) -> Lines:
             mains += 1
         elif name not in INLINE:
             out.end(holder)
+            if name in CONTAINERS and i in closes:
+                opened.append((closes[i], out.container, name not in ("html", "body")))
+                out.parents.append(out.container)
+                out.container = len(out.parents) - 1
     out.text.append(page[at:])
     out.end(holder)
     return out
@@ -142,7 +162,8 @@ def main_text(page: str | None) -> str:
     """The page's main text: blocks in page order, joined by a blank line."""
     if not page:
         return ""
-    rows = strip(page).rows
+    lines = strip(page)
+    rows = lines.rows
     weight = [len(line) if _is_main(holder) or linked <= LINK_SHARE * len(line) else 0 for line, linked, holder in rows]
     total: dict[int, int] = {}
     for (_, _, holder), n in zip(rows, weight, strict=True):
@@ -161,17 +182,36 @@ def main_text(page: str | None) -> str:
             end += 1
         stretches.append((i, end, sum(weight[i:end])))
         i = end
-    # A main element is one holder, and all its stretches belong to the text; without one, the
-    # heaviest stretch does.
+    # A main element is one holder, and all its stretches belong to the text; without one, all lines
+    # between the first and the last stretch of the container with most text do.
     held = {rows[s][2] for s, _, _ in stretches if _is_main(rows[s][2])}
     if held:
         holder = max(sorted(held), key=lambda h: total[h])
         chosen = [s for s in stretches if rows[s[0]][2] == holder]
     else:
-        chosen = [max(stretches, key=lambda s: s[2])]
+        inside = _fullest(lines, weight)
+        own = [s for s in stretches if any(inside[lines.within[j]] and weight[j] for j in range(s[0], s[1]))]
+        chosen = [(own[0][0], own[-1][1], 0)]
     return "\n\n".join(rows[j][0] for s, e, _ in chosen for j in range(s, e) if rows[j][0])
 
 
+def _fullest(lines: Lines, weight: list[int]) -> list[bool]:
+    """Which containers are, or lie in, the innermost one of several lines with more than half of the text."""
+    n = len(lines.parents)
+    text, count = [0] * n, [0] * n
+    for k, w in zip(lines.within, weight, strict=True):
+        text[k] += w
+        count[k] += w > 0
+    for k in range(n - 1, 0, -1):
+        text[lines.parents[k]] += text[k]
+        count[lines.parents[k]] += count[k]
+    best = max((k for k in range(n) if 2 * text[k] > text[0] and count[k] > 1), default=0)
+    inside = [k == best for k in range(n)]
+    for k in range(best + 1, n):
+        inside[k] = inside[lines.parents[k]]
+    return inside
+
+
 def _is_main(holder: int) -> bool:
     """Holders are numbered in page order: odd ones are main elements, even ones lie outside."""
     return holder % 2 == 1

@@ -42,3 +42,20 @@ def test_odd_pages(spark):
 def test_long_page_is_kept_whole():
     page = "<article>" + "<p>word word word</p>" * 20_000 + "</article>"
     assert main_text(page).count("word word word") == 20_000
+
+
+def test_page_without_a_main_element_keeps_the_text_around_adverts_and_links():
+    parts = [f"Paragraph {i} has a good number of words in it." for i in range(4)]
+    links = [f"Reference {i} of the list" for i in range(5)]
+    p = [f"<p>{x}</p>" for x in parts]
+    listed = "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in links) + "</ul>"
+    for cut in ("<div class='ad'>Buy</div>", "<aside>Aside</aside>", "<form><p>Your mail</p></form>", "<div class=share>Share</div>"):
+        for page in (
+            f"<div id=content>{p[0]}{cut}{''.join(p[1:])}</div>",
+            f"<body>{p[0]}{cut}{''.join(p[1:])}</body>",
+            f"<body><div><div>{p[0]}</div>{cut}<div>{''.join(p[1:])}</div></div></body>",
+            f"<div>{p[0]}{cut}{p[1]}{cut}{p[2]}{cut}{p[3]}</div>",
+        ):
+            assert main_text(page) == "\n\n".join(parts), page
+    assert main_text(f"<div id=content>{p[0]}{p[1]}{listed}{p[2]}{p[3]}</div>") == "\n\n".join(parts[:2] + links + parts[2:])
+    assert main_text(f"<body><div>{listed}</div><nav>Menu</nav><div id=content>{''.join(p)}</div><footer>End</footer></body>") == "\n\n".join(parts)
