@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one per block of the page; elements that never hold main text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) leave blank
-lines behind.  The text lengths of WINDOW lines after each line are summed; where the sum surges from
+lines behind.  A class or id tells of such an element by one of its whole words between blanks, unless
+the element encloses a main element or, on pages without one, most of the text (comments may be longer).  The text lengths of WINDOW lines after each line are summed; where the sum surges from
 nothing the text begins, and where it dives to nothing it ends.  Of the stretches between surges and
 dives, those of the element that holds most text are kept whole, short lines included.  On pages without
 a main element that is the innermost container with more than half of the text, and all lines from its
@@ -43,21 +44,24 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def dropped(name: str, rest: str, within_main: bool) -> bool:
-    """Whether an element holds no main text, by its name, role, class or id."""
+def dropped(name: str, rest: str, within_main: bool) -> str:
+    """What tells that an element holds no main text: "element" (name, role), "comments" or "words" (class, id)."""
     if name in DROPPED or (name == "header" and not within_main):
-        return True
+        return "element"
     if not rest or name in ("body", "html"):
-        return False
+        return ""
+    found = ""
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true"):
-            return True
+            return "element"
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & (COMMENTS if name in MAIN else WORDS) or (not within_main and name not in MAIN and "header" in words):
-                return True
-    return False
+            tokens = set(value.split())
+            if tokens & COMMENTS:
+                found = "comments"
+            elif name not in MAIN and (tokens & WORDS or (not within_main and "header" in tokens)):
+                found = found or "words"
+    return found
 
 
 class Lines:
@@ -93,6 +97,7 @@ def strip(page: str) -> Lines:
     out = Lines()
     found = list(MARKUP.finditer(page))
     closes = _closing(found)
+    content = Content(page, found)
     at, skip_to, links, mains, holder = 0, -1, 0, 0, 0
     opened: list[tuple[int, int, bool]] = []  # where the containers end, the ones around, and whether within a block
     for i, tag in enumerate(found):
@@ -117,7 +122,12 @@ def strip(page: str) -> Lines:
             while opened and opened[-1][0] <= i:
                 out.container = opened.pop()[1]
             continue
-        if i in closes and dropped(name, tag["rest"], mains > 0):
+        why = dropped(name, tag["rest"], mains > 0) if i in closes else ""
+        if why in ("words", "comments") and name not in MAIN:
+            around_main, most = content.within(i, closes[i])
+            if (around_main and not mains) or (most and why == "words"):
+                why = ""
+        if why:
             skip_to = closes[i]
             if name not in INLINE:
                 out.end(holder)
@@ -142,6 +152,34 @@ def strip(page: str) -> Lines:
     return out
 
 
+class Content:
+    """How much of the page's text, and whether a main element, lies between two tags; counted when asked."""
+
+    def __init__(self, page: str, found: list) -> None:
+        self.page, self.found = page, found
+        self.counts: tuple[list[int], list[int]] | None = None
+
+    def within(self, start: int, end: int) -> tuple[bool, bool]:
+        """Whether a main element begins between the tags; whether, on a page without one, most text lies there."""
+        if self.counts is None:
+            text, mains, at = [], [], 0
+            for tag in self.found:
+                between = "".join(self.page[at : tag.start()].split())
+                text.append((text[-1] if text else 0) + len(between))
+                mains.append((mains[-1] if mains else 0) + _begins_main(tag))
+                at = tag.end()
+            text.append(text[-1] + len("".join(self.page[at:].split())))
+            self.counts = text, mains
+        text, mains = self.counts
+        return mains[end] > mains[start], not mains[-1] and 2 * (text[end] - text[start]) > text[-1]
+
+
+def _begins_main(tag: re.Match) -> bool:
+    """Whether a tag begins a main element that is not itself left out, such as a comment in an article element."""
+    name = (tag["name"] or "").lower()
+    return name in MAIN and not tag["close"] and not dropped(name, tag["rest"], False)
+
+
 def _closing(found: list) -> dict[int, int]:
     """For each start tag that is closed, the index of its end tag."""
     open_: dict[str, list[int]] = {}

@@ -59,3 +59,18 @@ def test_page_without_a_main_element_keeps_the_text_around_adverts_and_links():
             assert main_text(page) == "\n\n".join(parts), page
     assert main_text(f"<div id=content>{p[0]}{p[1]}{listed}{p[2]}{p[3]}</div>") == "\n\n".join(parts[:2] + links + parts[2:])
     assert main_text(f"<body><div>{listed}</div><nav>Menu</nav><div id=content>{''.join(p)}</div><footer>End</footer></body>") == "\n\n".join(parts)
+
+
+def test_wrappers_named_like_furniture_do_not_take_the_article_along():
+    body = "".join(f"<p>Paragraph {i} has a good number of words in it.</p>" for i in range(4))
+    text = "\n\n".join(f"Paragraph {i} has a good number of words in it." for i in range(4))
+    for mark in ("id='content-sidebar-wrap'", "class='site no-sidebar'", "class='post has-comments'", "class='site sidebar'", "id=widget", "class='comments'"):
+        assert main_text(f"<body><div {mark}><article>{body}</article><div class='menu side'>Side</div></div></body>") == text, mark
+    for mark in ("id='content-sidebar-wrap'", "class='site no-sidebar'", "class='site sidebar'"):
+        assert main_text(f"<body><div {mark}>{body}</div><div class='ad'>Buy</div></body>") == text, mark
+    # Sections about the article still go, even where they hold articles or more text than it does.
+    said = "<p>first! first! first!</p>" * 30
+    assert main_text(f"<article>{body}<section class=related><article>Other</article></section></article>") == text
+    assert main_text(f"<article>{body}</article><div class=comments><article class=comment>{said}</article></div>") == text
+    assert main_text(f"<div id=content>{body}</div><div id=comments>{said}</div>") == text
+    assert main_text(f"<article>{body}</article><div class=sidebar>{said}</div>") == text
