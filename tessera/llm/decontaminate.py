@@ -7,8 +7,10 @@ A document position with such a shingle fixes where the window would lie (positi
 lie within the document (length bound), and there all its words are compared (128-bit window hash).
 
 The benchmark is joined in chunks of at most CHUNK_BYTES of text, so what is broadcast has a fixed
-bound; a larger benchmark takes more passes over the documents.  Item texts and document texts are
-lower-cased in A-Z.  Nulls and texts without words have no windows; repeated items each count.
+bound; a larger benchmark takes more passes over the documents, whose rows are numbered once and stored,
+so that every row keeps its own spans, null and repeated doc_ids too.  Item texts and document texts are
+lower-cased in A-Z.  Nulls and texts without words have no windows; copies of an item count once, equal
+texts of several items for each of them.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import store
 from tessera.llm.text import ALNUM, Words, grams, slices, split
 
 CHUNK_BYTES = 8 << 20
 SHINGLE = 4
-FOUND = "doc_id long, n_words long, hit array<long>, items array<string>"
+FOUND = "n_words long, hit array<long>, items array<string>"
 
 
 class Index:
@@ -124,25 +127,30 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     docs has doc_id and text, items has item_id and text; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
     chunks = max(1, -(-4 * size // (3 * CHUNK_BYTES)) if size > CHUNK_BYTES else 1)
     dealt = items.withColumn("chunk", F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = "doc_id long"
+    if chunks > 1:  # numbers are only the same in every pass if they are stored
+        dealt = store(dealt, "items")
+        docs, keys = store(docs.withColumn("row", F.monotonically_increasing_id()), "docs"), "doc_id long, row long"
     passes = []
     for chunk in range(chunks):
-        rows = dealt.filter(F.col("chunk") == chunk).collect()  # bounded by the chunk's bytes
+        rows = dealt.filter(F.col("chunk") == chunk).collect()  # distinct items, so about 3/4 of CHUNK_BYTES
         index = Index([r.text for r in rows], window)
         names = [r.item_id for r in rows]
         shared = spark.sparkContext.broadcast((index.order(count_shingles(docs, index)), names))
-        passes.append(docs.mapInArrow(_search(shared, window), FOUND))
+        passes.append(docs.mapInArrow(_search(shared, window), f"{keys}, {FOUND}"))
     if chunks == 1:
         return passes[0]
     every = passes[0]
     for more in passes[1:]:
-        every = every.unionByName(more)
-    # A document's passes meet again; a row has at most the spans found in it.
-    return every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("items")).alias("items"))
+        every = every.unionByName(more.filter(F.size("hit") > 0))
+    # A row's passes meet again; a row has at most the spans found in it.
+    one = (F.max(c).alias(c) for c in ("doc_id", "n_words"))
+    return every.groupBy("row").agg(*one, F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
 
 
 def _search(shared, window: int):
@@ -158,9 +166,10 @@ def _search(shared, window: int):
                 for d, s, size, which in _verify(words, words.hashes(lower=True), prefix, marks, window):
                     hits[d].append(int(s - words.first[d]) << 16 | size)
                     items[d].update(which)
+                keys = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(words.counts), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(names[i] for i in x if names[i] is not None) for x in items], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "hit", "items"],
+                    [*(part.column(c) for c in keys), pa.array(words.counts), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(names[i] for i in x if names[i] is not None) for x in items], pa.list_(pa.string()))],
+                    [*keys, "n_words", "hit", "items"],
                 )
 
     return search

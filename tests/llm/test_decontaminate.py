@@ -62,3 +62,33 @@ def test_empty_tables(spark):
     assert result(find(empty(spark), none)) == {}
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert result(find(docs, none)) == brute([(1, "a b c")], [])
+
+
+def test_rows_keep_their_own_spans_whatever_the_benchmark_size(spark, monkeypatch):
+    """Null and repeated doc_ids with equal word counts stay apart when passes are merged."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(60)]
+    rows = [(None if k % 2 else 7, f"{t} tail{k}") for k, t in items] + [(None, "no item here")] * 3
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def every():
+        return sorted(map(str, contamination(find(docs, bench)).collect()))
+
+    want = every()
+    assert len(want) == 63
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 3_000)
+    assert every() == want
+
+
+def test_copies_of_an_item_do_not_fill_a_chunk(spark, monkeypatch):
+    items = [(1, " ".join(f"same{j}" for j in range(30)))] * 100 + [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(2, 40)]
+    rows = [(k, t) for k, t in items[99:]]
+    sizes, index = [], decontaminate.Index
+
+    def watched(texts, window):
+        sizes.append(sum(map(len, texts)))
+        return index(texts, window)
+
+    monkeypatch.setattr(decontaminate, "Index", watched)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 4_000)
+    got = result(find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(rows, items) and len(sizes) > 1 and max(sizes) <= 2 * 4_000
