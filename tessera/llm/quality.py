@@ -2,7 +2,7 @@
 
 A document's terms are the shapes of its words (runs of upper case, lower case, digits and each other
 sign, as in "Aa," or "A!!"), pairs of neighbouring shapes, and whether a word repeats the one before.
-Term weights are damped counts times inverse document frequency; a truncated singular value
+Term weights are damped counts times inverse document frequency over all documents; a truncated singular value
 decomposition of a bounded sample of labelled documents gives the latent space.  The labelled vectors
 are broadcast (at most SAMPLE rows of RANK numbers), and every document of the corpus is compared with
 all of them in blocks by exact cosine products; its NEIGHBOURS nearest vote by similarity.
@@ -151,6 +151,24 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     return sorted(rows, key=lambda r: (r.doc_id, r.label, r.terms, r.counts))
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of all documents, and in how many each term occurs (TERMS + 1 rows at most)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TERMS + 1, np.int64)  # the last one counts documents
+        for batch in batches:
+            for part in slices(batch, "text"):
+                total[:TERMS] += np.bincount(term_counts(part.column("text"))[1], minlength=TERMS)
+                total[TERMS] += part.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
+
+    out = np.zeros(TERMS + 1, np.int64)
+    for r in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r.term] = r.n
+    return int(out[TERMS]), out[:TERMS]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> Model:
     rows = labelled_counts(docs, labels, label, limit)
     y = np.array([r.label for r in rows], float)
@@ -159,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     offsets = np.concatenate(([0], np.cumsum([len(r.terms) for r in rows]))).astype(np.int64)
     terms = np.concatenate([np.array(r.terms, np.int64) for r in rows])
     counts = np.concatenate([np.array(r.counts, float) for r in rows])
-    frequency = np.bincount(terms, minlength=TERMS)
-    weight = np.where(frequency > 0, np.log((1 + len(rows)) / (1 + frequency)) + 0.3, 0)
+    n_docs, frequency = document_frequencies(docs)
+    weight = np.where(frequency > 0, np.log((1 + n_docs) / (1 + frequency)) + 0.3, 0)
     dense = np.zeros((len(rows), TERMS), np.float32)
     dense[_rows(offsets), terms] = _damped(offsets, counts) * weight[terms]
     basis = _right_singular(dense, RANK)

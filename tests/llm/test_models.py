@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import quality, toxicity
@@ -54,3 +56,15 @@ def test_offending_sentences_are_located(spark):
     for r in got:
         assert (r.score >= 0.5) == (r.doc_id >= 200)
         assert len(r.sentences) == int(r.doc_id >= 200) and all("idiot" in s for s in r.sentences)
+
+
+def test_term_weights_count_all_documents(spark):
+    """Documents without a label count in the inverse document frequencies."""
+    texts = [f"Plain words {i} here." for i in range(20)] + ["A-B-C # 12:30 !? [x]"] * 60 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    offsets, terms, _, _ = quality.term_counts(pa.array(texts, pa.string()))
+    frequency = np.bincount(terms, minlength=quality.TERMS)
+    weight = quality.fit(docs, labels).weight
+    assert np.allclose(weight, np.where(frequency > 0, np.log((1 + len(texts)) / (1 + frequency)) + 0.3, 0))
+    assert (weight[terms[offsets[20] :]] > 0).all()
