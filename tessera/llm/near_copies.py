@@ -1,50 +1,62 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document's set is its distinct shingles of five words; its signature holds SIGNATURE minwise tokens
-of the set.  Documents with one and the same set are a class, joined by its smallest doc_id.
-
-In each of TREES independent trees a class goes down the nodes named by the tokens at one or two
-positions (1 / threshold of them on average, drawn by the node, not by the document), so similar sets
-are likely to go down the same path.  Of each node with several classes, the smallest is compared with
-all others; sets found similar join a component.  A node whose classes are in one component has nothing
-more to give.  Any other node compares all its classes of different components with each other if it is
-small, or else branches again by further positions, to DEPTH, where what is left is compared whatever
-its size.  Only pairs that could still join two components are compared, so a group of thousands of
-near copies costs one comparison each and never a pair of all with all.
-
-Comparisons first drop pairs whose sizes rule the threshold out or whose signatures are far from it, and
-are then made on the full sets.  A pair at the threshold shares no node of TREES trees with probability
-below 1e-8 at the first level; the recall of links is measured in the tests.
-
-A document with fewer than five words has one shingle, the whole sequence; one without words has none
-and is like no other.  Null doc_ids are not linked; rows that share a doc_id are one document with the
-sets of all of them.  An empty table gives no rows.
+A document's set is its distinct shingles of five words.  Documents with one and the same set are a
+class.  A signature of SIGNATURE minwise tokens of the set decides the paths: in each of TREES independent
+trees a class goes down the nodes named by its tokens at one or two positions (1 / threshold of them on
+average, drawn by the tree or the node, not by the class), so similar sets are likely to go down together.
+
+A node that is small (at most NODE classes and LOAD shingles) is compared exhaustively within one task,
+first by signatures, which leaves the clusters of its classes that may be similar, and then by full sets:
+one class is compared with all others at once, the most typical one first, and classes of one component
+need no further comparison with each other.  Nodes and clusters give a row per class, never one per pair.
+
+A large node is compared with one typical class, its pivot; what the pivot reaches is one component.  If
+few classes are left beyond it, they are compared with all of the node, dealt in parts; else the node
+branches by further tokens.  After DEPTH levels its parts are compared pair by pair of parts, so no node is
+too large to be finished.
+
+Recall: two sets at the threshold go through the same small node of some tree but with probability 1e-9 if
+their first nodes are small, 4e-4 after five further levels and 1e-2 after ten; signatures agree in too
+few places (under half, where three quarters are expected) with probability 1e-5.  Links are confirmed on
+full sets.
+
+A document with fewer than five words has one shingle, the whole sequence; one without words or with a
+null text has none and is like no other.  Texts count whole, whatever their length.  Rows with a null
+doc_id are not linked.  Rows that share a doc_id are told apart by their texts: each gets the component of
+its own text.  Columns of docs other than doc_id and text are not read, so their names cannot clash.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.tables import drop, store
-from tessera.llm.text import U64, gram_starts, grams, mix, slices, split
+from tessera.llm.text import U64, gram_starts, grams, mix, slices, split, whole_groups
 
 SHINGLE = 5
-SIGNATURE = 48
+SIGNATURE = 64
 TREES = 12
-SMALL = 48
-DEPTH = 5
-#: Seven bits of each token: enough to tell how far two signatures agree.
-SKETCH = "transform(signature, x -> cast(shiftright(x, 20) & 127 AS tinyint))"
+#: Small nodes have at most so many classes, and so many shingles in their sets unless they have FEW classes.
+NODE = 4096
+LOAD = 4 << 20
+FEW = 16
+#: Levels after which a node that is still large is compared part by part.
+DEPTH = 24
 #: Signatures that agree in fewer places than this share are not compared further.
 LEAST_AGREEMENT = 0.5
+#: Classes of a large node among which its pivot is chosen.
+CANDIDATES = 32
 
 _SALTS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+#: Each tree's first positions: one in two of three trees, two in the third, 4/3 on average.
+_ROOTS = np.random.default_rng(1_000).permutation(SIGNATURE)[: TREES + TREES // 3]
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +92,7 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set sizes, 128-bit set hashes, first nodes of all trees, and a byte of every token."""
     for batch in batches:
         for part in slices(batch, "text"):
             found, first = sets(part.column("text"))
@@ -87,173 +100,293 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(size)
             at = first[:-1][some]
             high, low = np.zeros(len(size), U64), np.zeros(len(size), U64)
-            signature = np.zeros((len(size), SIGNATURE), U64)
+            roots = np.zeros((len(size), len(_ROOTS)), U64)
+            sketch = np.zeros((len(size), SIGNATURE), np.uint8)
             if len(some):
                 high[some] = np.add.reduceat(mix(found), at)
                 low[some] = np.add.reduceat(mix(found ^ U64(0xA0761D6478BD642F)), at)
+                where = {int(p): i for i, p in enumerate(_ROOTS)}
                 for k, salt in enumerate(_SALTS):
                     token = found ^ salt
                     token *= U64(0xD6E8FEB86659FD93)
                     token ^= token >> U64(32)
-                    signature[some, k] = np.minimum.reduceat(token, at)
-            flat = pa.array(signature.reshape(-1).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * SIGNATURE, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), lists], ["doc_id", "n_shingles", "high", "low", "signature"])
+                    least = np.minimum.reduceat(token, at)
+                    sketch[some, k] = mix(least)
+                    if k in where:
+                        roots[some, where[k]] = mix(least + U64(k))
+            n = part.num_rows
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(_ROOTS), pa.int32()), pa.array(roots.reshape(-1).view(np.int64)))
+            bytes_ = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SIGNATURE).astype(np.int32)), pa.py_buffer(sketch)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(size.astype(np.int64)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), lists, bytes_], ["doc_id", "text_key", "n_shingles", "high", "low", "roots", "sketch"])
 
 
-def _positions(tree: int) -> list[int]:
-    """One position in two of three trees, two in the third: 4/3 on average."""
-    draw = np.random.default_rng(1_000 + tree)
-    return draw.choice(SIGNATURE, 2 if tree % 3 == 2 else 1, replace=False).tolist()
+def _connect(score: np.ndarray, linked: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Component labels of some members; linked(i) tells which of all members are linked with member i.
 
+    The members with the highest scores are asked first.  All but those of the largest component are
+    asked in the end, so every pair of members of different components was compared.
+    """
+    label = np.arange(len(score))
+    asked = np.zeros(len(score), bool)
+    order = np.argsort(-score, kind="stable")
+    largest = -1
+    while True:
+        left = order[~asked[order] & (label[order] != largest)]
+        if not len(left):
+            return label
+        i = left[0]
+        asked[i] = True
+        touched = np.unique(label[linked(i)])
+        touched = touched[touched != label[i]]
+        if len(touched):
+            label[np.isin(label, touched)] = label[i]
+        largest = np.bincount(label).argmax()
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal keys begin and end."""
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    return cut[:-1], cut[1:]
+
+
+def _screen(percent: int):
+    """Clusters of each node's classes whose sizes and signatures allow the similarity.
+
+    A cluster is named by its classes, so that the same cluster of several nodes is one.
+    """
+    least = int(np.ceil(LEAST_AGREEMENT * SIGNATURE))
 
-def _roots(classes: DataFrame) -> DataFrame:
-    """(node, rep): the first nodes of every class in every tree."""
-    nodes = [F.xxhash64(F.lit(tree), F.lit(p), F.col("signature")[p]) for tree in range(TREES) for p in _positions(tree)]
-    return classes.select(F.explode(F.array(*nodes)).alias("node"), "rep", F.col("rep").alias("component"))
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "node"):
+            cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            begin, end = _runs(table.column("node").to_numpy())
+            label = np.arange(len(cid))
 
+            def alike(i, s):
+                return ((sketch[s] == sketch[i]).sum(-1) >= least) & (100 * np.minimum(n[i], n[s]) >= percent * np.maximum(n[i], n[s]))
 
-def _branches(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """Children of the members' nodes; the node draws the positions."""
+            pairs = begin[end - begin == 2]
+            label[pairs + 1] = np.where(alike(pairs, pairs + 1), pairs, pairs + 1)
+            for a, b in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
+                code = sketch[a:b] + np.arange(SIGNATURE) * 256
+                common = np.bincount(code.reshape(-1), minlength=256 * SIGNATURE)
+                label[a:b] = a + _connect(common[code].sum(1), lambda i, a=a, b=b: alike(a + i, slice(a, b)))
+            order = np.argsort(label, kind="stable")
+            begin, end = _runs(label[order])
+            names = np.add.reduceat(mix(cid[order].view(U64) + U64(1)), begin) if len(begin) else np.zeros(0, U64)
+            size = end - begin
+            keep = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(names).view(np.int64), size)[keep]), pa.array(cid[order][keep])], ["cluster", "cid"])
 
-    def child(k):
-        position = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(k)), F.lit(SIGNATURE)).cast("int")
-        return F.xxhash64("node", position, F.element_at("signature", position + 1))
+    return screen
 
-    third = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(3)) == 0
-    drawn = F.when(third, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-    return members.join(classes.select("rep", "signature"), "rep").select(F.explode(F.array_distinct(drawn)).alias("node"), "rep", "component")
 
+class _Sets:
+    """Sets of some rows of a table, in one array of shingles."""
 
-def _shared(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of nodes with several classes, with the node's size and smallest class, its pivot.
-
-    Nodes of one class, which most are, go before the rest gets its sizes and sketches.
-    """
-    nodes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    full = members.join(nodes, "node").join(classes.select("rep", "n", "sketch"), "rep")
-    pivots = full.groupBy("node").agg(F.min(F.struct("rep", "n", "sketch", "component")).alias("pivot"))
-    return full.join(pivots, "node")
-
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        blobs = column.to_pylist()
+        self.flat = np.frombuffer(b"".join(blobs), U64)
+        self.first = np.concatenate(([0], np.cumsum([len(b) // 8 for b in blobs]))).astype(np.int64)
 
-def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of (rep, n, sketch) whose sizes and sketches allow the similarity."""
-    sized = pairs.filter(100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    agree = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return sized.filter(agree >= LEAST_AGREEMENT * SIGNATURE).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.first[i] : self.first[i + 1]]
 
 
-def _with_pivot(members: DataFrame) -> DataFrame:
-    """Pairs of each node's pivot with its classes of other components."""
-    return members.filter("component <> pivot.component").select(F.col("pivot").alias("a"), F.struct("rep", "n", "sketch").alias("b"))
+def _linked(both, x, y, percent: int):
+    """The similarity of sets of x and y shingles that share so many, against the threshold."""
+    return (both > 0) & (100 * both >= percent * (x + y - both))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+def _compare(percent: int):
+    """(a, b): every class that is not the first of its component within the cluster, and that first one."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cluster"):
+            cid, found = table.column("cid").to_numpy(), _Sets(table.column("set"))
+            begin, end = _runs(table.column("cluster").to_numpy())
+            root = np.arange(len(cid))
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                if b - a == 2:
+                    x, y = found[a], found[a + 1]
+                    if _linked(np.intersect1d(x, y, assume_unique=True).size, x.size, y.size, percent):
+                        root[a + 1] = a
+                    continue
+                lo = found.first[a]
+                first = found.first[a:b] - lo
+                size = np.diff(found.first[a : b + 1])
+                known, code = np.unique(found.flat[lo : found.first[b]], return_inverse=True)
+                common = np.bincount(code, minlength=len(known))
+                mark = np.zeros(len(known), np.int64)
+
+                def linked(i, code=code, first=first, size=size, mark=mark):
+                    own = code[first[i] : first[i] + size[i]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[code], first)
+                    mark[own] = 0
+                    return _linked(both, size[i], size, percent)
+
+                root[a:b] = a + _connect(np.add.reduceat(common[code], first) / size, linked)
+            moved = np.flatnonzero(root != np.arange(len(cid)))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[root[moved]])], ["a", "b"])
+
+    return compare
+
+
+def _by(frame: DataFrame, key: str) -> DataFrame:
+    """Rows of one key next to each other in one task."""
+    return frame.repartition(key).sortWithinPartitions(key)
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, set) of the wanted classes, each from the text of its first row."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_b"):
-                # Pairs of one a are often together: its set is made once.
-                left = part.column("text_a").dictionary_encode()
-                found, first = sets(left.dictionary)
-                other, begin = sets(part.column("text_b"))
-                code = left.indices.to_numpy()
-                keep = np.zeros(part.num_rows, bool)
-                for i in range(part.num_rows):
-                    x, y = found[first[code[i]] : first[code[i] + 1]], other[begin[i] : begin[i + 1]]
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    keep[i] = both > 0 and 100 * both >= percent * (x.size + y.size - both)
-                at = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
-
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = texts.join(needed, "rep", "left_semi")
-    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
-
-
-class Links:
-    """Similar pairs found so far, and their components, which are only made anew when pairs came.
-
-    Pairs compared before are not compared again.
-    """
+            for part in slices(batch, "text"):
+                found, first = sets(part.column("text"))
+                blobs = [found[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(blobs, pa.binary())], ["cid", "set"])
+
+    rows = classes.join(wanted.distinct(), "cid", "left_semi").select("cid", "first.doc_id", "first.text_key")
+    texts = docs.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))  # repeated rows go before the shuffle
+    return texts.join(rows, ["doc_id", "text_key"]).select("cid", "text").mapInArrow(make, "cid long, set binary")
+
+
+def _members(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cid, n, sketch, size, load) of the entries (node, cid, n) whose node has several classes."""
+    nodes = entries.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("load")).filter("size > 1")
+    return entries.join(nodes, "node").join(classes.select("cid", "sketch"), "cid")
+
+
+def _share(size: Column | str, load: Column | str) -> Column:
+    """What a task holds at most is one; FEW classes are not divided."""
+    size, load = (F.col(c) if isinstance(c, str) else c for c in (size, load))
+    return F.when(size <= FEW, F.lit(0.0)).otherwise(F.greatest(size / NODE, load / LOAD))
+
 
-    def __init__(self, texts: DataFrame, percent: int):
-        self.texts, self.percent = texts, percent
-        self.tables: list[DataFrame] = []
-        self.compared: list[DataFrame] = []
-        self.known: DataFrame | None = None
-
-    def add(self, pairs: DataFrame) -> None:
-        new = _plausible(pairs, self.percent)
-        for before in self.compared:
-            new = new.join(before, ["a", "b"], "left_anti")
-        chosen = store(new, "pairs")
-        if chosen.isEmpty():
-            drop(chosen)
-            return
-        self.compared.append(chosen)
-        found = store(_similar(chosen, self.texts, self.percent), "links")
-        if not found.isEmpty():
-            self.tables.append(found)
-            self.known = None
-
-    def components(self) -> DataFrame:
-        if self.known is None:
-            edges = self.texts.sparkSession.createDataFrame([], "a long, b long")
-            for table in self.tables:
-                edges = edges.union(table)
-            self.known = components(edges)
-        return self.known
-
-    def drop(self) -> None:
-        for table in (*self.tables, *self.compared):
-            drop(table)
+def _branches(members: DataFrame, level: int) -> DataFrame:
+    """Children of the members' nodes; the node draws the positions."""
+
+    def child(k: int) -> Column:
+        position = F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(SIGNATURE)).cast("int")
+        return F.xxhash64("node", position, F.substring("sketch", position + 1, F.lit(1)))
+
+    third = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3)) == 0
+    drawn = F.when(third, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+    return members.select(F.explode(F.array_distinct(drawn)).alias("node"), "cid", "n")
+
+
+def _pivots(large: DataFrame) -> DataFrame:
+    """(node, pivot): of some CANDIDATES classes of each node, the one that agrees most with the others."""
+    some = large.filter(F.pmod(F.xxhash64("node", "cid"), F.greatest(F.lit(1), F.floor(F.col("size") / CANDIDATES)).cast("long")) == 0)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "node"):
+            nodes, cid = table.column("node").to_numpy(), table.column("cid").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            begin, end = _runs(nodes)
+            best = []
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                code = sketch[a:b] + np.arange(SIGNATURE) * 256
+                best.append(a + int(np.bincount(code.reshape(-1), minlength=256 * SIGNATURE)[code].sum(1).argmax()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[best]), pa.array(cid[best])], ["node", "pivot"])
+
+    return _by(some.select("node", "cid", "sketch"), "node").mapInArrow(choose, "node long, pivot long")
+
+
+def _against_pivots(large: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Rows of large with their node's pivot and whether they are similar to it, on full sets."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, pivot = _Sets(batch.column("set")), _Sets(batch.column("pivot_set"))
+            both = [np.intersect1d(mine[i], pivot[i], assume_unique=True).size for i in range(batch.num_rows)]
+            keep = _linked(np.array(both, np.int64), np.diff(mine.first), np.diff(pivot.first), percent)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(keep)], [*columns, "linked"])
+
+    pivots = _pivots(large).join(full.select(F.col("cid").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+    rows = large.join(full, "cid").join(pivots, "node").select(*large.columns, "pivot", "set", "pivot_set")
+    columns = [*large.columns, "pivot"]
+    schema = large.withColumn("pivot", F.lit(0).cast("long")).withColumn("linked", F.lit(True)).schema
+    return rows.mapInArrow(told, schema)
+
+
+def _large_nodes(large: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """What large nodes come to: members of small nodes, clusters to compare, and links found, as stored tables."""
+    small, clusters, links = [], [], []
+    if large.isEmpty():
+        return small, clusters, links
+    full = store(_full_sets(docs, classes, large.select("cid")), "sets")
+    level = 0
+    while not large.isEmpty():
+        level += 1
+        told = store(_against_pivots(large, full, percent), "told")
+        drop(large)
+        links.append(store(told.filter("linked AND cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")), "links"))
+        rest = told.filter("NOT linked").groupBy("node").agg(F.count("*").alias("rest"), F.sum("n").alias("rest_load"))
+        few = _share("rest", "rest_load") <= 0.5
+        left = told.join(rest.select("node", few.alias("few")), "node")
+        # The few are compared with all the others, which are dealt in parts.
+        parts = F.ceil(2 * _share("size", "load")).cast("int")
+        dealt = F.when(F.col("linked"), F.array(F.pmod(F.xxhash64("cid"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+        clusters.append(store(left.filter("few").select(F.explode(dealt).alias("part"), "node", "cid").select(F.xxhash64("node", "part").alias("cluster"), "cid"), "clusters"))
+        many = left.filter("NOT few")
+        if level == DEPTH:
+            own, other = F.pmod(F.xxhash64("cid"), parts).cast("int"), F.col("other")
+            paired = many.select("node", "cid", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            clusters.append(store(paired.select(F.xxhash64("node", F.least("own", other), F.greatest("own", other)).alias("cluster"), "cid"), "clusters"))
+            many = many.filter("false")
+        children = store(_members(_branches(many, level), classes), "members")
+        drop(told)
+        small.append(store(children.filter(_share("size", "load") <= 1), "members"))
+        large = store(children.filter(_share("size", "load") > 1), "members")
+        drop(children)
+    drop(large)
+    drop(full)
+    return small, clusters, links
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
 
 
 def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = store(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, high long, low long, signature array<long>"), "sketches")
+    """(doc_id, n_shingles, component_id, kept, text_key) of every row of docs.
+
+    text_key is a hash of the text; rows with the same doc_id and text_key get the same answer.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
+    sketches = store(docs.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, high long, low long, roots array<long>, sketch binary"), "sketches")
     keys = ["high", "low", "n_shingles"]
-    named = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # The signature is the same for the whole class.
-    classes = store(named.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).withColumnRenamed("n_shingles", "n").withColumn("sketch", F.expr(SKETCH)), "classes")
-    members = store(_shared(_roots(classes), classes), "nodes")
-    active = members.select("rep").distinct()
-    texts = store(docs.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi"), "texts")
-
-    links = Links(texts, percent)
-    links.add(_with_pivot(members))
-    branching = classes
-    for depth in range(1, DEPTH + 1):
-        placed = members.drop("pivot", "component").join(links.components(), F.col("rep") == F.col("id"), "left").select("node", "rep", "n", "sketch", "size", F.coalesce("component", "rep").alias("component"))
-        open_nodes = placed.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("node")
-        left = store(placed.join(open_nodes, "node", "left_semi"), "open")
-        drop(members)
-        small = left if depth == DEPTH else left.filter(F.col("size") <= SMALL)
-        x, y = (small.select("node", F.struct("rep", "n", "sketch").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
-        links.add(x.join(y, "node").filter("a.rep < b.rep AND c_a <> c_b"))
-        large = left.filter(F.col("size") > SMALL).select("node", "rep", "component")
-        if depth == DEPTH or large.isEmpty():
-            drop(left)
-            break
-        # Only the classes in large nodes go on.
-        rest = store(branching.join(large.select("rep").distinct(), "rep", "left_semi"), "branching")
-        members = store(_shared(_branches(large, rest, depth), rest), "nodes")
-        drop(left)
-        if branching is not classes:
-            drop(branching)
-        branching = rest
-        links.add(_with_pivot(members))
-    found = links.components()
-    links.drop()
-    drop(texts)
-    if branching is not classes:
-        drop(branching)
-    placed = classes.join(found, F.col("rep") == F.col("id"), "left").select(*(F.col(k if k != "n_shingles" else "n").alias(k) for k in keys), F.coalesce("component", "rep").alias("component"))
-    rows = sketches.select("doc_id", *keys).join(placed, keys, "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Roots and sketch are the same for the whole class.
+    grouped = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
+    classes = store(grouped.withColumn("cid", F.monotonically_increasing_id()).withColumn("n", F.col("n_shingles")), "classes")
+
+    members = store(_members(classes.select(F.explode("roots").alias("node"), "cid", "n"), classes), "members")
+    fits = _share("size", "load") <= 1
+    large = store(members.filter(~fits), "members")
+    more, clusters, links = _large_nodes(large, docs, classes, percent)
+    small = _union([members.filter(fits), *more])
+    screened = _by(small.select("node", "cid", "n", "sketch"), "node").mapInArrow(_screen(percent), "cluster long, cid long")
+    clusters.append(store(screened.distinct(), "clusters"))
+    every = _union(clusters)
+    full = store(_full_sets(docs, classes, every.select("cid")), "sets")
+    links.append(store(_by(every.join(full, "cid"), "cluster").mapInArrow(_compare(percent), "a long, b long"), "links"))
+    tied = components(_union(links))
+
+    # Components are named by their smallest doc_id; classes without links are their own.
+    named = classes.select("cid", F.col("first.doc_id").alias("doc_id"), *keys)
+    inside = named.join(tied, F.col("cid") == F.col("id")).select("component", "doc_id", *keys)
+    least = inside.groupBy("component").agg(F.min("doc_id").alias("least"))
+    placed = inside.join(least, "component").select(*keys, "least").union(named.join(tied, F.col("cid") == F.col("id"), "left_anti").select(*keys, "doc_id"))
+    rows = sketches.select("doc_id", "text_key", *keys).join(placed, keys, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    out = store(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key"), "near_copies")
+    for table in (sketches, classes, members, full, tied, *more, *clusters, *links):
+        drop(table)
+    return out

@@ -62,7 +62,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_copies import near_copies
 
-    return near_copies(read(spark, sf_dir, "documents"), percent=75)
+    return near_copies(read(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,22 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYT
         at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches in order of an integer key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or (held and held[0].column(key)[0].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def joined(words: Words, keep: np.ndarray | None = None) -> list[memoryview]:
     """For each document, its kept words joined by one space."""
     n_docs = len(words.first) - 1

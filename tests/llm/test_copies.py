@@ -74,19 +74,48 @@ def planted(seed, groups, size, words=60):
     return [(int(i), rows[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize(("groups", "size", "small"), [(30, 6, 48), (3, 60, 8)])
-def test_planted_groups_equal_brute_force(spark, monkeypatch, groups, size, small):
-    monkeypatch.setattr(near_copies, "SMALL", small)
+@pytest.mark.parametrize(("groups", "size", "limits"), [(30, 6, {}), (3, 60, {}), (6, 40, {"NODE": 12, "FEW": 2}), (6, 40, {"NODE": 12, "FEW": 2, "DEPTH": 1}), (6, 40, {"LOAD": 900, "FEW": 3})])
+def test_planted_groups_equal_brute_force(spark, monkeypatch, groups, size, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value)
     rows = planted(groups, groups, size)
     assert result(near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_documents(rows)
 
 
+def test_recall_of_links_near_the_threshold(spark, monkeypatch):
+    """Pairs with similarities from 0.75 to 0.8 over a passage that makes every first node large."""
+    monkeypatch.setattr(near_copies, "NODE", 40)
+    monkeypatch.setattr(near_copies, "FEW", 2)
+    passage = [f"p{i}" for i in range(36)]
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(12)]
+        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + own[:8] + [f"h{g}w{i}" for i in range(3)]))]
+    want = brute_documents(rows)
+    got = result(near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")))
+    linked = [d for d in want if want[d][1] != d]
+    assert linked and np.mean([got[d] == want[d] for d in linked]) >= 0.99
+
+
+def test_signatures_that_agree_in_too_few_places(spark):
+    """At the threshold of 0.75, half of the places is missed by far less than one pair in a thousand."""
+    rng = np.random.default_rng(8)
+    agree = (rng.random((200_000, near_copies.SIGNATURE)) < 0.75).mean(1)
+    assert (agree < near_copies.LEAST_AGREEMENT).mean() < 1e-4
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "A B C D E F")]
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("1", "1", True), ("2", "2", True), ("3", "1", False), ("None", "None", True)]
 
 
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "one two three four five six")]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True)]
+
+
 def brute_vectors(rows):
     good = {}
     for i, v in rows:

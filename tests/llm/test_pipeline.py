@@ -59,3 +59,10 @@ def test_odd_rows_pass_through(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_a_text_under_the_id_of_a_copy_is_not_lost(spark, sf_dir):
+    schema = read(spark, sf_dir, "documents").schema
+    rows = [(1, "a b c d e f g", "en", "s", 1), (5, "a b c d e f g", "en", "s", 1), (5, "one two three four five six", "en", "s", 1)]
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, rows[0][1]), (5, rows[2][1])]
