@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, near_copies, packing, quality, secrets
 from tessera.llm.bpe import default_tokenizer
@@ -23,9 +24,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keep the document with the smallest doc_id."""
-    copies = near_copies.near_copies(docs, percent=75).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies, keep the document with the smallest doc_id.
+
+    Rows that share a doc_id are judged by their own texts; rows of one doc_id and text stay or go together.
+    """
+    copies = near_copies.near_copies(docs, percent=75).filter("NOT kept").select(F.col("doc_id").alias("copy_id"), "text_key").distinct()
+    return docs.join(copies, (docs["doc_id"].cast("long") == copies["copy_id"]) & (F.xxhash64(docs["text"]) == copies["text_key"]), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
