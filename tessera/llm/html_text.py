@@ -3,13 +3,19 @@
 Markup is stripped into lines, one per block of the page; elements that never hold main text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) leave blank
 lines behind.  A class or id tells of such an element by one of its whole words between blanks, unless
-the element encloses a main element or, on pages without one, most of the text (comments may be longer).  The text lengths of WINDOW lines after each line are summed; where the sum surges from
-nothing the text begins, and where it dives to nothing it ends.  Of the stretches between surges and
-dives, those of the element that holds most text are kept whole, short lines included.  On pages without
-a main element that is the innermost container with more than half of the text, and all lines from its
-first stretch to its last are kept.
-
-A null page counts as empty and gives an empty text.  An empty table gives no rows.
+the element encloses a main element or, on pages without one, most of the text (comments may be longer).
+
+The text lengths of WINDOW lines after each line are summed; where the sum surges from nothing the text
+begins, and where it dives to nothing it ends.  The stretches between surges and dives decide: if main
+elements hold the heaviest text, every main element with at least TEASER of the text of the fullest one is
+kept whole, short lines included.  If a stretch outside outweighs all main elements OUTWEIGHED times, they
+are teasers, and the page counts as one without them: then all lines from the first stretch to the last of
+the innermost container with more than half of the text are kept.
+
+A null page counts as empty and gives an empty text.  Broken markup is read once from front to back: a tag
+without an end is text, a quote without an end does not hide what follows.  Pages count whole, whatever
+their length; equal pages give equal rows, rows that repeat stay.  Columns other than page_id, url and html
+are not read, so their names cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,19 +23,25 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.text import slices
+
 WINDOW = 3
 #: Outside main elements, a line whose text is mostly links counts as blank in the distribution.
 LINK_SHARE = 0.5
-
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|template|noscript|textarea|svg|iframe|title|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=raw)\s*>|<(?:script|style)\b.*\Z|"
-    r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Main elements with less than this share of the fullest one's text are teasers of other pages.
+TEASER = 0.1
+#: So many times the text of all main elements, in one stretch outside, shows that they are teasers.
+OUTWEIGHED = 2
+
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+ENDS = re.compile(r"[\"'>]")
+#: Elements whose content is not text of the page.
+RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in "script style template noscript textarea svg iframe title canvas".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu head".split())
@@ -64,6 +76,66 @@ def dropped(name: str, rest: str, within_main: bool) -> str:
     return found
 
 
+class Tag(NamedTuple):
+    """A piece of markup; one without a name is a comment, a declaration or an element with its raw content."""
+
+    start: int
+    end: int
+    name: str = ""
+    close: bool = False
+    rest: str = ""
+
+
+def scan(page: str) -> list[Tag]:
+    """The markup of a page, in one pass."""
+    found: list[Tag] = []
+    at, unclosed, quotes = 0, set(), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            found.append(Tag(start, end if end > 2 else len(page)))
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find("]]>", start) + 3 if page.startswith("<![CDATA[", start) and "cdata" not in unclosed else 2
+            if end == 2:
+                unclosed |= {"cdata"} if page.startswith("<![CDATA[", start) else set()
+                end = page.find(">", start) + 1
+            if not end:
+                break
+            found.append(Tag(start, end))
+        elif begun := TAG.match(page, start):
+            end = _tag_end(page, begun.end()) if quotes else 0
+            if not end:  # no end outside quotes: from here on, quotes mean nothing
+                quotes = False
+                end = page.find(">", begun.end()) + 1
+            if not end:
+                break
+            name, close, rest = begun[2].lower(), bool(begun[1]), page[begun.end() : end - 1]
+            shut = RAW[name].search(page, end) if name in RAW and not close and name not in unclosed else None
+            if shut:
+                found.append(Tag(start, shut.end()))
+            elif name in RAW and not close:
+                unclosed.add(name)
+                found.append(Tag(start, len(page)) if name in ("script", "style") else Tag(start, end, name, close, rest))
+            else:
+                found.append(Tag(start, end, name, close, rest))
+        else:
+            at = start + 1
+            continue
+        at = found[-1].end
+    return found
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Behind the first > outside quotes, or 0."""
+    while sign := ENDS.search(page, at):
+        if sign[0] == ">":
+            return sign.end()
+        at = page.find(sign[0], sign.end()) + 1
+        if not at:
+            return 0
+    return 0
+
+
 class Lines:
     """Lines of a page with their text, the characters of it in links, and the element they are in."""
 
@@ -95,22 +167,22 @@ def strip(page: str) -> Lines:
     Within a container a dropped element only breaks the line, as text may go on behind it.
     """
     out = Lines()
-    found = list(MARKUP.finditer(page))
+    found = scan(page)
     closes = _closing(found)
     content = Content(page, found)
     at, skip_to, links, mains, holder = 0, -1, 0, 0, 0
     opened: list[tuple[int, int, bool]] = []  # where the containers end, the ones around, and whether within a block
     for i, tag in enumerate(found):
         if i > skip_to:
-            out.text.append(page[at : tag.start()])
-            out.linked += tag.start() - at if links else 0
-        at = tag.end()
+            out.text.append(page[at : tag.start])
+            out.linked += tag.start - at if links else 0
+        at = tag.end
         if i <= skip_to:
             continue
-        name = (tag["name"] or "").lower()
+        name = tag.name
         if not name:
             continue
-        if tag["close"]:
+        if tag.close:
             if name == "a":
                 links = max(0, links - 1)
             elif name in MAIN and mains:
@@ -122,7 +194,7 @@ def strip(page: str) -> Lines:
             while opened and opened[-1][0] <= i:
                 out.container = opened.pop()[1]
             continue
-        why = dropped(name, tag["rest"], mains > 0) if i in closes else ""
+        why = dropped(name, tag.rest, mains > 0) if i in closes else ""
         if why in ("words", "comments") and name not in MAIN:
             around_main, most = content.within(i, closes[i])
             if (around_main and not mains) or (most and why == "words"):
@@ -155,7 +227,7 @@ def strip(page: str) -> Lines:
 class Content:
     """How much of the page's text, and whether a main element, lies between two tags; counted when asked."""
 
-    def __init__(self, page: str, found: list) -> None:
+    def __init__(self, page: str, found: list[Tag]) -> None:
         self.page, self.found = page, found
         self.counts: tuple[list[int], list[int]] | None = None
 
@@ -164,32 +236,31 @@ class Content:
         if self.counts is None:
             text, mains, at = [], [], 0
             for tag in self.found:
-                between = "".join(self.page[at : tag.start()].split())
+                between = "".join(self.page[at : tag.start].split())
                 text.append((text[-1] if text else 0) + len(between))
                 mains.append((mains[-1] if mains else 0) + _begins_main(tag))
-                at = tag.end()
+                at = tag.end
             text.append(text[-1] + len("".join(self.page[at:].split())))
             self.counts = text, mains
         text, mains = self.counts
         return mains[end] > mains[start], not mains[-1] and 2 * (text[end] - text[start]) > text[-1]
 
 
-def _begins_main(tag: re.Match) -> bool:
+def _begins_main(tag: Tag) -> bool:
     """Whether a tag begins a main element that is not itself left out, such as a comment in an article element."""
-    name = (tag["name"] or "").lower()
-    return name in MAIN and not tag["close"] and not dropped(name, tag["rest"], False)
+    return tag.name in MAIN and not tag.close and not dropped(tag.name, tag.rest, False)
 
 
-def _closing(found: list) -> dict[int, int]:
+def _closing(found: list[Tag]) -> dict[int, int]:
     """For each start tag that is closed, the index of its end tag."""
     open_: dict[str, list[int]] = {}
     out: dict[int, int] = {}
     for i, tag in enumerate(found):
-        name = (tag["name"] or "").lower()
+        name = tag.name
         if not name or name in VOID:
             continue
-        if not tag["close"]:
-            if not tag["rest"].endswith("/"):
+        if not tag.close:
+            if not tag.rest.endswith("/"):
                 open_.setdefault(name, []).append(i)
         elif open_.get(name):
             out[open_[name].pop()] = i
@@ -220,12 +291,11 @@ def main_text(page: str | None) -> str:
             end += 1
         stretches.append((i, end, sum(weight[i:end])))
         i = end
-    # A main element is one holder, and all its stretches belong to the text; without one, all lines
-    # between the first and the last stretch of the container with most text do.
-    held = {rows[s][2] for s, _, _ in stretches if _is_main(rows[s][2])}
-    if held:
-        holder = max(sorted(held), key=lambda h: total[h])
-        chosen = [s for s in stretches if rows[s[0]][2] == holder]
+    mains = {h: n for h, n in total.items() if _is_main(h) and n}
+    outside = max((n for s, _, n in stretches if not _is_main(rows[s][2])), default=0)
+    if mains and outside <= OUTWEIGHED * sum(mains.values()):
+        least = TEASER * max(mains.values())
+        chosen = [s for s in stretches if mains.get(rows[s[0]][2], -1) >= least]
     else:
         inside = _fullest(lines, weight)
         own = [s for s in stretches if any(inside[lines.within[j]] and weight[j] for j in range(s[0], s[1]))]
@@ -260,10 +330,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def strip_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page) for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
+            for part in slices(batch, "html"):
+                texts = [main_text(page) for page in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
 
     return pages.selectExpr("cast(page_id AS long) AS page_id", "url", "html").mapInArrow(strip_pages, "page_id long, url string, text string, n_chars long")

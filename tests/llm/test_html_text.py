@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+from tessera.llm import html_text
 from tessera.llm.html_text import extract, main_text
 
 
@@ -74,3 +76,25 @@ def test_wrappers_named_like_furniture_do_not_take_the_article_along():
     assert main_text(f"<article>{body}</article><div class=comments><article class=comment>{said}</article></div>") == text
     assert main_text(f"<div id=content>{body}</div><div id=comments>{said}</div>") == text
     assert main_text(f"<article>{body}</article><div class=sidebar>{said}</div>") == text
+
+
+def test_the_distribution_tells_articles_from_teasers(monkeypatch):
+    body = "".join(f"<p>Paragraph {i} has a good number of words in it.</p>" for i in range(12))
+    text = "\n\n".join(f"Paragraph {i} has a good number of words in it." for i in range(12))
+    teaser = "<article><p>Read more.</p></article>"
+    one, two = f"<article>{body}</article>", f"<main>{body}</main>"
+    assert main_text(f"<body>{one}<div>Between</div>{two}</body>") == text + "\n\n" + text
+    assert main_text(f"<body>{one}<div>{teaser}{teaser}</div></body>") == text
+    misplaced = f"<body><div>{body}</div><div>{teaser}</div></body>"
+    assert main_text(misplaced).startswith(text)
+    monkeypatch.setattr(html_text, "OUTWEIGHED", float("inf"))  # without the stretches' weights the teaser wins
+    assert main_text(misplaced) == "Read more."
+
+
+def test_broken_markup_is_read_in_linear_time():
+    begun = time.process_time()
+    for piece in ("<a ", '<a "', "<title>", "<![CDATA[", "<!", "<!--", "</", '<a ">" ', "<svg><p>", "<div class=", "<p>x"):
+        main_text(piece * (1_000_000 // len(piece)))
+        main_text("<article><p>text</p>" + piece * 20_000 + "</article>")
+    assert time.process_time() - begun < 120
+    assert main_text('<article><p>one</p><a href="x>two</a><p>three</p></article>').startswith("one")
