@@ -5,15 +5,15 @@ class.  A signature of SIGNATURE minwise tokens of the set decides the paths: in
 trees a class goes down the nodes named by its tokens at one or two positions (1 / threshold of them on
 average, drawn by the tree or the node, not by the class), so similar sets are likely to go down together.
 
-A node that is small (at most NODE classes and LOAD shingles) is compared exhaustively within one task,
-first by signatures, which leaves the clusters of its classes that may be similar, and then by full sets:
-one class is compared with all others at once, the most typical one first, and classes of one component
-need no further comparison with each other.  Nodes and clusters give a row per class, never one per pair.
+A node that is small (at most NODE classes) is compared exhaustively within one task, first by signatures,
+which leaves the clusters of its classes that may be similar, and then by full sets: one class is compared
+with all others at once, the most typical one first, and classes of one component need no further
+comparison with each other.  Nodes and clusters give a row per class, never one per pair.
 
-A large node is compared with one typical class, its pivot; what the pivot reaches is one component.  If
-few classes are left beyond it, they are compared with all of the node, dealt in parts; else the node
-branches by further tokens.  After DEPTH levels its parts are compared pair by pair of parts, so no node is
-too large to be finished.
+A large node, or a cluster with more than LOAD shingles, is compared with one typical class, its pivot; what
+the pivot reaches is one component.  If few classes are left beyond it, they are compared with all of the
+node, dealt in parts; else the node branches by further tokens.  After DEPTH levels its parts are compared
+pair by pair of parts, so no node is too large to be finished.
 
 Recall: two sets at the threshold go through the same small node of some tree but with probability 1e-9 if
 their first nodes are small, 4e-4 after five further levels and 1e-2 after ten; signatures agree in too
@@ -43,11 +43,11 @@ from tessera.llm.text import U64, gram_starts, grams, mix, slices, split, whole_
 SHINGLE = 5
 SIGNATURE = 64
 TREES = 12
-#: Small nodes have at most so many classes, and so many shingles in their sets unless they have FEW classes.
+#: Small nodes have at most so many classes; what is compared on full sets has so many shingles, unless it has FEW classes.
 NODE = 4096
 LOAD = 4 << 20
 FEW = 16
-#: Levels after which a node that is still large is compared part by part.
+#: Levels after which what is still large is compared part by part.
 DEPTH = 24
 #: Signatures that agree in fewer places than this share are not compared further.
 LEAST_AGREEMENT = 0.5
@@ -152,7 +152,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _screen(percent: int):
     """Clusters of each node's classes whose sizes and signatures allow the similarity.
 
-    A cluster is named by its classes, so that the same cluster of several nodes is one.
+    A cluster is a node named by its classes, so that the same cluster of several nodes is one.
     """
     least = int(np.ceil(LEAST_AGREEMENT * SIGNATURE))
 
@@ -175,9 +175,11 @@ def _screen(percent: int):
             order = np.argsort(label, kind="stable")
             begin, end = _runs(label[order])
             names = np.add.reduceat(mix(cid[order].view(U64) + U64(1)), begin) if len(begin) else np.zeros(0, U64)
+            load = np.add.reduceat(n[order], begin) if len(begin) else n
             size = end - begin
             keep = np.repeat(size > 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(names).view(np.int64), size)[keep]), pa.array(cid[order][keep])], ["cluster", "cid"])
+            columns = (np.repeat(mix(names).view(np.int64), size), cid[order], n[order], np.repeat(size, size), np.repeat(load, size))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["node", "cid", "n", "size", "load"])
 
     return screen
 
@@ -203,9 +205,9 @@ def _compare(percent: int):
     """(a, b): every class that is not the first of its component within the cluster, and that first one."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "cluster"):
+        for table in whole_groups(batches, "node"):
             cid, found = table.column("cid").to_numpy(), _Sets(table.column("set"))
-            begin, end = _runs(table.column("cluster").to_numpy())
+            begin, end = _runs(table.column("node").to_numpy())
             root = np.arange(len(cid))
             for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                 if b - a == 2:
@@ -313,39 +315,23 @@ def _against_pivots(large: DataFrame, full: DataFrame, percent: int) -> DataFram
     return rows.mapInArrow(told, schema)
 
 
-def _large_nodes(large: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """What large nodes come to: members of small nodes, clusters to compare, and links found, as stored tables."""
-    small, clusters, links = [], [], []
-    if large.isEmpty():
-        return small, clusters, links
-    full = store(_full_sets(docs, classes, large.select("cid")), "sets")
-    level = 0
-    while not large.isEmpty():
-        level += 1
-        told = store(_against_pivots(large, full, percent), "told")
-        drop(large)
-        links.append(store(told.filter("linked AND cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")), "links"))
-        rest = told.filter("NOT linked").groupBy("node").agg(F.count("*").alias("rest"), F.sum("n").alias("rest_load"))
-        few = _share("rest", "rest_load") <= 0.5
-        left = told.join(rest.select("node", few.alias("few")), "node")
-        # The few are compared with all the others, which are dealt in parts.
-        parts = F.ceil(2 * _share("size", "load")).cast("int")
-        dealt = F.when(F.col("linked"), F.array(F.pmod(F.xxhash64("cid"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-        clusters.append(store(left.filter("few").select(F.explode(dealt).alias("part"), "node", "cid").select(F.xxhash64("node", "part").alias("cluster"), "cid"), "clusters"))
-        many = left.filter("NOT few")
-        if level == DEPTH:
-            own, other = F.pmod(F.xxhash64("cid"), parts).cast("int"), F.col("other")
-            paired = many.select("node", "cid", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-            clusters.append(store(paired.select(F.xxhash64("node", F.least("own", other), F.greatest("own", other)).alias("cluster"), "cid"), "clusters"))
-            many = many.filter("false")
-        children = store(_members(_branches(many, level), classes), "members")
-        drop(told)
-        small.append(store(children.filter(_share("size", "load") <= 1), "members"))
-        large = store(children.filter(_share("size", "load") > 1), "members")
-        drop(children)
-    drop(large)
-    drop(full)
-    return small, clusters, links
+def _divide(told: DataFrame, last: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Clusters to compare of large nodes with a few classes beyond their pivot, and the rows of other large nodes.
+
+    With last, these are dealt in parts too, and every two parts are a cluster.
+    """
+    rest = told.filter("NOT linked").groupBy("node").agg(F.count("*").alias("rest"), F.sum("n").alias("rest_load"))
+    left = told.join(rest.select("node", (_share("rest", "rest_load") <= 0.5).alias("few")), "node")
+    parts = F.ceil(2 * _share("size", "load")).cast("int")
+    own = F.pmod(F.xxhash64("cid"), parts).cast("int")
+    # The few are compared with all the others, which are dealt in parts.
+    dealt = F.when(F.col("linked"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
+    few = left.filter("few").select("node", "cid", F.explode(dealt).alias("part")).select(F.xxhash64("node", "part").alias("node"), "cid")
+    many = left.filter("NOT few")
+    if not last:
+        return [few], many
+    paired = many.select("node", "cid", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    return [few, paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid")], many.filter("false")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -368,16 +354,30 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = store(grouped.withColumn("cid", F.monotonically_increasing_id()).withColumn("n", F.col("n_shingles")), "classes")
 
     members = store(_members(classes.select(F.explode("roots").alias("node"), "cid", "n"), classes), "members")
-    fits = _share("size", "load") <= 1
-    large = store(members.filter(~fits), "members")
-    more, clusters, links = _large_nodes(large, docs, classes, percent)
-    small = _union([members.filter(fits), *more])
-    screened = _by(small.select("node", "cid", "n", "sketch"), "node").mapInArrow(_screen(percent), "cluster long, cid long")
-    clusters.append(store(screened.distinct(), "clusters"))
-    every = _union(clusters)
-    full = store(_full_sets(docs, classes, every.select("cid")), "sets")
-    links.append(store(_by(every.join(full, "cid"), "cluster").mapInArrow(_compare(percent), "a long, b long"), "links"))
-    tied = components(_union(links))
+    full, tables, clusters, links = None, [], [], []
+    for level in range(1, DEPTH + 1):
+        screened = _by(members.filter(F.col("size") <= NODE).select("node", "cid", "n", "sketch"), "node").mapInArrow(_screen(percent), "node long, cid long, n long, size long, load long")
+        found = store(screened.distinct(), "clusters")
+        light = _share("size", "load") <= 1
+        clusters.append(found.filter(light).select("node", "cid"))
+        heavy = found.filter(~light).join(classes.select("cid", "sketch"), "cid").select("node", "cid", "n", "sketch", "size", "load")
+        large = store(members.filter(F.col("size") > NODE).select(*heavy.columns).unionByName(heavy), "large")
+        drop(members)
+        tables.append(found)
+        if full is None:  # what later levels have is among these
+            full = store(_full_sets(docs, classes, found.select("cid").union(large.select("cid"))), "sets")
+        if large.isEmpty():
+            drop(large)
+            break
+        told = store(_against_pivots(large, full, percent), "told")
+        drop(large)
+        links.append(told.filter("linked AND cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+        parts, many = _divide(told, last=level == DEPTH)
+        clusters += parts
+        members = store(_members(_branches(many, level), classes), "members")
+        tables.append(told)
+    compared = store(_by(_union(clusters).join(full, "cid"), "node").mapInArrow(_compare(percent), "a long, b long"), "links")
+    tied = components(_union([*links, compared]))
 
     # Components are named by their smallest doc_id; classes without links are their own.
     named = classes.select("cid", F.col("first.doc_id").alias("doc_id"), *keys)
@@ -387,6 +387,6 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = sketches.select("doc_id", "text_key", *keys).join(placed, keys, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     out = store(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key"), "near_copies")
-    for table in (sketches, classes, members, full, tied, *more, *clusters, *links):
+    for table in (sketches, classes, members, full, compared, tied, *tables):
         drop(table)
     return out
