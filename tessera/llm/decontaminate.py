@@ -15,7 +15,6 @@ texts of several items for each of them.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import store
-from tessera.llm.text import ALNUM, Words, grams, slices, split
+from tessera.llm.text import ALNUM, U64, Words, grams, slices, split
 
 CHUNK_BYTES = 8 << 20
 SHINGLE = 4
@@ -32,56 +31,89 @@ FOUND = "n_words long, hit array<long>, items array<string>"
 
 
 class Index:
-    """Windows of one chunk of items, and the shingles that may reveal them."""
+    """Windows of one chunk of items, and the shingles that may reveal them, as flat arrays."""
 
     def __init__(self, texts: list[str | None], window: int):
         words = split(pa.array(texts, pa.string()), ALNUM)
-        self.window = window
-        hashes = words.hashes(lower=True)
-        by: dict[tuple[int, int], dict] = {}
-        for item, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            size = min(window, b - a)
-            if not size:
-                continue
-            own = hashes[a:b]
-            high, low = grams(own, size), grams(own, size, 1)
-            k = min(SHINGLE, size)
-            shingles = grams(own, k)
-            for s in range(b - a - size + 1):
-                w = by.setdefault((int(high[s]), int(low[s])), {"size": size, "shingles": shingles[s : s + size - k + 1], "items": set()})
-                w["items"].add(item)
-        self.windows = by
-        self.sizes = sorted({min(SHINGLE, w["size"]) for w in by.values()})
-        self.shingles = {k: np.unique(np.concatenate([w["shingles"] for w in by.values() if min(SHINGLE, w["size"]) == k])) for k in self.sizes}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> dict[int, tuple]:
-        """For each shingle length: sorted prefix shingles, and the windows each may start (CSR)."""
-        prefix: dict[int, dict[int, list]] = {k: defaultdict(list) for k in self.sizes}
-        for (high, low), w in self.windows.items():
-            k = min(SHINGLE, w["size"])
-            at = min(range(len(w["shingles"])), key=lambda j: (counts.get((k, int(w["shingles"][j])), 0), j))
-            if counts.get((k, int(w["shingles"][at])), 0):
-                prefix[k][int(w["shingles"][at])].append((at, w["size"], high, low, tuple(sorted(w["items"]))))
-        return {k: (np.array(sorted(p), np.uint64), [p[s] for s in sorted(p)]) for k, p in prefix.items() if p}
+        hashes, counts = words.hashes(lower=True), words.counts
+        parts = []  # (first word, item) of every window, by the number of its words
+        for size in range(1, window + 1):
+            items = np.flatnonzero(counts == size) if size < window else np.flatnonzero(counts >= window)
+            each = counts[items] - size + 1
+            begin = np.repeat(words.first[items] - np.concatenate(([0], np.cumsum(each)))[:-1], each) + np.arange(each.sum())
+            parts.append((size, begin, np.repeat(items, each)))
+        size = np.concatenate([np.full(len(begin), n) for n, begin, _ in parts])
+        start, item = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
+        high, low = np.zeros(len(size), U64), np.zeros(len(size), U64)
+        for n, begin, _ in parts:
+            if len(begin):
+                high[size == n], low[size == n] = grams(hashes, n)[begin], grams(hashes, n, 1)[begin]
+        # Equal windows are one, with the items that have it.
+        order = np.lexsort((item, low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        once = new.copy()
+        once[1:] |= item[order][1:] != item[order][:-1]
+        first = order[new]
+        self.size, self.high, self.low, self.start = size[first], high[first], low[first], start[first]
+        self.items = item[order][once]
+        self.item_first = np.append(np.flatnonzero(new[once]), len(self.items))
+        self.hashes = hashes
+        self.sizes = np.unique(np.minimum(SHINGLE, self.size)).tolist()
+        self.shingles = {}
+        for k in self.sizes:
+            each = self._each(k)
+            self.shingles[k] = np.unique(np.concatenate([grams(hashes, k)[at] for at, _ in each]))
+
+    def _each(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Windows whose shingles have k words, by size: the words where their shingles begin, and the windows."""
+        out = []
+        for size in [n for n in np.unique(self.size).tolist() if min(SHINGLE, n) == k]:
+            of = np.flatnonzero(self.size == size)
+            for i in range(0, len(of), 50_000):
+                some = of[i : i + 50_000]
+                out.append((self.start[some][:, None] + np.arange(size - k + 1), some))
+        return [(at.reshape(-1, at.shape[1]), some) for at, some in out]
+
+    def prefixes(self, counts: dict[int, np.ndarray]) -> dict[int, tuple]:
+        """For each shingle length: the windows by their rarest shingle that occurs, the first of equals."""
+        out = {}
+        for k in self.sizes:
+            every = grams(self.hashes, k)
+            which, offset, of = [], [], []
+            for at, some in self._each(k):
+                place = np.searchsorted(self.shingles[k], every[at])
+                least = counts[k][place].argmin(1)
+                which.append(place[np.arange(len(some)), least])
+                offset.append(least)
+                of.append(some)
+            which, offset, of = np.concatenate(which), np.concatenate(offset), np.concatenate(of)
+            some = np.flatnonzero(counts[k][which])  # a shingle that never occurs rules its windows out
+            some = some[np.argsort(which[some], kind="stable")]
+            keys, first = np.unique(which[some], return_index=True)
+            if len(keys):
+                w = of[some]
+                out[k] = self.shingles[k][keys], np.append(first, len(some)), offset[some], w, self.size[w], self.high[w], self.low[w]
+        return out
 
 
 def _marks(keys: np.ndarray) -> np.ndarray:
     table = np.zeros(1 << 22, bool)
-    table[keys & np.uint64((1 << 22) - 1)] = True
+    table[keys & U64((1 << 22) - 1)] = True
     return table
 
 
 def _look_up(keys: np.ndarray, marks: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose value is a key, and which key it is."""
-    at = np.flatnonzero(marks[found & np.uint64((1 << 22) - 1)])
+    at = np.flatnonzero(marks[found & U64((1 << 22) - 1)])
     which = np.minimum(np.searchsorted(keys, found[at]), len(keys) - 1)
     same = keys[which] == found[at]
     return at[same], which[same]
 
 
-def count_shingles(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
-    """How often each shingle of the index occurs in all documents (no more rows than shingles)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index.shingles)
+def count_shingles(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each shingle occurs in all documents (no more rows than shingles)."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
@@ -96,29 +128,40 @@ def count_shingles(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(n[some])], ["k", "i", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    return {(r.k, int(index.shingles[r.k][r.i])): r.n for r in rows}
+    rows = docs.select("text").mapInArrow(count, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toArrow()
+    k, i, n = (rows.column(c).to_numpy() for c in ("k", "i", "n"))
+    out = {size: np.zeros(len(v), np.int64) for size, v in shingles.items()}
+    for size in out:
+        out[size][i[k == size]] = n[k == size]
+    return out
 
 
-def _verify(words: Words, hashes: np.ndarray, prefix: dict[int, tuple], marks: dict[int, np.ndarray], window: int) -> list[tuple[int, int, int, tuple]]:
-    """(document, first word, words, items) of every occurrence of a window."""
+def _expand(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group number, its row and every place from first[group] to first[group + 1]."""
+    each = first[which + 1] - first[which]
+    row = np.repeat(np.arange(len(which)), each)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + first[which][row]
+
+
+def _verify(words: Words, hashes: np.ndarray, prefix: dict[int, tuple], marks: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(document, first word within it, words, window) of every occurrence of a window, by document."""
     found = []
     whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k, (keys, entries) in prefix.items():
+    for k, (keys, first, offset, window, sizes, high, low) in prefix.items():
         at, which = _look_up(keys, marks[k], grams(hashes, k))
-        if not len(at):
-            continue
-        doc = np.searchsorted(words.first, at, "right") - 1
-        for p, e, d in zip(at.tolist(), which.tolist(), doc.tolist(), strict=True):
-            for offset, size, high, low, items in entries[e]:
-                s = p - offset
-                if s < words.first[d] or s + size > words.first[d + 1]:
-                    continue
-                if size not in whole:
-                    whole[size] = grams(hashes, size), grams(hashes, size, 1)
-                if whole[size][0][s] == high and whole[size][1][s] == low:
-                    found.append((d, s, size, items))
-    return found
+        row, entry = _expand(first, which)
+        begin, doc = at[row] - offset[entry], (np.searchsorted(words.first, at, "right") - 1)[row]
+        inside = (begin >= words.first[doc]) & (begin + sizes[entry] <= words.first[doc + 1])
+        begin, doc, entry = begin[inside], doc[inside], entry[inside]
+        for size in np.unique(sizes[entry]).tolist():
+            if size not in whole:
+                whole[size] = grams(hashes, size), grams(hashes, size, 1)
+            own = np.flatnonzero(sizes[entry] == size)
+            own = own[(whole[size][0][begin[own]] == high[entry[own]]) & (whole[size][1][begin[own]] == low[entry[own]])]
+            found.append((doc[own], begin[own] - words.first[doc[own]], np.full(len(own), size), window[entry[own]]))
+    parts = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
+    order = np.argsort(parts[0], kind="stable")
+    return tuple(p[order] for p in parts)
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
@@ -139,10 +182,10 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     passes = []
     for chunk in range(chunks):
         rows = dealt.filter(F.col("chunk") == chunk).collect()  # distinct items, so about 3/4 of CHUNK_BYTES
+        rows.sort(key=lambda r: (r.item_id is not None, r.item_id or ""))  # items by name, those without one first
         index = Index([r.text for r in rows], window)
-        names = [r.item_id for r in rows]
-        shared = spark.sparkContext.broadcast((index.order(count_shingles(docs, index)), names))
-        passes.append(docs.mapInArrow(_search(shared, window), f"{keys}, {FOUND}"))
+        shared = spark.sparkContext.broadcast((index.prefixes(count_shingles(docs, index.shingles)), index.item_first, index.items, pa.array([r.item_id for r in rows], pa.string())))
+        passes.append(docs.mapInArrow(_search(shared), f"{keys}, {FOUND}"))
     if chunks == 1:
         return passes[0]
     every = passes[0]
@@ -153,24 +196,23 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     return every.groupBy("row").agg(*one, F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
 
 
-def _search(shared, window: int):
+def _search(shared):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, names = shared.value
-        marks = {k: _marks(keys) for k, (keys, _) in prefix.items()}
+        prefix, item_first, items, names = shared.value
+        marks = {k: _marks(p[0]) for k, p in prefix.items()}
+        unnamed = names.null_count
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split(part.column("text"), ALNUM)
                 n = part.num_rows
-                hits: list[list[int]] = [[] for _ in range(n)]
-                items: list[set] = [set() for _ in range(n)]
-                for d, s, size, which in _verify(words, words.hashes(lower=True), prefix, marks, window):
-                    hits[d].append(int(s - words.first[d]) << 16 | size)
-                    items[d].update(which)
+                doc, begin, size, window = _verify(words, words.hashes(lower=True), prefix, marks)
+                row, place = _expand(item_first, window)
+                pairs = np.unique(doc[row] * len(names) + items[place]) if len(row) else np.zeros(0, np.int64)
+                pairs = pairs[pairs % max(1, len(names)) >= unnamed]
+                hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(begin << 16 | size, pa.int64()))
+                named = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(names)), pa.int32()), names.take(pa.array(pairs % max(1, len(names)), pa.int64())))
                 keys = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keys), pa.array(words.counts), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(names[i] for i in x if names[i] is not None) for x in items], pa.list_(pa.string()))],
-                    [*keys, "n_words", "hit", "items"],
-                )
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.array(words.counts), hits, named], [*keys, "n_words", "hit", "items"])
 
     return search
 
