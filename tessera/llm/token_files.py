@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ FILE_SCHEMA = T.StructType(
     [T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("shard_offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
 TOKEN_SLICE = 3 << 20
+#: Text of one file at most, about, unless one document has more; small inputs have a file for each shuffle partition.
+SHARD_BYTES = 256 << 20
 
 
 def encode_with_end(tokenizer: str, end_id: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +58,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
                 )
                 done += int(offsets[-1])
 
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     (
         ordered.select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
@@ -68,13 +72,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows (doc_id, start, n_tokens, ids); start counts the ids of all documents before.
 
-    Shard totals come from the narrow columns alone, and there is one row of them per file.
+    Shard totals come from the narrow columns alone; there is one row of them per file, so one task sums them up.
     """
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = totals.alias("t").join(totals.select(F.col("shard").alias("earlier"), F.col("total").alias("part")), F.col("earlier") < F.col("shard"), "left")
-    bases = before.groupBy("shard").agg(F.coalesce(F.sum("part"), F.lit(0)).alias("base"))
-    # One row per file: as many as the shards of the write, so they may go to every task.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    # One row per file, of 12 bytes: as many as the shards of the write, so they may go to every task.
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_offset")).alias("start"), "n_tokens", "ids")
 
 
