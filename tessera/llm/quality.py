@@ -147,7 +147,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, label: str, limit: int =
 
     # The sample has a fixed bound, so it may be sent to every task.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<double>").limit(2 * limit).collect()
+    rows = sample.mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "terms", "counts").limit(2 * limit).collect()
     return sorted(rows, key=lambda r: (r.doc_id, r.label, r.terms, r.counts))
 
 

@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
 
     # The sample has a fixed bound, so it may be sent to every task.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(sample.mapInArrow(bags, "doc_id long, label int, sizes binary, features binary").limit(2 * limit).collect(), key=lambda r: (r.doc_id, r.label, r.features))
+    found = sample.mapInArrow(bags, "doc_id long, label int, sizes binary, features binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "features", "sizes").limit(2 * limit)
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.label, r.features))
     return train([np.frombuffer(r.sizes, "<i4") for r in rows], [np.frombuffer(r.features, "<i4") for r in rows], np.array([r.label for r in rows], float))
 
 
