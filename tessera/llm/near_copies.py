@@ -44,7 +44,7 @@ SHINGLE = 5
 SIGNATURE = 64
 TREES = 12
 #: Small nodes have at most so many classes; what is compared on full sets has so many shingles, unless it has FEW classes.
-NODE = 4096
+NODE = 16_384
 LOAD = 4 << 20
 FEW = 16
 #: Levels after which what is still large is compared part by part.
