@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,20 +16,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set."""
+    """spark.checkpoint.dir of the session; where none is set, a temporary folder on a single machine, an error on a cluster."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(found)
     return found
 
 
+#: Tables and files written to the shared folder and not deleted yet.
+_written: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def store(frame: DataFrame, name: str) -> DataFrame:
@@ -37,9 +48,25 @@ def store(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(frame: DataFrame) -> None:
     """Delete a table that store() wrote, once nothing reads it any more."""
-    spark = frame.sparkSession
     for path in {p.rpartition("/")[0] for p in frame.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(frame.sparkSession, path)
+        _written.difference_update({p for p in _written if p.rpartition("/")[2] == path.rpartition("/")[2]})
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete all that was written to the shared folder within, once the results are stored elsewhere."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in _written - before:
+            _delete(spark, path)
+            _written.discard(path)
