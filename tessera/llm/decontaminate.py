@@ -6,11 +6,14 @@ occurs where all its shingles do, one necessary prefix shingle, the rarest, suff
 A document position with such a shingle fixes where the window would lie (positional bound); it must
 lie within the document (length bound), and there all its words are compared (128-bit window hash).
 
-The benchmark is joined in chunks of at most CHUNK_BYTES of text, so what is broadcast has a fixed
+The benchmark is joined in chunks of at most CHUNK_BYTES of text, so what is broadcast (some six times that) has a fixed
 bound; a larger benchmark takes more passes over the documents, whose rows are numbered once and stored,
 so that every row keeps its own spans, null and repeated doc_ids too.  Item texts and document texts are
 lower-cased in A-Z.  Nulls and texts without words have no windows; copies of an item count once, equal
-texts of several items for each of them.
+texts of several items for each of them.  Texts count whole, whatever their length.  Every row of the
+documents gives a row, with text_key, a hash of its text, to tell rows of one doc_id apart; of shingles that
+are equally rare the first is the prefix.  Columns other than doc_id, text and item_id are not read, so their
+names cannot clash.  Without documents there are no rows, without items no hits.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import store
 from tessera.llm.text import ALNUM, U64, Words, grams, slices, split
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SHINGLE = 4
 FOUND = "n_words long, hit array<long>, items array<string>"
 
@@ -42,8 +45,8 @@ class Index:
             each = counts[items] - size + 1
             begin = np.repeat(words.first[items] - np.concatenate(([0], np.cumsum(each)))[:-1], each) + np.arange(each.sum())
             parts.append((size, begin, np.repeat(items, each)))
-        size = np.concatenate([np.full(len(begin), n) for n, begin, _ in parts])
-        start, item = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
+        size = np.concatenate([np.full(len(begin), n, np.int32) for n, begin, _ in parts])
+        start, item = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (1, 2))
         high, low = np.zeros(len(size), U64), np.zeros(len(size), U64)
         for n, begin, _ in parts:
             if len(begin):
@@ -62,18 +65,18 @@ class Index:
         self.sizes = np.unique(np.minimum(SHINGLE, self.size)).tolist()
         self.shingles = {}
         for k in self.sizes:
-            each = self._each(k)
-            self.shingles[k] = np.unique(np.concatenate([grams(hashes, k)[at] for at, _ in each]))
+            used = np.zeros(len(hashes), bool)
+            for at, _ in self._each(k):
+                used[at] = True
+            self.shingles[k] = np.unique(grams(hashes, k)[used[: len(hashes) - k + 1]])
 
-    def _each(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _each(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Windows whose shingles have k words, by size: the words where their shingles begin, and the windows."""
-        out = []
         for size in [n for n in np.unique(self.size).tolist() if min(SHINGLE, n) == k]:
             of = np.flatnonzero(self.size == size)
             for i in range(0, len(of), 50_000):
                 some = of[i : i + 50_000]
-                out.append((self.start[some][:, None] + np.arange(size - k + 1), some))
-        return [(at.reshape(-1, at.shape[1]), some) for at, some in out]
+                yield self.start[some][:, None] + np.arange(size - k + 1), some
 
     def prefixes(self, counts: dict[int, np.ndarray]) -> dict[int, tuple]:
         """For each shingle length: the windows by their rarest shingle that occurs, the first of equals."""
@@ -84,9 +87,9 @@ class Index:
             for at, some in self._each(k):
                 place = np.searchsorted(self.shingles[k], every[at])
                 least = counts[k][place].argmin(1)
-                which.append(place[np.arange(len(some)), least])
-                offset.append(least)
-                of.append(some)
+                which.append(place[np.arange(len(some)), least].astype(np.int32))
+                offset.append(least.astype(np.int32))
+                of.append(some.astype(np.int32))
             which, offset, of = np.concatenate(which), np.concatenate(offset), np.concatenate(of)
             some = np.flatnonzero(counts[k][which])  # a shingle that never occurs rules its windows out
             some = some[np.argsort(which[some], kind="stable")]
@@ -174,11 +177,11 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     size = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
     chunks = max(1, -(-4 * size // (3 * CHUNK_BYTES)) if size > CHUNK_BYTES else 1)
     dealt = items.withColumn("chunk", F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = "doc_id long"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    keys = "doc_id long, text_key long"
     if chunks > 1:  # numbers are only the same in every pass if they are stored
         dealt = store(dealt, "items")
-        docs, keys = store(docs.withColumn("row", F.monotonically_increasing_id()), "docs"), "doc_id long, row long"
+        docs, keys = store(docs.withColumn("row", F.monotonically_increasing_id()), "docs"), "doc_id long, text_key long, row long"
     passes = []
     for chunk in range(chunks):
         rows = dealt.filter(F.col("chunk") == chunk).collect()  # distinct items, so about 3/4 of CHUNK_BYTES
@@ -192,7 +195,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     for more in passes[1:]:
         every = every.unionByName(more.filter(F.size("hit") > 0))
     # A row's passes meet again; a row has at most the spans found in it.
-    one = (F.max(c).alias(c) for c in ("doc_id", "n_words"))
+    one = (F.max(c).alias(c) for c in ("doc_id", "text_key", "n_words"))
     return every.groupBy("row").agg(*one, F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
 
 
@@ -232,5 +235,5 @@ def contamination(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate(F.array_sort("hit"), F.struct(zero.alias("end"), zero.alias("n")), add, lambda state: state["n"])
     names = F.array_sort(F.array_distinct("items"))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "text_key"
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -44,7 +44,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import contamination, find
 
-    return contamination(find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return contamination(find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))).drop("text_key")
 
 
 def op6_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
