@@ -19,10 +19,13 @@ symbols meet inside a long repeat, they meet in every copy of it.
 Blocks are fixed by doc_id, the block's text is shuffled once and read three times; blocks and buckets
 grow in number with the corpus, so no task holds more than a few megabytes whatever the skew: a passage
 that a third of all documents share is one name per block.  Blocks send sorted arrays instead of a row
-per word, and get bits back.
+per word, and get bits back: a row for each bucket that a block has names for, which is one row for many
+names up to some terabytes and never more than one for each name.
 
-A null text has no words.  doc_id names a document: rows that share one are joined in text order, a
-null doc_id counts as smaller than every number.  An empty table gives no rows.
+A null or empty text has no words and nothing removed; a long one is a block's work as a whole.  doc_id
+names a document: rows that share one are one document to the others, none of them removes words of the
+rest, and each keeps its own row; a null doc_id counts as smaller than every number.  Columns other than
+doc_id and text are not read, so their names cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ STEPS = ("runs", "pairs", "pairs")
 #: Words on either side of a meeting of symbols that name it; they contain all that decides it.
 CONTEXT = 4
 BLOCK_BYTES = 2 << 20
+#: A bucket gets the names of about so many blocks' text, so a block sends a row to a quarter as many buckets.
+BLOCKS_PER_BUCKET = 4
 
 _NULL_DOC = -(1 << 63)
 FAR = np.int64(1) << 40
@@ -302,11 +307,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = BLOCK_B
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(16, -(-size // block_bytes))
+    buckets = max(16, blocks // BLOCKS_PER_BUCKET)
     texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    shared = texts.groupBy("block").applyInArrow(_send_names(window, blocks), MESSAGE).groupBy("bucket").applyInArrow(_shared_names, ANSWER)
-    windows = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, blocks), MESSAGE)
+    shared = texts.groupBy("block").applyInArrow(_send_names(window, buckets), MESSAGE).groupBy("bucket").applyInArrow(_shared_names, ANSWER)
+    windows = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, buckets), MESSAGE)
     answers = windows.groupBy("bucket").applyInArrow(_smaller_elsewhere, ANSWER)
     return (
         texts.groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInArrow(_mark(window, blocks), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        .applyInArrow(_mark(window, buckets), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     )

@@ -1,9 +1,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from tessera.llm.recompress import CONTEXT, FAR, remove_repeats, top_boundaries
+from tessera.llm.recompress import CONTEXT, FAR, Block, remove_repeats, top_boundaries
 from tessera.llm.text import mix
 from tests.llm.helpers import WORD, documents, empty
 
@@ -92,3 +96,27 @@ def test_passage_at_an_edge_of_one_document_and_amid_the_other(spark, length):
     want = brute(rows)
     assert all(want[2 * i + 1][1] >= length for i in range(600))
     assert result(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def names_of(texts, window=13):
+    """The names that each distinct window gets, wherever it lies."""
+    block = Block(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), window)
+    starts, names = block.names()
+    words, found = [WORD.findall(t) for t in texts], {}
+    first = block.words.first
+    for s, name in zip(starts.tolist(), names.tolist(), strict=True):
+        d = int(block.doc[s])
+        found.setdefault(tuple(words[d][s - first[d] : s - first[d] + window]), set()).add(name)
+    return found
+
+
+@given(st.lists(st.integers(0, 4), min_size=13, max_size=30), st.lists(st.tuples(st.lists(st.integers(0, 6), max_size=8), st.lists(st.integers(0, 6), max_size=8)), min_size=2, max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_equal_windows_have_equal_names_in_any_surroundings(passage, sides):
+    texts = [" ".join(map(str, [*left, *passage, *right])) for left, right in sides] + [" ".join(map(str, passage))]
+    assert all(len(names) == 1 for names in names_of(texts).values())
+
+
+def test_equal_windows_of_the_real_documents_have_equal_names(sf_dir):
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    assert all(len(names) == 1 for names in names_of([t or "" for t in texts]).values())
