@@ -131,10 +131,11 @@ def brute_vectors(rows):
     return {i: (degree[i], found[i], found[i] == i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("chunk", [1024, 40])
+@pytest.mark.parametrize("chunk", [4096, 40])
 def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(embedding_copies, "CHUNK", chunk)
     monkeypatch.setattr(embedding_copies, "LEAF", 64)
+    monkeypatch.setattr(embedding_copies, "BLOCK", 30)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 16))
     near = [b + rng.normal(size=16) * s for b in base[:40] for s in (0.05, 0.1, 0.2, 0.3)]
@@ -149,3 +150,33 @@ def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
     assert all(got[i][0] <= want[i][0] for i in want) and missed <= 0.01 * sum(w[0] for w in want.values())
     assert np.mean([got[i][1:] == want[i][1:] for i in want]) > 0.99
     assert embedding_copies.near_embeddings(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("classes", "copies"), [(50_000, 16), (1_000_000, 26)])
+def test_forest_recall_and_copies_at_the_threshold(classes, copies):
+    """Pairs of 64 numbers at a cosine of 0.9 meet in a leaf, and vectors lie in a bounded number of leaves."""
+    rng = np.random.default_rng(6)
+
+    def unit(n):
+        x = rng.normal(size=(n, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    forest = embedding_copies.grow(unit(6_000), classes, 64)
+    a, b = unit(400), unit(400)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = []
+    for x in (a, b):
+        row, leaf = forest.leaves(x)
+        met.append([set(leaf[row == i]) for i in range(len(x))])
+    assert np.mean([bool(p & q) for p, q in zip(*met, strict=True)]) >= 0.98
+    assert np.mean([len(p) for p in met[0]]) <= copies
+
+
+def test_cosines_at_the_threshold_are_told_in_double_precision():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = x @ x.T
+    for threshold in exact[np.triu_indices(60, 1)][:40]:
+        assert (embedding_copies._near(x, x, threshold + 1e-12) == (exact >= threshold + 1e-12)).all()
