@@ -8,7 +8,13 @@ the few pieces left over are placed best-fit.  The plan maps "the r-th piece of
 sequence and an offset, so pieces only need a rank within their length: per-task counts give each
 task its base and no length, however common, is gathered anywhere.
 
-A null text counts as empty: the document is the end id alone.  An empty table packs into nothing.
+The counts have a row for each task and length; Spark sends them to all tasks only below its own limit for
+that, and shuffles the narrow rows of the pieces beyond.
+
+A null text counts as empty: the document is the end id alone.  Long texts are cut into pieces, never
+dropped; rows that repeat are packed one by one, null doc_ids too.  Pieces of one length are alike to the
+plan: their order follows the tasks.  Columns other than doc_id and text are not read, so their names cannot
+clash.  An empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import store
+from tessera.llm.tables import drop, store
 from tessera.llm.text import slices
 from tessera.llm.token_files import TOKEN_SLICE, encode_with_end
 
@@ -174,7 +180,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     bases = counts.select("length", "part", (earlier - F.col("n")).alias("base"))
     ranked = cut.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
-    return _place(ranked, rows)
+    out = store(_place(ranked, rows), "packed")
+    for table in (cut, counts):
+        drop(table)
+    return out
 
 
 def _place(ranked: DataFrame, rows: list) -> DataFrame:

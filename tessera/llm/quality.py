@@ -7,9 +7,12 @@ decomposition of a bounded sample of labelled documents gives the latent space.
 are broadcast (at most SAMPLE rows of RANK numbers), and every document of the corpus is compared with
 all of them in blocks by exact cosine products; its NEIGHBOURS nearest vote by similarity.
 
-The sample is the SAMPLE labelled rows with the smallest hashes of doc_id.  A null or empty text has no
-terms and gets the sample's mean label; with no labels at all every score is 0.5.  Labels that are not
-0 or 1 are left out; a doc_id that repeats is scored row by row.
+The sample is the SAMPLE labelled rows with the smallest hashes of doc_id; where a doc_id repeats, of the
+rows that have these labels, the first 2 * SAMPLE in that order.  A null or empty text has no terms and
+gets the sample's mean label; with no labels at all every score is 0.5.  Texts count whole, whatever their
+length.  Labels that are not 0 or 1 are left out; a doc_id that repeats is scored row by row, and equal
+texts score alike.  Of neighbours that are equally near, which ones vote is fixed by the model alone.
+Other columns are passed on or not read; the name of the score may be chosen.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import unused
 from tessera.llm.text import U64, _window_sums, mix, slices, split
 
 TERMS = 4096
@@ -187,18 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     return model
 
 
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The given columns of every row, with its score."""
+def score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of every row, with its score in a column of its own, which none of them may be named like."""
+    if unused(name, columns) != name:
+        raise ValueError(f"there is a column {name} already: give the score another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema.add("score", "double")
-    text = "text" if "text" in columns else "scored_text"
+    schema = docs.select(*columns).schema.add(name, "double")
+    text = unused("scored_text", columns)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for part in slices(batch, text):
                 offsets, terms, counts, _ = term_counts(part.column(text))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(known.score(known.embed(offsets, terms, counts)), pa.float64())], [*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(known.score(known.embed(offsets, terms, counts)), pa.float64())], [*columns, name])
 
-    needed = [] if text == "text" else [F.col("text").alias(text)]
-    return docs.select(*columns, *needed).mapInArrow(rate, schema)
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(rate, schema)

@@ -6,7 +6,10 @@ have it.  Long hexadecimal runs have no keyword and are found on the bytes of a
 Tokens that carry a checksum of their own (a prefix, 30 characters and their CRC-32 in base 62) are
 kept only if it holds.
 
-Spans are code points, end exclusive.  A null text counts as empty; an empty table gives no rows.
+Spans are code points, end exclusive; of spans that start together the kinds' order decides.  A null text
+counts as empty and has no spans; null and repeated doc_ids give a row each.  Texts count whole, whatever
+their length.  The scan reads doc_id and text only, redaction passes all columns on, so no name can clash.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ by gradient steps over a bounded sample of labelled documents, the SAMPLE rows w
 of doc_id.  Scoring covers every sentence of every document and can return the offending ones.
 
 A null or empty text has no sentences and scores 0.  With no labels every score is the noisy-or of
-sentences at the starting bias.  Labels that are not 0 or 1 are left out.
+sentences at the starting bias.  Labels that are not 0 or 1 are left out; where a doc_id repeats, of the
+rows that have the sample's labels, the first 2 * SAMPLE by the same order train.  Texts count whole,
+whatever their length; rows that repeat are scored one by one, and equal texts score alike.  Other columns
+are passed on or not read; the names of the results may be chosen.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.tables import unused
 from tessera.llm.text import _BASE, _TABLE, ALNUM, U64, Words, _window_sums, byte_class, mix, slices, split
 
 FEATURES = 1 << 18
@@ -142,21 +146,25 @@ def train(sizes: list[np.ndarray], features: list[np.ndarray], y: np.ndarray, ro
     return model
 
 
-def score(docs: DataFrame, model: Model, columns: list[str], threshold: float = 0.5) -> DataFrame:
-    """The given columns of every row, its score, and the sentences beyond the threshold."""
+def score(docs: DataFrame, model: Model, columns: list[str], threshold: float = 0.5, names: tuple[str, str] = ("score", "sentences")) -> DataFrame:
+    """The given columns of every row, its score, and the sentences beyond the threshold, in two columns of their own."""
+    for name in names:
+        if unused(name, columns) != name:
+            raise ValueError(f"there is a column {name} already: give the result another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*columns).schema.add("score", "double").add("sentences", T.ArrayType(T.StringType()))
+    schema = docs.select(*columns).schema.add(names[0], "double").add(names[1], T.ArrayType(T.StringType()))
+    text = unused("scored_text", columns)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in slices(batch, "scored_text"):
-                sentences, sentence, feature, _ = instances(part.column("scored_text"))
+            for part in slices(batch, text):
+                sentences, sentence, feature, _ = instances(part.column(text))
                 p = known.sentences(sentence, feature, len(sentences.starts))
                 worst: list[list[str]] = [[] for _ in range(part.num_rows)]
                 bad = np.flatnonzero(p >= threshold)
                 for i, d in zip(bad.tolist(), (np.searchsorted(sentences.first, bad, "right") - 1).tolist(), strict=True):
                     worst[d].append(sentences.buf[sentences.starts[i] : sentences.ends[i]].tobytes().decode().strip())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(noisy_or(p, sentences.first)), pa.array(worst, pa.list_(pa.string()))], [*columns, "score", "sentences"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(noisy_or(p, sentences.first)), pa.array(worst, pa.list_(pa.string()))], [*columns, *names])
 
-    return docs.select(*columns, F.col("text").alias("scored_text")).mapInArrow(rate, schema)
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(rate, schema)

@@ -66,3 +66,18 @@ def test_a_text_under_the_id_of_a_copy_is_not_lost(spark, sf_dir):
     rows = [(1, "a b c d e f g", "en", "s", 1), (5, "a b c d e f g", "en", "s", 1), (5, "one two three four five six", "en", "s", 1)]
     kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, spark.createDataFrame(rows, schema), sf_dir)
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, rows[0][1]), (5, rows[2][1])]
+
+
+def test_columns_named_like_results_pass_through(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").selectExpr("*", "1 AS score", "'s' AS scored_text", "2 AS sentences", "3 AS text_key", "4 AS row", "5 AS node", "6 AS gone_id").limit(40)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+        stage(spark, docs, sf_dir).collect()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 40
+
+
+def test_a_clean_text_under_the_id_of_a_contaminated_one_stays(spark, sf_dir):
+    item = read(spark, sf_dir, "benchmark").first().text
+    rows = [(5, item, "en", "s", 1), (5, "a clean text of its own", "en", "s", 1)]
+    kept = dict(corpus_pipeline.STAGES)["decontaminate"](spark, spark.createDataFrame(rows, read(spark, sf_dir, "documents").schema), sf_dir)
+    assert [r.text for r in kept.collect()] == [rows[1][1]]
