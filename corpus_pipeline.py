@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: the training-data operators one after the other.
 
 Each stage gets all that the one before kept, as a written table.  A filtering stage removes the rows it
-decides against and leaves every other row as it was; rows without a doc_id always stay.
+decides against and leaves every other row as it was, whatever the length of its text; rows without a doc_id
+are never copies or contaminated.  Rows that repeat are judged alike.  Columns of documents are passed on
+under their names, which may be any.  An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -13,14 +15,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, near_copies, packing, quality, secrets
 from tessera.llm.bpe import default_tokenizer
-from tessera.llm.tables import read, store
+from tessera.llm.tables import drop, new_path, read, temporary_tables, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier scores below 0.7."""
+    """Drop the documents that the classifier scores below 0.7; null and empty texts get the mean label."""
     labels = read(spark, sf_dir, "labels").filter(quality.remainder("doc_id", 4) != 2)
     model = quality.fit(docs, labels, "quality")
-    return quality.score(docs, model, docs.columns).filter("score >= 0.7").select(*docs.columns)
+    name = unused("score", docs.columns)
+    return quality.score(docs, model, docs.columns, name).filter(F.col(name) >= 0.7).select(*docs.columns)
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents but for those found by doc_id and text: another text under the same doc_id stays."""
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,23 +37,22 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that share a doc_id are judged by their own texts; rows of one doc_id and text stay or go together.
     """
-    copies = near_copies.near_copies(docs, percent=75).filter("NOT kept").select(F.col("doc_id").alias("copy_id"), "text_key").distinct()
-    return docs.join(copies, (docs["doc_id"].cast("long") == copies["copy_id"]) & (F.xxhash64(docs["text"]) == copies["text_key"]), "left_anti")
+    return _without(docs, near_copies.near_copies(docs, percent=75).filter("NOT kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents of which a twentieth or more lies in benchmark windows."""
+    """Drop the documents of which a twentieth or more lies in benchmark windows; null and empty texts stay."""
     found = decontaminate.contamination(decontaminate.find(docs, read(spark, sf_dir, "benchmark")))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, found.filter("contaminated"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays."""
+    """Replace secrets in the texts; every document stays, null and empty texts as they are."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack into sequences of 2048 tokens."""
+    """Tokenise and pack into sequences of 2048 tokens; a null text counts as empty and is the end id alone."""
     return packing.pack(docs, default_tokenizer(), end_id=0, capacity=2048)
 
 
@@ -61,7 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The packed pieces; what a stage wrote in between, and its input, are deleted once its result is stored."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = new_path(spark, name)
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop(before)
+        docs = before = spark.read.parquet(path)
+    return docs
