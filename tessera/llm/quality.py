@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are the shapes of its words (runs of upper case, lower case, digits and each other
-sign, as in "Aa," or "A!!"), pairs of neighbouring shapes, and whether a word repeats the one before.
+A document's terms are its words, lower-cased in A-Z, their shapes (runs of upper case, lower case, digits
+and each other sign, as in "Aa," or "A!!"), pairs of neighbouring shapes, and whether a word repeats the one
+before; all are hashed to TERMS numbers.
 Term weights are damped counts times inverse document frequency over all documents; a truncated singular value
 decomposition of a bounded sample of labelled documents gives the latent space.  The labelled vectors
 are broadcast (at most SAMPLE rows of RANK numbers), and every document of the corpus is compared with
@@ -29,6 +30,10 @@ from tessera.llm.tables import unused
 from tessera.llm.text import U64, _window_sums, mix, slices, split
 
 TERMS = 4096
+#: The first terms are shapes, pairs of them and repeats, the others words.
+SHAPES = 3072
+#: Words say less about quality than shapes: their weights are this share.
+WORD_WEIGHT = 0.35
 RANK = 48
 SAMPLE = 4096
 NEIGHBOURS = 25
@@ -66,8 +71,9 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     doc = words.doc
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     same[1:] &= doc[1:] == doc[:-1]
-    terms = np.concatenate((shape, mix(shape[inner] * U64(3) + shape[inner + 1]), mix(same.astype(np.uint64) + U64(77)))) % U64(TERMS)
-    rows = np.concatenate((doc, doc[inner], doc))
+    forms = np.concatenate((shape, mix(shape[inner] * U64(3) + shape[inner + 1]), mix(same.astype(np.uint64) + U64(77)))) % U64(SHAPES)
+    terms = np.concatenate((forms, U64(SHAPES) + hashes % U64(TERMS - SHAPES)))
+    rows = np.concatenate((doc, doc[inner], doc, doc))
     keys, counts = np.unique(rows * TERMS + terms.astype(np.int64), return_counts=True)
     return np.searchsorted(keys, np.arange(n + 1) * TERMS), keys % TERMS, counts.astype(float), words.counts
 
@@ -183,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     counts = np.concatenate([np.array(r.counts, float) for r in rows])
     n_docs, frequency = document_frequencies(docs)
     weight = np.where(frequency > 0, np.log((1 + n_docs) / (1 + frequency)) + 0.3, 0)
+    weight[SHAPES:] *= WORD_WEIGHT
     dense = np.zeros((len(rows), TERMS), np.float32)
     dense[_rows(offsets), terms] = _damped(offsets, counts) * weight[terms]
     basis = _right_singular(dense, RANK)

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -66,5 +67,52 @@ def test_term_weights_count_all_documents(spark):
     offsets, terms, _, _ = quality.term_counts(pa.array(texts, pa.string()))
     frequency = np.bincount(terms, minlength=quality.TERMS)
     weight = quality.fit(docs, labels).weight
-    assert np.allclose(weight, np.where(frequency > 0, np.log((1 + len(texts)) / (1 + frequency)) + 0.3, 0))
+    share = np.where(np.arange(quality.TERMS) < quality.SHAPES, 1, quality.WORD_WEIGHT)
+    assert np.allclose(weight, share * np.where(frequency > 0, np.log((1 + len(texts)) / (1 + frequency)) + 0.3, 0))
     assert (weight[terms[offsets[20] :]] > 0).all()
+
+
+def test_votes_equal_a_plain_count(spark, sf_dir):
+    """Every document against every labelled vector, one by one."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model, ["doc_id"]).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        vector = model.embed(*quality.term_counts(pa.array([r.text]))[:3])[0].astype(float)
+        cosines = sorted(((float(v @ vector), y) for v, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
+        votes = [(max(c, 0) ** 8 + 1e-9, y) for c, y in cosines[: quality.NEIGHBOURS]]
+        want = sum(w * y for w, y in votes) / sum(w for w, _ in votes) if np.abs(vector).sum() else model.prior
+        # Neighbours that are equally near the last place may differ.
+        assert abs(got[r.doc_id] - want) < 1e-3 or abs(cosines[quality.NEIGHBOURS - 1][0] - cosines[quality.NEIGHBOURS][0]) < 1e-6
+
+
+def test_noisy_or_equals_a_plain_product(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        clean = 1.0
+        for sentence in re.split(r"[\n!.?]", r.text or ""):
+            _, which, feature, _ = toxicity.instances(pa.array([sentence]))
+            if len(which):
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + model.weight[feature].sum())))
+        assert abs(got[r.doc_id] - (1 - clean)) < 1e-9
+
+
+def test_names_of_results_may_be_chosen_and_must_be_free(spark):
+    frame = spark.createDataFrame([(1, "Some text.", 5, "x")], "doc_id long, text string, score int, sentences string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError, match="score"):
+        quality.score(frame, quality.fit(frame, labels), frame.columns)
+    assert quality.score(frame, quality.fit(frame, labels), frame.columns, "rating").first().score == 5
+    with pytest.raises(ValueError, match="sentences"):
+        toxicity.score(frame, toxicity.fit(frame, labels), ["doc_id", "sentences"])
+    row = toxicity.score(frame, toxicity.fit(frame, labels), frame.columns, names=("chance", "offending")).first()
+    assert row.sentences == "x" and 0 <= row.chance <= 1
+
+
+def test_sample_of_repeated_documents_is_bounded_in_order(spark):
+    docs = spark.createDataFrame([(i % 5, f"Text {i}.") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    few = quality.labelled_counts(docs, labels, "quality", limit=3)
+    assert len(few) == 6 and few == quality.labelled_counts(docs.repartition(7), labels, "quality", limit=3)

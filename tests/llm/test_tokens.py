@@ -1,3 +1,4 @@
+import glob
 import zlib
 
 import numpy as np
@@ -89,3 +90,21 @@ def test_plan_is_near_the_bound():
         large = int((lengths > 1024).sum())
         assert used <= 1.02 * max(lengths.sum() / 2048, large, len(lengths) / 2 * (lengths.min() > 682)) + 1
     assert plan({}, 2048) == []
+
+
+def test_files_hold_bloom_filters_and_row_indexes(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    write_token_files(docs, f"{tmp_path}/ids", default_tokenizer(), end_id=2, shards=3)
+    files = glob.glob(f"{tmp_path}/ids/*.orc")
+    assert files
+    java = spark._jvm.org.apache
+    for name in files:
+        reader = java.orc.OrcFile.createReader(java.hadoop.fs.Path(name), java.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        rows, kinds = reader.rows(), set()
+        for stripe in reader.getStripes():
+            kinds |= {(s.getColumn(), s.getKind().toString()) for s in rows.readStripeFooter(stripe).getStreamsList()}
+        assert (2, "BLOOM_FILTER_UTF8") in kinds and (2, "ROW_INDEX") in kinds  # column 2 is doc_id
+    one = read_token_files(spark, f"{tmp_path}/ids").filter("doc_id = 7")
+    assert one.count() == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in plan and "NestedLoop" not in plan
