@@ -142,6 +142,12 @@ def transpose(value: Column) -> Column:
     return value
 
 
+def rotate(value: Column, quarters: int) -> Column:
+    """An 8x8 board turned clockwise by so many times 90 degrees."""
+    turned = {0: lambda v: v, 1: lambda v: mirror(transpose(v)), 2: lambda v: mirror(byte_swap(v)), 3: lambda v: byte_swap(transpose(v))}
+    return turned[quarters % 4](value)
+
+
 def color_flip(occupied: Column, colors: Column) -> Column:
     return F.bitwise_not(colors).bitwiseAND(occupied)
 

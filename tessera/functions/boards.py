@@ -13,6 +13,8 @@ BLACK, WHITE = 1, 0
 FULL = 0xFFFFFFFFFFFFFFFF
 NOT_LEFT = U64(0x7F7F7F7F7F7F7F7F)
 NOT_RIGHT = U64(0xFEFEFEFEFEFEFEFE)
+#: The most moves that any board of so many rows has: fixed values.
+MOST_MOVES = {4: 6, 6: 19, 8: 28}
 #: (bits to the left if positive, cells that may be entered) for each of the eight directions.
 DIRECTIONS = ((1, NOT_RIGHT), (-1, NOT_LEFT), (8, U64(FULL)), (-8, U64(FULL)), (9, NOT_RIGHT), (7, NOT_LEFT), (-7, NOT_RIGHT), (-9, NOT_LEFT))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.jobs import relational, statespace
+from tessera.jobs import relational, statespace, storage
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **statespace.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **statespace.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **storage.QUERIES, **statespace.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **storage.ORACLES, **statespace.ORACLES}

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import bits
+from tessera.functions import bits, rates
 from tessera.operators import asof, nested_index
-from tessera.operators.ordinals import exclusive_prefix_sum, position
+from tessera.operators.ordinals import exclusive_prefix_sum, position, skip_rows
+from tessera.sources.records import player_of
 from tessera.sources.tables import read
 
 QUERIES: dict = {}
@@ -126,6 +127,14 @@ def resume_offset(spark, sf_dir):
     return sort_two_key(spark, sf_dir).filter("position >= 1000").select(*KEYS)
 
 
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn > 100")
+def resume_checked(spark, sf_dir):
+    """Skip the first 100 orders, whose last one must be the one that the run before finished with."""
+    rows = orders(spark, sf_dir).select("o_orderkey", "o_custkey")
+    finished = rows.orderBy("o_orderkey").limit(100).agg(F.max("o_orderkey").alias("o_orderkey")).first()
+    return skip_rows(rows, ["o_orderkey"], 100, finished.asDict())
+
+
 @query("SELECT l_partkey, l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ORDER BY 1, 2 LIMIT 500")
 def leading_sample(spark, sf_dir):
     return dedup_two_key(spark, sf_dir).orderBy(*KEYS).limit(500)
@@ -222,16 +231,58 @@ def range_lookup(spark, sf_dir):
     return orders(spark, sf_dir).filter(F.col("o_orderkey").between(700, 1250) & (F.col("o_custkey") >= 100)).select("o_orderkey", "o_custkey")
 
 
-@query(
-    "WITH r AS (SELECT user_id, ts, min(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL), l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') "
-    "SELECT l.event_id, l.user_id, r.view_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts"
-)
-def asof_le(spark, sf_dir):
-    """For each purchase, the user's last view at or before it."""
+def _nearest_sql(least: str, sign: str) -> str:
+    return (
+        f"WITH r AS (SELECT user_id, ts, {least}(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL), l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') "
+        f"SELECT l.event_id, l.user_id, r.view_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts {sign} r.ts"
+    )
+
+
+def _nearest(spark, sf_dir, join, run):
     events = read(spark, sf_dir, "events")
     left = events.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     right = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen"))
-    return asof.asof_le(left, right, "user_id", "ts", "seen", "view_id").select("event_id", "user_id", "view_id")
+    return join(left, right, "user_id", "ts", "seen", "view_id", run).select("event_id", "user_id", "view_id")
+
+
+@query(_nearest_sql("min", ">="))
+def asof_le(spark, sf_dir):
+    """For each purchase, the user's last view at or before it."""
+    return _nearest(spark, sf_dir, asof.asof_le, "first")
+
+
+@query(_nearest_sql("min", "<="))
+def asof_ge(spark, sf_dir):
+    """For each purchase, the user's first view at or after it."""
+    return _nearest(spark, sf_dir, asof.asof_ge, "first")
+
+
+DAYS = "SELECT l_suppkey, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) AS day, l_partkey FROM lineitem"
+
+
+def _run_sql(least: str) -> str:
+    return (
+        f"WITH r AS (SELECT l_suppkey, day, {least}(l_partkey) AS found FROM ({DAYS}) GROUP BY ALL), l AS (SELECT s_suppkey, 9000 + s_suppkey % 2000 AS day FROM supplier) "
+        "SELECT s_suppkey, found FROM l ASOF LEFT JOIN r ON l.s_suppkey = r.l_suppkey AND l.day >= r.day"
+    )
+
+
+def _run(spark, sf_dir, run):
+    right = lines(spark, sf_dir).select(F.col("l_suppkey").alias("s_suppkey"), F.datediff("l_shipdate", F.lit("1970-01-01")).alias("day"), "l_partkey")
+    left = read(spark, sf_dir, "supplier").select("s_suppkey", (9000 + F.col("s_suppkey") % 2000).cast("int").alias("day"))
+    return asof.asof_le(left, right, "s_suppkey", "day", "l_partkey", "found", run).select("s_suppkey", "found")
+
+
+@query(_run_sql("min"))
+def asof_first_of_run(spark, sf_dir):
+    """The last day before a supplier's own day: of its run of lines, the first."""
+    return _run(spark, sf_dir, "first")
+
+
+@query(_run_sql("max"))
+def asof_last_of_run(spark, sf_dir):
+    """The same, with the last of the run."""
+    return _run(spark, sf_dir, "last")
 
 
 @query(f"SELECT o_orderpriority, max({MONTH}) AS deepest FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1")
@@ -309,6 +360,17 @@ def popcount_histogram(spark, sf_dir):
     return lines(spark, sf_dir).groupBy(F.bit_count(F.col("l_partkey").bitwiseAND(F.lit(65535))).cast("long").alias("ones")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT l_returnflag, count(*) AS records, CAST(sum(bit_count(l_partkey & 65535)) AS BIGINT) AS ones, CAST(sum(bit_count(l_partkey & 65535)) * 1000 // count(*) AS BIGINT) AS average_permille, "
+    "CAST(16 - bit_count(bit_or(l_partkey & 65535)) AS BIGINT) AS idle_bits FROM lineitem GROUP BY 1"
+)
+def popcount_summary(spark, sf_dir):
+    """Average population of the patterns of 16 bits, and how many bits no pattern sets."""
+    pattern = F.col("l_partkey").bitwiseAND(F.lit(65535))
+    sums = lines(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("records"), F.sum(F.bit_count(pattern)).cast("long").alias("ones"), F.bit_or(pattern).alias("used"))
+    return sums.select("l_returnflag", "records", "ones", F.expr("ones * 1000 div records").alias("average_permille"), (16 - F.bit_count("used")).cast("long").alias("idle_bits"))
+
+
 #: Bits to number the patterns of 16 bits with k ones.
 BAND_BITS = [max(1, math.ceil(math.log2(math.comb(16, k)))) if math.comb(16, k) > 1 else 0 for k in range(17)]
 
@@ -324,6 +386,19 @@ def band_sizes(spark, sf_dir):
     return sized.rollup("ones").agg(F.sum("n").alias("records"), F.sum("size").cast("long").alias("bytes")).withColumn("ones", F.coalesce("ones", F.lit(-1).cast("long")))
 
 
+@query(
+    "WITH b AS (SELECT l_returnflag, bit_count(l_partkey & 65535) AS ones, count(*) AS n FROM lineitem GROUP BY ALL), w AS (SELECT l_returnflag, n, (n * [" + ",".join(map(str, BAND_BITS)) + "][ones + 1] + 7) // 8 AS bytes FROM b) "
+    "SELECT l_returnflag, CAST(sum(n) * 2 AS BIGINT) AS plain_bytes, CAST(sum(bytes) AS BIGINT) AS band_bytes, CAST((sum(n) * 2 - sum(bytes)) * 10000 // (sum(n) * 2) AS BIGINT) AS reduction_hundredths FROM w GROUP BY 1"
+)
+def band_reduction(spark, sf_dir):
+    """What numbering patterns within their population saves against two bytes each, in hundredths of a percent."""
+    table = F.array(*(F.lit(b).cast("long") for b in BAND_BITS))
+    ones = F.bit_count(F.col("l_partkey").bitwiseAND(F.lit(65535)))
+    counts = lines(spark, sf_dir).groupBy("l_returnflag", ones.alias("ones")).agg(F.count("*").alias("n"))
+    sums = counts.withColumn("bytes", F.floor((F.col("n") * F.element_at(table, F.col("ones") + 1) + 7) / 8)).groupBy("l_returnflag").agg((F.sum("n") * 2).alias("plain_bytes"), F.sum("bytes").cast("long").alias("band_bytes"))
+    return sums.withColumn("reduction_hundredths", F.expr("CASE WHEN plain_bytes > 0 THEN (plain_bytes - band_bytes) * 10000 div plain_bytes END"))
+
+
 @query(
     f"SELECT {MONTH} AS level, count(*) AS boards, CAST(sum(CAST(o_orderstatus = 'F' AS INT)) AS BIGINT) AS black, CAST(sum(CAST(o_orderstatus = 'O' AS INT)) AS BIGINT) AS white, count(DISTINCT o_custkey) AS groups, count(*) * 2 + count(DISTINCT o_custkey) * 16 AS uncompressed_bytes FROM orders GROUP BY 1"
 )
@@ -333,6 +408,20 @@ def level_store_stats(spark, sf_dir):
     return stats.withColumn("uncompressed_bytes", F.col("boards") * 2 + F.col("groups") * 16)
 
 
+@query(
+    f"WITH s AS (SELECT {MONTH} AS level, count(*) AS boards, count(DISTINCT o_custkey) AS groups FROM orders GROUP BY 1), b AS (SELECT level, boards, boards * 16 AS flat, boards * 2 + groups * 16 AS nested FROM s) "
+    "SELECT level, CAST(nested * 800 // boards AS BIGINT) AS bits_per_board_hundredths, CAST(flat * 1000 // nested AS BIGINT) AS ratio_permille, CAST(CASE WHEN flat >= nested THEN (flat - nested) * 10000 // flat ELSE -((nested - flat) * 10000 // flat) END AS BIGINT) AS reduction_hundredths FROM b"
+)
+def store_ratios(spark, sf_dir):
+    """Bits per board, ratio and reduction of a level with a nested index against flat keys; blank without boards."""
+    sized = level_store_stats(spark, sf_dir).select("level", "boards", (F.col("boards") * 16).alias("flat"), F.col("uncompressed_bytes").alias("nested"))
+
+    def share(value: str, whole: str, alias: str):
+        return F.expr(f"CASE WHEN {whole} <> 0 THEN {value} div {whole} END").alias(alias)
+
+    return sized.select("level", share("nested * 800", "boards", "bits_per_board_hundredths"), share("flat * 1000", "nested", "ratio_permille"), share("(flat - nested) * 10000", "flat", "reduction_hundredths"))
+
+
 SUMMARY = f"WITH m AS (SELECT {MONTH} AS level, o_custkey, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT level, CAST(sum(n) AS BIGINT) AS generated, count(*) AS uniq FROM m GROUP BY 1) "
 
 
@@ -397,6 +486,36 @@ def _bits_sql(order: list[int], width: int, value: str) -> str:
     return "(" + " | ".join(f"(((({value}) >> {width - 1 - p}) & 1) << {width - 1 - k})" for k, p in enumerate(order)) + ")"
 
 
+RING8 = bits.ring_order(8)
+WORDS = "WITH w AS (SELECT o_orderkey, CAST(" + MIXED + " AS UBIGINT) AS v FROM orders) "
+
+
+def as_hex(value):
+    return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+@query(WORDS + f"SELECT o_orderkey, printf('%016x', {_bits_sql(RING8, 64, 'v')}) AS ring, printf('%016x', v) AS back FROM w")
+def ring_permute64(spark, sf_dir):
+    """64 bits as an 8x8 board, from rows to rings and back."""
+    moved = orders(spark, sf_dir).select("o_orderkey", bits.gather_bits(mixed(), RING8).alias("moved"))
+    return moved.select("o_orderkey", as_hex(F.col("moved")).alias("ring"), as_hex(bits.gather_bits(F.col("moved"), bits.inverse_order(RING8))).alias("back"))
+
+
+#: Where each cell of an 8x8 board comes from after turns by 90, 180 and 270 degrees clockwise.
+TURNS = {
+    "quarter": [8 * (7 - c) + r for r in range(8) for c in range(8)],
+    "half": [8 * (7 - r) + 7 - c for r in range(8) for c in range(8)],
+    "three_quarters": [8 * c + 7 - r for r in range(8) for c in range(8)],
+}
+
+
+@query(WORDS + "SELECT o_orderkey, " + ", ".join(f"printf('%016x', {_bits_sql(order, 64, 'v')}) AS {name}" for name, order in TURNS.items()) + " FROM w")
+def bit_rotations(spark, sf_dir):
+    """The turns of a board by 90, 180 and 270 degrees."""
+    rows = orders(spark, sf_dir).select("o_orderkey", mixed().alias("v"))
+    return rows.select("o_orderkey", *(as_hex(bits.rotate(F.col("v"), k + 1)).alias(name) for k, name in enumerate(TURNS)))
+
+
 #: Row-major order of the cells of an 8x8 board after each symmetry.
 SYMMETRY = {
     "flipped": [8 * (7 - r) + c for r in range(8) for c in range(8)],
@@ -439,14 +558,29 @@ def two_way_split(spark, sf_dir):
     return each.groupBy("player").agg(F.sum("n").alias("rows_in"), F.count("*").alias("parts"))
 
 
-@query("SELECT p_partkey, CAST(" + " + ".join(f"((p_partkey >> {p}) & 1) * [" + ",".join(str(math.comb(p, k)) for k in range(17)) + f"][bit_count(p_partkey & {(1 << (p + 1)) - 1}) + 1]" for p in range(16)) + " AS BIGINT) AS rank FROM part WHERE p_partkey < 65536")
+@query("SELECT p_partkey, CAST(" + " + ".join(f"((p_partkey >> {p}) & 1) * [" + ",".join(str(math.comb(p, k)) for k in range(17)) + f"][bit_count(p_partkey & {(1 << (p + 1)) - 1}) + 1]" for p in range(16)) + " AS BIGINT) AS rank FROM part")
 def combinadic_rank(spark, sf_dir):
-    return read(spark, sf_dir, "part").filter("p_partkey < 65536").select("p_partkey", bits.combinadic_rank(F.col("p_partkey")).alias("rank"))
+    """Of every key, the place of its lower 16 bits among the patterns with as many ones."""
+    return read(spark, sf_dir, "part").select("p_partkey", bits.combinadic_rank(F.col("p_partkey").bitwiseAND(F.lit(65535))).alias("rank"))
 
 
-@query("SELECT p_partkey, p_partkey AS back FROM part WHERE p_partkey < 65536")
+@query("SELECT p_partkey, p_partkey & 65535 AS back FROM part")
 def combinadic_roundtrip(spark, sf_dir):
-    return combinadic_rank(spark, sf_dir).select("p_partkey", bits.combinadic_unrank(F.col("rank"), F.bit_count("p_partkey")).alias("back"))
+    ones = F.bit_count(F.col("p_partkey").bitwiseAND(F.lit(65535)))
+    return combinadic_rank(spark, sf_dir).select("p_partkey", bits.combinadic_unrank(F.col("rank"), ones).alias("back"))
+
+
+@query("SELECT p_partkey, CAST([" + ",".join(str(math.comb(16, k)) for k in range(17)) + "][bit_count(p_partkey & 65535) + 1] AS BIGINT) AS patterns FROM part")
+def binomials(spark, sf_dir):
+    """How many patterns of 16 bits have as many ones as each key's lower bits."""
+    return read(spark, sf_dir, "part").select("p_partkey", bits.binomial(16, F.bit_count(F.col("p_partkey").bitwiseAND(F.lit(65535))), 16).alias("patterns"))
+
+
+@query("SELECT o_orderkey, v | o_custkey AS occupied, v AS colors, xor(v | o_custkey, v) AS flipped FROM (SELECT o_orderkey, o_custkey, " + MIXED + " AS v FROM orders)")
+def color_flip(spark, sf_dir):
+    """The discs of the other colour among the occupied cells."""
+    boards = orders(spark, sf_dir).select("o_orderkey", mixed().bitwiseOR(F.col("o_custkey")).alias("occupied"), mixed().alias("colors"))
+    return boards.withColumn("flipped", bits.color_flip(F.col("occupied"), F.col("colors")))
 
 
 @query("SELECT o_orderkey, CAST(((o_orderkey & 15) | ((o_custkey & 15) << 4)) AS BIGINT) AS packed, o_orderkey & 15 AS low, o_custkey & 15 AS high FROM orders")
@@ -483,6 +617,22 @@ def eta_projection(spark, sf_dir):
     return levels.withColumn("total", total).select("level", F.expr("CASE WHEN done = 0 THEN NULL ELSE (total - done) * 100 div done END").alias("eta"))
 
 
+@query(SUMMARY + "SELECT level, generated AS mb_per_second, generated * 65536 AS boards_per_second, uniq * 65536 // 65536 AS back FROM s")
+def rate_conversion(spark, sf_dir):
+    """Megabytes a second as boards of 16 bytes a second, and back."""
+    return _levels(spark, sf_dir).select("level", F.col("generated").alias("mb_per_second"), rates.boards_per_second(F.col("generated")).alias("boards_per_second"), rates.megabytes_per_second(rates.boards_per_second(F.col("uniq"))).alias("back"))
+
+
+@query(
+    "SELECT o_orderkey, concat('level=', o_custkey % 61, '/player=', CASE WHEN o_orderkey % 2 = 1 THEN 'black' ELSE 'white' END) AS path, CASE WHEN o_orderkey % 2 = 1 THEN 'black' ELSE 'white' END AS player, "
+    "CAST(NULL AS VARCHAR) AS none FROM orders"
+)
+def path_player(spark, sf_dir):
+    """The folder of a level and player, the player read back from it, and from a path without one."""
+    path = F.format_string("level=%d/player=%s", F.col("o_custkey") % 61, F.when(F.col("o_orderkey") % 2 == 1, "black").otherwise("white"))
+    return orders(spark, sf_dir).select("o_orderkey", path.alias("path"), player_of(path).alias("player"), player_of(F.col("o_orderpriority")).alias("none"))
+
+
 @query(SUMMARY + "SELECT level, uniq, coalesce(lag(dups * 1000 // generated) OVER (ORDER BY level), 500) AS share_before FROM (SELECT *, generated - uniq AS dups FROM s)")
 def level_eta_split(spark, sf_dir):
     """The share of merging in the level before, in thousandths; half where there is none."""

@@ -8,18 +8,21 @@ them exchanged.  Each level is a committed table, so lineage ends there and a st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import boards
+from tessera.functions import bits, boards
 from tessera.sources.levels import LevelStore
+from tessera.sources.metadata import file_sizes
 
 BOARD = ["player", "occ", "col"]
 EDGE = "p_player byte, p_occ long, p_col long, player byte, occ long, col long, flipped boolean"
+FACTS = "n_moves int, passes boolean, terminal boolean"
 OUTCOME = "decimal(38,0)"
 
 
@@ -27,32 +30,44 @@ def _words(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy().view(np.uint64) if n != "player" else batch.column(n).to_numpy().astype(np.int64) for n in names]
 
 
-def edges(level: DataFrame, size: int) -> DataFrame:
-    """A row for each board and child; none for a finished board."""
+def expand(level: DataFrame, size: int) -> DataFrame:
+    """Each board with its children, one row for each, or one row without a child for a finished board.
+
+    Every row has the board's facts; `first` marks one row of each board, so that sums count it once.
+    """
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             player, occ, col = _words(batch, *BOARD)
             got = boards.children(occ, col, player, size)
-            at = got["parent"]
+            ends = np.flatnonzero(got["terminal"])
+            parent = np.concatenate((got["parent"], ends))
+            child = np.arange(len(parent)) >= len(got["parent"])  # no child
+            first = np.zeros(len(parent), bool)
+            first[np.unique(parent, return_index=True)[1]] = True
+            own = [a[parent] for a in (player.astype(np.int8), occ.view(np.int64), col.view(np.int64))]
+            found = [np.concatenate((got[k].astype(t) if t is not np.int64 else got[k].view(t), np.zeros(len(ends), t))) for k, t in (("player", np.int8), ("occupied", np.int64), ("black", np.int64), ("flipped", bool))]
+            told = [got[k][parent] for k in ("n_moves", "passes", "terminal")]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(a[at]) for a in (player.astype(np.int8), occ.view(np.int64), col.view(np.int64))), pa.array(got["player"].astype(np.int8)), pa.array(got["occupied"].view(np.int64)), pa.array(got["black"].view(np.int64)), pa.array(got["flipped"])],
-                ["p_player", "p_occ", "p_col", "player", "occ", "col", "flipped"],
+                [*map(pa.array, own), *(pa.array(a, mask=child) for a in found), pa.array(told[0].astype(np.int32)), *map(pa.array, told[1:]), pa.array(first)],
+                ["p_player", "p_occ", "p_col", "player", "occ", "col", "flipped", "n_moves", "passes", "terminal", "first"],
             )
 
-    return level.select(*BOARD).mapInArrow(expand, EDGE)
+    return level.select(*BOARD).mapInArrow(rows, f"{EDGE}, {FACTS}, first boolean")
 
 
-def facts(level: DataFrame, size: int) -> DataFrame:
-    """n_moves, passes and terminal of every board."""
+def edges(level: DataFrame, size: int) -> DataFrame:
+    """A row for each board and child; none for a finished board."""
+    return expand(level, size).filter("NOT terminal").select("p_player", "p_occ", "p_col", *BOARD, "flipped")
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            player, occ, col = _words(batch, *BOARD)
-            got = boards.children(occ, col, player, size)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in BOARD), pa.array(got["n_moves"].astype(np.int32)), pa.array(got["passes"]), pa.array(got["terminal"])], [*BOARD, "n_moves", "passes", "terminal"])
 
-    return level.select(*BOARD).mapInArrow(look, "player byte, occ long, col long, n_moves int, passes boolean, terminal boolean")
+def step_figures() -> list[Column]:
+    """Aggregates over an expansion: boards read, passes, finished boards and the most moves of a board."""
+    first = F.col("first").cast("int")
+    return [
+        F.coalesce(F.sum(first), F.lit(0)).alias("boards_read"), F.coalesce(F.sum(first * F.col("passes").cast("int")), F.lit(0)).alias("passes"),
+        F.coalesce(F.sum(first * F.col("terminal").cast("int")), F.lit(0)).alias("terminal"), F.coalesce(F.max("n_moves"), F.lit(0)).alias("max_moves"),
+    ]
 
 
 def solve(spark: SparkSession, path: str, size: int = 4, max_level: int | None = None) -> list[dict]:
@@ -65,39 +80,47 @@ def solve(spark: SparkSession, path: str, size: int = 4, max_level: int | None =
         seed = spark.createDataFrame([(int(canon[2][0]), int(canon[0][0]), int(canon[1][0]))], "player byte, occ long, col long")
         store.write("boards-0", seed, lambda f: {"level": 0, "generated": 1, "unique": f.count()})
     for level in range(store.deepest("boards"), last):
-        rows = store.read(f"boards-{level}")
-        merged = edges(rows, size).groupBy(*BOARD).agg(F.count("*").alias("times"))
+        expanded = expand(level_rows(store, level), size)
+        # The children merge and the parents' figures add up in one pass; a row without a child keeps them.
+        mine = [(F.col("first") & c).cast("long") for c in (F.lit(True), F.col("passes"), F.col("terminal"))]
+        merged = expanded.groupBy(*BOARD).agg(F.count("occ").alias("times"), *(F.sum(c).alias(n) for c, n in zip(mine, ("boards_read", "passes", "ended"), strict=True)), F.max("n_moves").alias("most"))
 
         def figures(f: DataFrame, level: int = level) -> dict:
-            r = f.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("generated"), F.count("*").alias("unique")).first()
-            return {"level": level + 1, "generated": int(r.generated), "unique": r.unique, "dups": int(r.generated) - r.unique}
+            r = f.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("times", "boards_read", "passes", "ended")), F.count("occ").alias("unique"), F.coalesce(F.max("most"), F.lit(0)).alias("most")).first()
+            if r.most > boards.MOST_MOVES[size]:
+                raise ValueError(f"level {level} has a board with {r.most} moves; boards of {size} rows have {boards.MOST_MOVES[size]} at most")
+            return {"level": level + 1, "generated": int(r.times), "unique": r.unique, "dups": int(r.times) - r.unique, "boards_read": int(r.boards_read), "passes": int(r.passes), "terminal": int(r.ended), "max_moves": r.most}
 
         if not store.write(f"boards-{level + 1}", merged, figures)["unique"]:
             break
     return [store.stats(f"boards-{k}") for k in range(store.deepest("boards") + 1)]
 
 
+def level_rows(store: LevelStore, level: int) -> DataFrame:
+    """The boards of a stored level; the row that only holds figures of finished parents is none."""
+    return store.read(f"boards-{level}").filter("occ IS NOT NULL")
+
+
 def retrograde(spark: SparkSession, path: str, size: int = 4) -> dict:
     """Outcome counts of every board, from the deepest level up; the first board's are the games'."""
     store = LevelStore(spark, path)
     for level in range(store.deepest("boards"), -1, -1):
         if store.committed(f"counts-{level}"):
             continue
-        rows = store.read(f"boards-{level}")
-        known = facts(rows, size)
-        black, white = F.bit_count(F.col("occ").bitwiseAND(F.col("col"))), F.bit_count(F.col("occ").bitwiseAND(F.bitwise_not(F.col("col"))))
-        ends = known.filter("terminal").select(*BOARD, *((c.cast("int").cast(OUTCOME)).alias(n) for n, c in (("black", black > white), ("white", black < white), ("tie", black == white))))
-        counted = ends
-        if store.committed(f"counts-{level + 1}"):
-            below = store.read(f"counts-{level + 1}")
-            joined = edges(rows, size).join(below, BOARD, "left")
-            checked = joined.withColumn("black", F.when(F.col("tie").isNull(), F.raise_error(F.lit("a child is missing from the level below")).cast(OUTCOME)).otherwise(F.col("black")))
-            sums = checked.groupBy(*(F.col(f"p_{c}").alias(c) for c in BOARD)).agg(
-                F.sum(F.when(F.col("flipped"), F.col("white")).otherwise(F.col("black"))).cast(OUTCOME).alias("black"),
-                F.sum(F.when(F.col("flipped"), F.col("black")).otherwise(F.col("white"))).cast(OUTCOME).alias("white"),
-                F.sum("tie").cast(OUTCOME).alias("tie"),
-            )
-            counted = ends.unionByName(sums)
+        expanded = expand(level_rows(store, level), size)
+        black, white = F.bit_count(F.col("p_occ").bitwiseAND(F.col("p_col"))), F.bit_count(F.col("p_occ").bitwiseAND(F.bitwise_not(F.col("p_col"))))
+        ends = {"black": black > white, "white": black < white, "tie": black == white}
+        below = store.read(f"counts-{level + 1}") if store.committed(f"counts-{level + 1}") else None
+        if below is None:  # the deepest level that was solved: boards with children have no counts yet
+            found = expanded.filter("terminal")
+            from_child = {n: F.lit(0).cast(OUTCOME) for n in ends}
+        else:
+            found = expanded.join(below, BOARD, "left")
+            missing = F.raise_error(F.lit("a child is missing from the level below")).cast(OUTCOME)
+            swapped = {"black": "white", "white": "black", "tie": "tie"}
+            from_child = {n: F.when(F.col("tie").isNull(), missing).otherwise(F.when(F.col("flipped"), F.col(swapped[n])).otherwise(F.col(n))) for n in ends}
+        sums = [F.sum(F.when(F.col("terminal"), ends[n].cast("int").cast(OUTCOME)).otherwise(from_child[n])).cast(OUTCOME).alias(n) for n in ends]
+        counted = found.groupBy(*(F.col(f"p_{c}").alias(c) for c in BOARD)).agg(*sums)
         store.write(f"counts-{level}", counted, lambda f: _census(f))
     return store.stats("counts-0")
 
@@ -107,17 +130,61 @@ def _census(counts: DataFrame) -> dict:
     return {"boards": r.boards, "black": int(r.black), "white": int(r.white), "tie": int(r.tie), "total": int(r.black + r.white + r.tie)}
 
 
+def _levels(store: LevelStore) -> DataFrame:
+    """All boards of all committed levels."""
+    every = None
+    for k in range(store.deepest("boards") + 1):
+        rows = level_rows(store, k).select(F.lit(k).alias("level"), *BOARD, "times" if k else F.lit(1).cast("long").alias("times"))
+        every = rows if every is None else every.unionByName(rows)
+    if every is None:
+        raise ValueError("the store has no committed level")
+    return every
+
+
 def level_report(spark: SparkSession, path: str) -> DataFrame:
-    """One row per level: boards by player, duplicates, and running totals."""
+    """One row per level: boards by player, bytes, ratios, duplicates, and running totals.
+
+    compressed_bytes are those of the level's files, uncompressed_bytes those of its keys of 16 bytes; ratios
+    with a zero denominator are blank.
+    """
     store = LevelStore(spark, path)
-    rows = [store.read(f"boards-{k}").select(F.lit(k).alias("level"), "player", "times" if k else F.lit(1).cast("long").alias("times")) for k in range(store.deepest("boards") + 1)]
-    every = rows[0]
-    for more in rows[1:]:
-        every = every.unionByName(more)
+    every = _levels(store)
     stats = every.groupBy("level").agg(F.count("*").alias("total"), F.sum((F.col("player") == boards.BLACK).cast("long")).alias("black"), F.sum((F.col("player") == boards.WHITE).cast("long")).alias("white"), F.sum("times").alias("generated"))
+    files = None
+    for k in range(store.deepest("boards") + 1):
+        some = file_sizes(store.read(f"boards-{k}")).agg(F.sum("bytes").alias("compressed_bytes")).select(F.lit(k).alias("level"), "compressed_bytes")
+        files = some if files is None else files.unionByName(some)
     running = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    dups = F.col("generated") - F.col("total")
-    return stats.withColumn("dups", dups).withColumn("dups_pct", F.try_divide(100.0 * dups, F.col("generated"))).withColumn("cumulative_generated", F.sum("generated").over(running))
+    dups, flat = F.col("generated") - F.col("total"), F.col("total") * 16
+    return (
+        stats.join(files, "level", "left").withColumn("uncompressed_bytes", flat)
+        .withColumn("ratio", F.try_divide(F.col("uncompressed_bytes"), F.col("compressed_bytes")))
+        .withColumn("reduction_pct", 100.0 - F.try_divide(100.0 * F.col("compressed_bytes"), F.col("uncompressed_bytes")))
+        .withColumn("bits_per_board", F.try_divide(8.0 * F.col("compressed_bytes"), F.col("total")))
+        .withColumn("dups", dups).withColumn("dups_pct", F.try_divide(100.0 * dups, F.col("generated"))).withColumn("cumulative_generated", F.sum("generated").over(running))
+    )
+
+
+def pattern_report(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Per level and player, of the lower 16 bits of the occupied cells in ring order: bits that are set,
+    their average, bits never set, and what numbering patterns within their population saves.
+
+    limit takes that many boards of each level, the smallest ones, for a quick look.
+    """
+    store = LevelStore(spark, path)
+    every = _levels(store)
+    if limit is not None:
+        every = every.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("occ", "col", "player"))).filter(F.col("place") <= limit)
+    pattern = bits.gather_bits(F.col("occ"), bits.ring_order(8)).bitwiseAND(F.lit(65535))
+    ones = F.bit_count("pattern")
+    table = F.array(*(F.lit((math.comb(16, k) - 1).bit_length()).cast("long") for k in range(17)))
+    bands = every.select("level", "player", pattern.alias("pattern")).groupBy("level", "player", ones.alias("ones")).agg(F.count("*").alias("n"), F.bit_or("pattern").alias("used"))
+    sized = bands.withColumn("bytes", F.floor((F.col("n") * F.element_at(table, F.col("ones") + 1) + 7) / 8))
+    sums = sized.groupBy("level", "player").agg(F.sum("n").alias("boards"), F.sum(F.col("n") * F.col("ones")).alias("bits_set"), F.bit_or("used").alias("used"), F.sum("bytes").cast("long").alias("band_bytes"))
+    return sums.select(
+        "level", "player", "boards", "bits_set", F.try_divide(F.col("bits_set"), F.col("boards")).alias("average"), (16 - F.bit_count("used")).alias("idle_bits"), (F.col("boards") * 2).alias("plain_bytes"), "band_bytes",
+        (100.0 - F.try_divide(100.0 * F.col("band_bytes"), F.col("boards") * 2)).alias("reduction_pct"),
+    )
 
 
 def derived_boards(orders: DataFrame) -> DataFrame:
@@ -149,6 +216,22 @@ def reversi_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(rows, 4).groupBy(*BOARD).agg(F.count("*").alias("times"))
 
 
+def reversi_step_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of one step over the orders' distinct boards, by player: boards read, passes, finished, most moves."""
+    rows = derived_boards(spark.read.parquet(f"{sf_dir}/orders.parquet")).select(*BOARD).distinct()
+    expanded = expand(rows, 4)
+    return expanded.groupBy(F.col("p_player").alias("player")).agg(*step_figures())
+
+
+def reversi_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' distinct boards on which neither player can move, with who has won."""
+    rows = derived_boards(spark.read.parquet(f"{sf_dir}/orders.parquet")).select(*BOARD).distinct()
+    ends = expand(rows, 4).filter("terminal")
+    black, all_ = F.bit_count(F.col("p_occ").bitwiseAND(F.col("p_col"))), F.bit_count("p_occ")
+    outcome = F.when(2 * black > all_, "BLACK").when(2 * black < all_, "WHITE").otherwise("TIE")
+    return ends.select(*(F.col(f"p_{c}").alias(c) for c in BOARD), outcome.alias("outcome"))
+
+
 CELLS4 = [(r, c) for r in range(2, 6) for c in range(2, 6)]
 
 
@@ -216,5 +299,20 @@ def children_sql() -> str:
     )
 
 
-QUERIES = {"reversi_moves": reversi_moves, "reversi_children": reversi_children}
-ORACLES = {"reversi_moves": moves_sql(), "reversi_children": children_sql()}
+def figures_sql() -> str:
+    return (
+        f"WITH {_boards_sql()}, s AS (SELECT DISTINCT player, occ, col, {SIDES} FROM c), m AS (SELECT player, bit_count({_moves('own', 'other')}) AS mine, bit_count({_moves('other', 'own')}) AS theirs FROM s) "
+        "SELECT CAST(player AS TINYINT) AS player, count(*) AS boards_read, count(*) FILTER (mine = 0 AND theirs > 0) AS passes, count(*) FILTER (mine = 0 AND theirs = 0) AS terminal, CAST(max(CASE WHEN mine > 0 THEN mine ELSE theirs END) AS INT) AS max_moves FROM m GROUP BY 1"
+    )
+
+
+def ends_sql() -> str:
+    return (
+        f"WITH {_boards_sql()}, s AS (SELECT DISTINCT player, occ, col, {SIDES} FROM c) SELECT CAST(player AS TINYINT) AS player, occ, col, "
+        "CASE WHEN 2 * bit_count(col) > bit_count(occ) THEN 'BLACK' WHEN 2 * bit_count(col) < bit_count(occ) THEN 'WHITE' ELSE 'TIE' END AS outcome "
+        f"FROM s WHERE {_moves('own', 'other')} = 0 AND {_moves('other', 'own')} = 0"
+    )
+
+
+QUERIES = {"reversi_moves": reversi_moves, "reversi_children": reversi_children, "reversi_step_figures": reversi_step_figures, "reversi_ends": reversi_ends}
+ORACLES = {"reversi_moves": moves_sql(), "reversi_children": children_sql(), "reversi_step_figures": figures_sql(), "reversi_ends": ends_sql()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordinals import exclusive_prefix_sum, position
+from tessera.operators.ordinals import carry_forward, exclusive_prefix_sum, position
 
 
 def leaf(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,7 +24,12 @@ def level(frame: DataFrame, keys: list[str], depth: int) -> DataFrame:
 
 
 def expand(index: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
-    """Rebuild full keys from the last prefix level and the leaf patterns by position."""
-    places = F.explode(F.sequence("offset", F.col("offset") + F.col("children") - 1))
-    owners = index.select(*keys[:-1], places.alias("position"))
-    return owners.join(leaves.select("position", keys[-1]), "position").select(*keys, "position")
+    """Rebuild full keys from the last prefix level and the leaf patterns by position.
+
+    A prefix stands before its first leaf and is carried on to the last, so no prefix, however many leaves
+    it has, becomes an array or a task of its own.
+    """
+    owners = index.select(F.struct(*keys[:-1]).alias("__owner"), F.col("offset").alias("position"), F.lit(0).alias("__side"))
+    both = owners.unionByName(leaves.select("position", keys[-1], F.lit(1).alias("__side")), allowMissingColumns=True)
+    carried = carry_forward(both, ["position", "__side"], "__owner", "__last").filter("__side = 1")
+    return carried.select(*(F.col(f"__last.{k}").alias(k) for k in keys[:-1]), keys[-1], "position")

@@ -1,7 +1,8 @@
-"""Ordinal positions and running sums over a whole table in key order, without a single-task window.
+"""Ordinal positions, running sums and values carried on over a whole table in key order.
 
-The table is dealt by range of its keys and written once with the number of the range; the ranges'
-totals, one row each, are summed up, and within a range a window does the rest.
+No window runs over the whole table in one task: rows are dealt by range of their keys and written once in
+order, with their place; what a range passes on to the next is one row, and within a range a window does
+the rest.  So no key, however frequent, and no group keeps its rows in one task.
 """
 
 from __future__ import annotations
@@ -11,19 +12,55 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import store
 
+#: Bits of a place below the number of its range.
+PLACE_BITS = 33
+
+
+def _ranged(frame: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """The rows, written in key order: __place grows along the whole order, __range numbers its ranges."""
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = frame.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id())
+    return store(ordered, "ranges").withColumn("__range", F.shiftright("__place", PLACE_BITS))
+
 
 def exclusive_prefix_sum(frame: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """Add the sum of value over all rows whose keys come before; keys must identify rows."""
-    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frame.withColumn("__value", value.cast("long")).repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id())
-    ranged = store(ranged, "ranges")
+    ranged = _ranged(frame.withColumn("__value", value.cast("long")), keys)
     totals = ranged.groupBy("__range").agg(F.sum("__value").alias("__total"))
     # One row per range, whatever the size of the table.
     bases = totals.select("__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__base"))
-    before = F.sum("__value").over(Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(bases), "__range").withColumn(name, (F.col("__base") + before - F.col("__value")).cast("long")).drop("__range", "__value", "__base")
+    before = F.sum("__value").over(Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(bases), "__range").withColumn(name, (F.col("__base") + before - F.col("__value")).cast("long")).drop("__range", "__place", "__value", "__base")
 
 
 def position(frame: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
     """Add each row's place in key order, from 0."""
     return exclusive_prefix_sum(frame, keys, F.lit(1), name)
+
+
+def carry_forward(frame: DataFrame, keys: list[str | Column], column: str, name: str) -> DataFrame:
+    """Add the last value of a column that is not null, up to and with each row, in key order."""
+    ranged = _ranged(frame, keys)
+    ends = ranged.filter(F.col(column).isNotNull()).groupBy("__range").agg(F.max_by(column, "__place").alias("__end"))
+    ranges = ranged.select("__range").distinct().join(ends, "__range", "left")
+    # One row per range, whatever the size of the table.
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.select("__range", F.last("__end", ignorenulls=True).over(earlier).alias("__base"))
+    own = F.last(column, ignorenulls=True).over(Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(bases), "__range").withColumn("__own", own).withColumn(name, F.coalesce("__own", "__base")).drop("__range", "__place", "__base", "__own")
+
+
+def skip_rows(frame: DataFrame, keys: list[str], n: int, last: dict | None = None) -> DataFrame:
+    """The rows after the first n in key order; if the last one skipped is not `last`, the scan fails.
+
+    A run that resumes names the row that it finished with, so a table that changed meanwhile is noticed.
+    """
+    placed = position(frame, keys)
+    after = F.col("position") >= n
+    if last:
+        same = F.lit(True)
+        for k, v in last.items():
+            same = same & F.col(k).eqNullSafe(F.lit(v))
+        wrong = F.raise_error(F.lit("the last row skipped is not the one that was finished with")).cast("boolean")
+        after = F.when((F.col("position") == n - 1) & ~same, wrong).otherwise(after)
+    return placed.filter(after).drop("position")

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def footer_summary(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(records, min_key, max_key).  With aggregate push-down only footers are read."""
-    settings = {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": ""}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        out = spark.read.parquet(path).agg(F.count("*").alias("records"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))
-        out._jdf.queryExecution().optimizedPlan()  # planned under these settings
-        return out
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    """(records, min_key, max_key).  With aggregate push-down only footers are read.
+
+    The settings for that are those of a session of its own, so queries of the given one do not see them.
+    """
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    reader.conf.set("spark.sql.sources.useV1SourceList", "")
+    return reader.read.parquet(path).agg(F.count("*").alias("records"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))
+
+
+def file_sizes(frame: DataFrame) -> DataFrame:
+    """(file, bytes) of the files that a table is read from; none of their columns is."""
+    return frame.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()

@@ -5,10 +5,12 @@ Tiers name trade-offs, not formats of their own: Parquet does the encoding.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.captured import CapturedException as SparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 #: Writer options by tier.
 TIERS = {
@@ -26,10 +28,13 @@ def write_records(frame: DataFrame, path: str, keys: list[str], tier: str = "pac
 
 
 def open_records(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame | None:
-    """The table, or None where there is no readable file with the columns asked for."""
+    """The table, or None where a file is damaged or there is none with the columns asked for.
+
+    All footers are read, in tasks, so a damaged file is found before any row is used.
+    """
     try:
-        found = spark.read.parquet(path)
-    except AnalysisException:
+        found = spark.read.option("mergeSchema", "true").parquet(path)
+    except (AnalysisException, Py4JJavaError, SparkException):
         return None
     if any(f.name not in found.columns for f in schema):
         return None
@@ -48,6 +53,17 @@ def read_levels(spark: SparkSession, path: str, level: int | None = None, player
     return found if player is None else found.filter(F.col("player") == player)
 
 
+def level_path(level: int, player: str) -> str:
+    """The folder of one level and player, black or white."""
+    return f"level={level}/player={player}"
+
+
+def player_of(path: Column) -> Column:
+    """The player that a path's folder names; null where it names none."""
+    found = F.regexp_extract(path, r"(?:^|/)player=(black|white)(?:/|$)", 1)
+    return F.when(found != "", found)
+
+
 def concatenate(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The segments' rows; older segments may lack columns, which are null there."""
     return spark.read.option("mergeSchema", "true").parquet(*paths)

@@ -107,6 +107,40 @@ def test_small_board_is_solved_and_resumes(spark, tmp_path):
     assert LevelStore(spark, path).deepest("boards") == len(levels) - 1
 
 
+def test_figures_of_levels_equal_plain_counts(spark, tmp_path):
+    path = str(tmp_path)
+    levels = statespace.solve(spark, path, 4, max_level=7)
+    store, order = LevelStore(spark, path), ring_order(8)
+    patterns = {(r.level, r.player): r for r in statespace.pattern_report(spark, path).collect()}
+    report = {r.level: r for r in statespace.level_report(spark, path).collect()}
+    for k in range(7):
+        rows = statespace.level_rows(store, k).collect()
+        moves = [(walk(cells_of(r.occ, r.col), r.player, 4), walk(cells_of(r.occ, r.col), 1 - r.player, 4)) for r in rows]
+        step = levels[k + 1]
+        assert step["boards_read"] == len(rows)
+        assert step["passes"] == sum(not own and bool(other) for own, other in moves)
+        assert step["terminal"] == sum(not own and not other for own, other in moves)
+        assert step["max_moves"] == max(len(own or other) for own, other in moves) <= boards.MOST_MOVES[4]
+        for player in {r.player for r in rows}:
+            leaves = [sum(((r.occ >> (63 - p)) & 1) << (63 - i) for i, p in enumerate(order)) & 0xFFFF for r in rows if r.player == player]
+            got, used = patterns[k, player], 0
+            for leaf in leaves:
+                used |= leaf
+            assert (got.boards, got.bits_set, got.idle_bits) == (len(leaves), sum(x.bit_count() for x in leaves), 16 - used.bit_count())
+            assert abs(got.average - got.bits_set / got.boards) < 1e-12 and got.plain_bytes == 2 * len(leaves) >= got.band_bytes
+        own = report[k]
+        assert own.uncompressed_bytes == 16 * len(rows) and own.compressed_bytes > 0
+        assert abs(own.bits_per_board - 8 * own.compressed_bytes / len(rows)) < 1e-9 and abs(own.ratio - own.uncompressed_bytes / own.compressed_bytes) < 1e-9
+    few = {r.level: r.boards for r in statespace.pattern_report(spark, path, limit=1).collect()}
+    assert set(few.values()) == {1} and set(few) == set(report)
+
+
+def test_more_moves_than_a_board_can_have_stop_the_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(boards, "MOST_MOVES", {4: 2})
+    with pytest.raises(ValueError, match="moves"):
+        statespace.solve(spark, str(tmp_path), 4, max_level=6)
+
+
 def test_a_missing_child_is_an_error(spark, tmp_path):
     path = str(tmp_path)
     statespace.solve(spark, path, 4, max_level=4)
