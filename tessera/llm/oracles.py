@@ -57,4 +57,24 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id))
 FROM embeddings LEFT JOIN degree ON degree.id = vec_id LEFT JOIN smallest ON smallest.id = vec_id
 """
 
-ORACLES = {"op1_repeats": REPEATS, "op5_decontaminate": CONTAMINATION, "op6_embedding_copies": EMBEDDING_COPIES, "op8_near_copies": NEAR_COPIES}
+
+SPELLING = f"""
+WITH t AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS times FROM r GROUP BY ALL),
+b AS (SELECT *, list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: ord(x)) AS points FROM d),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [195, p - 64] END))), lambda s, c: xor(crc[(xor(s, c) & 255) + 1], s >> 8)), 4294967295) AS hash FROM b, t),
+e AS (SELECT CASE WHEN hash % 97 = 0 THEN substr(run, 1, CAST(hash % length(run) AS BIGINT)) || substr(run, CAST(hash % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM h),
+w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) x(i)),
+p AS (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word FROM g a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word FROM g a JOIN w b ON a.rest = b.word),
+q AS (SELECT p.a AS word, count(*) AS near, max(w.n) AS best FROM p JOIN w ON p.b = w.word GROUP BY 1),
+f AS (SELECT p.a AS word, min(p.b) AS form FROM p JOIN w ON p.b = w.word JOIN q ON q.word = p.a AND q.best = w.n GROUP BY 1),
+o AS (SELECT w.word, CASE WHEN best >= 2 * n THEN form END AS form, n, coalesce(near, 0) AS n_near, CASE WHEN best >= 2 * n THEN best END AS form_n FROM w LEFT JOIN q USING (word) LEFT JOIN f USING (word)),
+s(word, root) AS (SELECT word, word FROM o UNION ALL SELECT s.word, o.form FROM s JOIN o ON o.word = s.root WHERE o.form IS NOT NULL),
+z AS (SELECT s.word, s.root FROM s JOIN o ON o.word = s.root WHERE o.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM o JOIN z USING (word)
+""".replace("WITH t", "WITH RECURSIVE t", 1)
+
+ORACLES = {"op1_repeats": REPEATS, "op5_decontaminate": CONTAMINATION, "op6_embedding_copies": EMBEDDING_COPIES, "op8_near_copies": NEAR_COPIES, "op11_spelling": SPELLING}

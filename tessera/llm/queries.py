@@ -80,6 +80,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,4 +93,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op6_embedding_copies, op7_packing, op8_near_copies, op9_toxicity, op10_html_text, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op6_embedding_copies, op7_packing, op8_near_copies, op9_toxicity, op10_html_text, op11_spelling, pipeline)}

@@ -109,7 +109,11 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
 def split(texts: pa.Array | pa.ChunkedArray, table: np.ndarray = NON_SPACE) -> Words:
     """Words are maximal runs of bytes of the class, within one document."""
     buf, offsets = text_bytes(texts)
-    inside = table[buf]
+    return runs(buf, offsets, table[buf])
+
+
+def runs(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """Words are maximal runs of bytes that lie inside, within one document."""
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(buf), bool)
