@@ -40,14 +40,20 @@ def position(frame: DataFrame, keys: list[str], name: str = "position") -> DataF
 
 def carry_forward(frame: DataFrame, keys: list[str | Column], column: str, name: str) -> DataFrame:
     """Add the last value of a column that is not null, up to and with each row, in key order."""
-    ranged = _ranged(frame, keys)
-    ends = ranged.filter(F.col(column).isNotNull()).groupBy("__range").agg(F.max_by(column, "__place").alias("__end"))
-    ranges = ranged.select("__range").distinct().join(ends, "__range", "left")
+    return carry_all(frame, keys, {name: F.col(column)})
+
+
+def carry_all(frame: DataFrame, keys: list[str | Column], columns: dict[str, Column]) -> DataFrame:
+    """Add under each name the last value of its column that is not null, up to and with each row, in key order."""
+    held = {name: f"__held_{i}" for i, name in enumerate(columns)}
+    ranged = _ranged(frame.withColumns({held[n]: c for n, c in columns.items()}), keys)
+    ends = ranged.groupBy("__range").agg(*(F.max_by(h, F.when(F.col(h).isNotNull(), F.col("__place"))).alias(h) for h in held.values()))
     # One row per range, whatever the size of the table.
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranges.select("__range", F.last("__end", ignorenulls=True).over(earlier).alias("__base"))
-    own = F.last(column, ignorenulls=True).over(Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(bases), "__range").withColumn("__own", own).withColumn(name, F.coalesce("__own", "__base")).drop("__range", "__place", "__base", "__own")
+    bases = ends.select("__range", *(F.last(h, ignorenulls=True).over(earlier).alias(f"{h}_base") for h in held.values()))
+    own = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    told = ranged.join(F.broadcast(bases), "__range").select("*", *(F.coalesce(F.last(h, ignorenulls=True).over(own), F.col(f"{h}_base")).alias(f"{h}_found") for h in held.values()))
+    return told.select(*frame.columns, *(F.col(f"{h}_found").alias(n) for n, h in held.items()))
 
 
 def skip_rows(frame: DataFrame, keys: list[str], n: int, last: dict | None = None) -> DataFrame:
