@@ -77,4 +77,20 @@ z AS (SELECT s.word, s.root FROM s JOIN o ON o.word = s.root WHERE o.form IS NUL
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM o JOIN z USING (word)
 """.replace("WITH t", "WITH RECURSIVE t", 1)
 
-ORACLES = {"op1_repeats": REPEATS, "op5_decontaminate": CONTAMINATION, "op6_embedding_copies": EMBEDDING_COPIES, "op8_near_copies": NEAR_COPIES, "op11_spelling": SPELLING}
+COLLOCATIONS = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM t),
+total AS (SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM p GROUP BY 1),
+g AS (SELECT lang, words[i:i + k - 1] AS ws, k FROM p, (SELECT unnest(range(1, 6)) AS k), unnest(range(1, len(words) - k + 2)) x(i)),
+f AS (SELECT lang, ws, k, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.ws, c.k, c.f AS a, cut, x.f AS l, y.f AS r, (1000 * c.f * n) // (x.f * y.f) AS score
+  FROM f c JOIN total USING (lang), unnest(range(1, c.k)) u(cut) JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:cut] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[cut + 1:]),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) AS place FROM cuts),
+parts AS (SELECT DISTINCT b.lang, b.ws[i:i + m - 1] AS ws, b.f FROM f b, unnest(range(2, b.k)) w(m), unnest(range(1, b.k - m + 2)) v(i)),
+gone AS (SELECT DISTINCT s.lang, s.ws FROM f s JOIN parts p ON p.lang = s.lang AND p.ws = s.ws AND 100 * p.f >= 100 * s.f),
+kept AS (SELECT * FROM least ANTI JOIN gone USING (lang, ws) WHERE place = 1),
+ranked AS (SELECT *, array_to_string(ws, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_repeats": REPEATS, "op5_decontaminate": CONTAMINATION, "op6_embedding_copies": EMBEDDING_COPIES, "op8_near_copies": NEAR_COPIES, "op11_spelling": SPELLING, "op12_collocations": COLLOCATIONS}
