@@ -92,6 +92,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import hidden_markov, quality
+
+    return hidden_markov.score(read(spark, sf_dir, "documents"), held_out=quality.remainder("doc_id", 7) == 2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,4 +105,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op6_embedding_copies, op7_packing, op8_near_copies, op9_toxicity, op10_html_text, op11_spelling, op12_collocations, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_quality, op3_secrets, op4_token_files, op5_decontaminate, op6_embedding_copies, op7_packing, op8_near_copies, op9_toxicity, op10_html_text, op11_spelling, op12_collocations, op13_language_model, pipeline)}
