@@ -185,7 +185,7 @@ def _dealt(entries: DataFrame) -> DataFrame:
         F.struct((F.col("front") + half).alias("front"), F.col("back").alias("back"), F.col("bar").alias("bar")),
         F.struct(F.col("front").alias("front"), (F.col("back") + half).alias("back"), F.least("bar", F.col("front") + half).alias("bar")),
     )
-    return _named(entries.select("word", "n", "m", F.explode(shares).alias("x")).select("word", "n", "m", "x.*"))
+    return _named(entries.select("word", "n", "m", F.explode(shares).alias("x")).select("word", "n", "m", "x.*").filter("front < bar"))
 
 
 def near(words: DataFrame) -> DataFrame:
