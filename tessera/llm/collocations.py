@@ -41,7 +41,7 @@ FILTER_BITS = 1 << 26
 #: A phrase sets so many bits of the filter.
 PLACES = 2
 #: Bytes of text that are worked on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _ENDS = byte_class((0x2E, 0x2E), (0x2C, 0x2C), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 _BLANK = byte_class((0x20, 0x20), (0x09, 0x09))
@@ -49,11 +49,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _bits(kind: str, phrases: np.ndarray) -> np.ndarray:
+def _bits(kind: str, phrases: np.ndarray, bits: int) -> np.ndarray:
     """Places in the filter of phrases of a language, a row for each hash."""
     salt = int.from_bytes(kind.encode()[:8].ljust(8, b"\1"), "little") ^ len(kind)
     hashed = mix(phrases + U64(salt))
-    return np.stack([mix(hashed + U64(k)) % U64(FILTER_BITS) for k in range(PLACES)]).astype(np.int64)
+    return np.stack([mix(hashed + U64(k)) % U64(bits) for k in range(PLACES)]).astype(np.int64)
 
 
 class Chunk:
@@ -120,7 +120,7 @@ def _count(docs: DataFrame, k: int, shared) -> DataFrame:
                 yield from counter.add(lang, pa.array([""], pa.large_string()), np.array([len(starts)]))
             else:
                 begun = grams(chunk.words.hashes(), k - 1) if len(chunk.ids) >= k - 1 else np.zeros(0, U64)
-                at = _bits(lang, begun)
+                at = _bits(lang, begun, 8 * len(shared.value))
                 good = (shared.value[at >> 3] << (at & 7).astype(np.uint8) >= 128).all(0)
                 starts = np.flatnonzero(good[:-1] & good[1:] & (chunk.left[: max(len(good) - 1, 0)] >= k))
             if len(starts):
@@ -133,18 +133,19 @@ def _count(docs: DataFrame, k: int, shared) -> DataFrame:
 
 def _filter(phrases: DataFrame, k: int):
     """The filter of frequent phrases of k words: a number of bits that does not grow with them."""
+    size = FILTER_BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind in pc.unique(batch.column("kind")).to_pylist():
                 words = split(batch.column("key").filter(pc.equal(batch.column("kind"), kind)), ~byte_class((0x20, 0x20)))
-                bits = _bits(kind, grams(words.hashes(), k)[words.first[:-1]]).reshape(-1)
+                bits = _bits(kind, grams(words.hashes(), k)[words.first[:-1]], size).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(bits)], ["bit"])
 
     bits = phrases.select("kind", "key").mapInArrow(places, "bit long")
     bytes_ = bits.groupBy((F.col("bit") / 8).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftright(128, CAST(bit % 8 AS INT))")).alias("bits"))
-    found = bytes_.toArrow()  # FILTER_BITS / 8 rows at most
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    found = bytes_.toArrow()  # a row per byte at most
+    out = np.zeros(size // 8, np.uint8)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
     return phrases.sparkSession.sparkContext.broadcast(out)
 
