@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tessera.llm.text import U64, Words, text_bytes
 
 #: Keys, before they are added up, that a task holds at most.
-FLUSH = 1_500_000
+FLUSH = 800_000
 #: Bytes of keys likewise, but for one longer slice of text.
-FLUSH_BYTES = 64 << 20
+FLUSH_BYTES = 32 << 20
 #: Buckets for each partition of a shuffle.
 BUCKETS = 8
 #: Streams of one kind and bucket: keys in order, one to a line, and their counts.
