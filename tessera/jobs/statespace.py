@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import bits, boards
 from tessera.sources.levels import LevelStore
 from tessera.sources.metadata import file_sizes
+from tessera.sources.tables import new_path, read
+from tessera.sources.tables import store as store_table
 
 BOARD = ["player", "occ", "col"]
 EDGE = "p_player byte, p_occ long, p_col long, player byte, occ long, col long, flipped boolean"
@@ -70,64 +73,169 @@ def step_figures() -> list[Column]:
     ]
 
 
-def solve(spark: SparkSession, path: str, size: int = 4, max_level: int | None = None) -> list[dict]:
-    """Write all levels; each gives its row of figures.  Finished levels are kept."""
+def _seed(spark: SparkSession) -> DataFrame:
+    occ, col, player = boards.start()
+    canon = boards.canonical(*(np.array([v], t) for v, t in ((occ, np.uint64), (col, np.uint64), (player, np.int64))))
+    return spark.createDataFrame([(0, int(canon[2][0]), int(canon[0][0]), int(canon[1][0]))], "level int, player byte, occ long, col long")
+
+
+def solve(spark: SparkSession, path: str, size: int = 4, max_level: int | None = None, seeds: DataFrame | None = None, ranges: int = 1) -> list[dict]:
+    """Write all levels; each gives its row of figures.  Finished levels are kept.
+
+    seeds (level, player, occ, col) are canonical boards to begin from, which may lie on several levels; without
+    them the game begins from its first board.  With ranges, a level is expanded in so many shares of its
+    buckets, each of which is committed with its figures; a run that was stopped goes on with the shares left,
+    and the shares merge once all are there.
+    """
     store = LevelStore(spark, path)
-    last = size * size - 4 if max_level is None else max_level
+    begun = _seed(spark) if seeds is None else seeds
+    last = max_level if max_level is not None else size * size - 4 if seeds is None else seeds.agg(F.max("level")).first()[0]
     if not store.committed("boards-0"):
-        occ, col, player = boards.start()
-        canon = boards.canonical(*(np.array([v], t) for v, t in ((occ, np.uint64), (col, np.uint64), (player, np.int64))))
-        seed = spark.createDataFrame([(int(canon[2][0]), int(canon[0][0]), int(canon[1][0]))], "player byte, occ long, col long")
-        store.write("boards-0", seed, lambda f: {"level": 0, "generated": 1, "unique": f.count()})
+        first = begun.filter("level = 0").groupBy(*BOARD).agg(F.lit(1).cast("long").alias("times"))
+        store.write("boards-0", first, lambda f: {"level": 0, "unique": (n := f.count()), "generated": n}, BOARD)
     for level in range(store.deepest("boards"), last):
-        expanded = expand(level_rows(store, level), size)
-        # The children merge and the parents' figures add up in one pass; a row without a child keeps them.
-        mine = [(F.col("first") & c).cast("long") for c in (F.lit(True), F.col("passes"), F.col("terminal"))]
-        merged = expanded.groupBy(*BOARD).agg(F.count("occ").alias("times"), *(F.sum(c).alias(n) for c, n in zip(mine, ("boards_read", "passes", "ended"), strict=True)), F.max("n_moves").alias("most"))
-
-        def figures(f: DataFrame, level: int = level) -> dict:
-            r = f.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("times", "boards_read", "passes", "ended")), F.count("occ").alias("unique"), F.coalesce(F.max("most"), F.lit(0)).alias("most")).first()
-            if r.most > boards.MOST_MOVES[size]:
-                raise ValueError(f"level {level} has a board with {r.most} moves; boards of {size} rows have {boards.MOST_MOVES[size]} at most")
-            return {"level": level + 1, "generated": int(r.times), "unique": r.unique, "dups": int(r.times) - r.unique, "boards_read": int(r.boards_read), "passes": int(r.passes), "terminal": int(r.ended), "max_moves": r.most}
-
-        if not store.write(f"boards-{level + 1}", merged, figures)["unique"]:
+        more = begun.filter(F.col("level") == level + 1) if seeds is not None else None
+        if ranges == 1:
+            merged = _merged(expand(level_rows(store, level), size), more)
+        else:
+            shares = [_share(store, level, size, k, ranges) for k in range(ranges)]
+            parts = [store.read(name).filter("occ IS NOT NULL OR boards_read > 0") for name in shares]
+            every = parts[0]
+            for part in parts[1:]:
+                every = every.unionByName(part)
+            if more is not None:
+                every = every.unionByName(more.select(*BOARD), allowMissingColumns=True)
+            merged = every.groupBy(*BOARD).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("times", "boards_read", "passes", "ended")), F.max("most").alias("most"))
+        found = store.write(f"boards-{level + 1}", merged, lambda f, level=level: _figures(f, level, size), BOARD)
+        if ranges > 1:
+            for name in shares:
+                store.drop(name)
+        if not found["unique"] and seeds is None:
             break
     return [store.stats(f"boards-{k}") for k in range(store.deepest("boards") + 1)]
 
 
+def _merged(expanded: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Children merged and their parents' figures added up in one pass; a row without a child keeps those of finished parents."""
+    mine = [(F.col("first") & c).cast("long") for c in (F.lit(True), F.col("passes"), F.col("terminal"))]
+    rows = expanded if seeds is None else expanded.unionByName(seeds.select(*BOARD), allowMissingColumns=True)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip(mine, ("boards_read", "passes", "ended"), strict=True)]
+    return rows.groupBy(*BOARD).agg(F.count_if(F.col("p_occ").isNotNull() & F.col("occ").isNotNull()).alias("times"), *sums, F.max("n_moves").alias("most"))
+
+
+def _share(store: LevelStore, level: int, size: int, share: int, of: int) -> str:
+    """Expand one share of a level's buckets, unless that is done; the name that it is committed under."""
+    name = f"share-{level + 1}-{share}-of-{of}"
+    if not store.committed(name):
+        rows = store.read_share(f"boards-{level}", share, of).filter("occ IS NOT NULL")
+        store.write(name, _merged(expand(rows, size)), lambda f: _figures(f, level, size))
+    return name
+
+
+def _figures(f: DataFrame, level: int, size: int) -> dict:
+    r = f.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("times", "boards_read", "passes", "ended")), F.count("occ").alias("unique"), F.coalesce(F.max("most"), F.lit(0)).alias("most")).first()
+    if r.most > boards.MOST_MOVES[size]:
+        raise ValueError(f"level {level} has a board with {r.most} moves; boards of {size} rows have {boards.MOST_MOVES[size]} at most")
+    return {"level": level + 1, "generated": int(r.times), "unique": r.unique, "dups": int(r.times) - r.unique, "boards_read": int(r.boards_read), "passes": int(r.passes), "terminal": int(r.ended), "max_moves": r.most}
+
+
 def level_rows(store: LevelStore, level: int) -> DataFrame:
     """The boards of a stored level; the row that only holds figures of finished parents is none."""
     return store.read(f"boards-{level}").filter("occ IS NOT NULL")
 
 
-def retrograde(spark: SparkSession, path: str, size: int = 4) -> dict:
-    """Outcome counts of every board, from the deepest level up; the first board's are the games'."""
+#: Types of counts with the largest number that each holds, narrow ones first.
+WIDTHS = (("tinyint", (1 << 7) - 1), ("smallint", (1 << 15) - 1), ("int", (1 << 31) - 1), ("bigint", (1 << 63) - 1), (OUTCOME, 10**38 - 1))
+ENDS = ("black", "white", "tie")
+
+
+def width(largest: int) -> str:
+    """The narrowest type of counts up to this number."""
+    for kind, most in WIDTHS:
+        if largest <= most:
+            return kind
+    raise OverflowError(f"no type holds counts of {largest}")
+
+
+def retrograde(spark: SparkSession, path: str, size: int = 4, force: bool = False) -> dict:
+    """Outcome counts of every board, from the deepest level up; the first board's are the games'.
+
+    A level's counts are stored in the narrowest type for the most that they can be: the largest count below
+    times the most moves of a board.  With force, committed counts are counted anew.
+    """
     store = LevelStore(spark, path)
-    for level in range(store.deepest("boards"), -1, -1):
+    deepest = store.deepest("boards")
+    if force:  # from above, so that a run that is stopped leaves no count above one that is missing
+        for level in range(deepest + 1):
+            store.drop(f"counts-{level}")
+    for level in range(deepest, -1, -1):
         if store.committed(f"counts-{level}"):
             continue
-        expanded = expand(level_rows(store, level), size)
-        black, white = F.bit_count(F.col("p_occ").bitwiseAND(F.col("p_col"))), F.bit_count(F.col("p_occ").bitwiseAND(F.bitwise_not(F.col("p_col"))))
-        ends = {"black": black > white, "white": black < white, "tie": black == white}
         below = store.read(f"counts-{level + 1}") if store.committed(f"counts-{level + 1}") else None
-        if below is None:  # the deepest level that was solved: boards with children have no counts yet
-            found = expanded.filter("terminal")
-            from_child = {n: F.lit(0).cast(OUTCOME) for n in ends}
-        else:
-            found = expanded.join(below, BOARD, "left")
-            missing = F.raise_error(F.lit("a child is missing from the level below")).cast(OUTCOME)
-            swapped = {"black": "white", "white": "black", "tie": "tie"}
-            from_child = {n: F.when(F.col("tie").isNull(), missing).otherwise(F.when(F.col("flipped"), F.col(swapped[n])).otherwise(F.col(n))) for n in ends}
-        sums = [F.sum(F.when(F.col("terminal"), ends[n].cast("int").cast(OUTCOME)).otherwise(from_child[n])).cast(OUTCOME).alias(n) for n in ends]
-        counted = found.groupBy(*(F.col(f"p_{c}").alias(c) for c in BOARD)).agg(*sums)
-        store.write(f"counts-{level}", counted, lambda f: _census(f))
+        largest = 1
+        if below is not None:
+            largest = max(1, int(store.stats(f"counts-{level + 1}")["largest"]) * max(1, store.stats(f"boards-{level + 1}").get("max_moves", 1)))
+        kind = width(largest)
+        store.write(f"counts-{level}", outcomes(level_rows(store, level), below, size, kind), lambda f, kind=kind, level=level: _census(f) | {"width": kind, "bytes": store.bytes(f"counts-{level}")}, BOARD)
     return store.stats("counts-0")
 
 
+def outcomes(level: DataFrame, below: DataFrame | None, size: int, kind: str = OUTCOME) -> DataFrame:
+    """Counts of a level's boards from those of the level below, whose stored side is not shuffled.
+
+    Finished boards count themselves and take no part in the join, so no row of it has a null key.  Without a
+    level below, boards that have children have no counts yet.
+    """
+    expanded = expand(level, size)
+    exact = kind if kind.startswith("decimal") else "bigint"
+    mine = [F.col(f"p_{c}").alias(c) for c in BOARD]
+    black, white = F.bit_count(F.col("p_occ").bitwiseAND(F.col("p_col"))), F.bit_count(F.col("p_occ").bitwiseAND(F.bitwise_not(F.col("p_col"))))
+    won = {"black": black > white, "white": black < white, "tie": black == white}
+    found = expanded.filter("terminal").select(*mine, *(won[n].cast("int").cast(exact).alias(n) for n in ENDS))
+    if below is not None:
+        missing = F.raise_error(F.lit("a child is missing from the level below")).cast(exact)
+        swapped = {"black": "white", "white": "black", "tie": "tie"}
+        given = {n: F.when(F.col("tie").isNull(), missing).otherwise(F.when(F.col("flipped"), F.col(swapped[n])).otherwise(F.col(n)).cast(exact)) for n in ENDS}
+        joined = expanded.filter("NOT terminal").join(below, BOARD, "left")
+        found = found.unionByName(joined.select(*mine, *(given[n].alias(n) for n in ENDS)))
+    return found.groupBy(*BOARD).agg(*(F.sum(n).cast(kind).alias(n) for n in ENDS))
+
+
 def _census(counts: DataFrame) -> dict:
-    r = counts.agg(F.count("*").alias("boards"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("black", "white", "tie"))).first()
-    return {"boards": r.boards, "black": int(r.black), "white": int(r.white), "tie": int(r.tie), "total": int(r.black + r.white + r.tie)}
+    sums = [F.coalesce(F.sum(F.col(c).cast(OUTCOME)), F.lit(0)).alias(c) for c in ENDS]
+    r = counts.agg(F.count("*").alias("boards"), *sums, F.coalesce(F.max(F.greatest(*ENDS)), F.lit(0)).alias("largest")).first()
+    return {"boards": r.boards, "black": int(r.black), "white": int(r.white), "tie": int(r.tie), "total": int(r.black + r.white + r.tie), "largest": int(r.largest)}
+
+
+def canonical_boards(rows: DataFrame, *more: str) -> DataFrame:
+    """Boards with the canonical ones beside them (c_player, c_occ, c_col, flipped), and other columns passed on."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            player, occ, col = _words(batch, *BOARD)
+            o, c, p = boards.canonical(occ, col, player)
+            found = [p.astype(np.int8), o.view(np.int64), c.view(np.int64), p != player]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, "c_player", "c_occ", "c_col", "flipped"])
+
+    given = rows.select(*BOARD, *more)
+    found = [T.StructField("c_player", T.ByteType()), T.StructField("c_occ", T.LongType()), T.StructField("c_col", T.LongType()), T.StructField("flipped", T.BooleanType())]
+    return given.mapInArrow(turn, T.StructType([*given.schema, *found]))
+
+
+def reachable(rows: DataFrame, size: int) -> DataFrame:
+    """(ply, player, occ, col) of every canonical board that play from these boards reaches, at its first ply.
+
+    Each step expands what the one before found new, drops what was reached earlier, and is written; the loop
+    ends with the first step that finds nothing.
+    """
+    found = canonical_boards(rows).select(*(F.col(f"c_{c}").alias(c) for c in BOARD)).distinct()
+    every, ply = store_table(found.withColumn("ply", F.lit(0)), "reached"), 0
+    last = every
+    while not last.isEmpty():
+        ply += 1
+        last = store_table(edges(last, size).select(*BOARD).distinct().join(every, BOARD, "left_anti").withColumn("ply", F.lit(ply)), "reached")
+        every = every.unionByName(last)
+    return every.select("ply", *BOARD)
 
 
 def _levels(store: LevelStore) -> DataFrame:
@@ -314,5 +422,102 @@ def ends_sql() -> str:
     )
 
 
-QUERIES = {"reversi_moves": reversi_moves, "reversi_children": reversi_children, "reversi_step_figures": reversi_step_figures, "reversi_ends": reversi_ends}
-ORACLES = {"reversi_moves": moves_sql(), "reversi_children": children_sql(), "reversi_step_figures": figures_sql(), "reversi_ends": ends_sql()}
+#: The outer cells of the 4x4 board, some of which are free on the boards below.
+OUTER4 = [_bit(r, c) for r, c in CELLS4 if not (r in (3, 4) and c in (3, 4))]
+#: How the cells that stay free are taken from an order's number; at most so many are free.
+FREE = (3, 9, 17, 23)
+
+
+def late_boards(orders: DataFrame) -> DataFrame:
+    """Distinct boards made of orders on which at most as many cells are free as FREE has numbers."""
+    number = (F.col("o_orderkey") % 1_000_003) * 2_654_435_761 + (F.col("o_custkey") % 1_000_003) * 40_503
+    cells = F.array(*(F.lit(c).cast("long") for c in OUTER4))
+    taken = F.lit(int(boards.board_mask(4)))
+    for k in FREE:
+        taken = taken.bitwiseAND(F.bitwise_not(F.element_at(cells, (F.shiftright(number, k) % len(OUTER4) + 1).cast("int"))))
+    col = F.shiftright(number * 31, 3).bitwiseXOR(number * 101).bitwiseAND(taken)
+    return orders.select((F.col("o_orderkey") % 2).cast("byte").alias("player"), taken.alias("occ"), col.alias("col")).distinct()
+
+
+def reversi_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How all games from each of the orders' late boards end, counted level by level from the full boards back."""
+    given = store_table(canonical_boards(late_boards(read(spark, sf_dir, "orders"))), "boards")
+    seeds = given.select((F.bit_count("c_occ") - (16 - len(FREE))).cast("int").alias("level"), *(F.col(f"c_{c}").alias(c) for c in BOARD)).distinct()
+    path = new_path(spark, "levels")
+    solve(spark, path, 4, max_level=len(FREE), seeds=seeds)
+    retrograde(spark, path, 4)
+    store = LevelStore(spark, path)
+    counts = None
+    for level in range(len(FREE) + 1):
+        own = store.read(f"counts-{level}").select(*(F.col(c).alias(f"c_{c}") for c in BOARD), *(F.col(n).cast("long").alias(n) for n in ENDS))
+        counts = own if counts is None else counts.unionByName(own)
+    found = given.join(counts, ["c_player", "c_occ", "c_col"])
+    return found.select(*BOARD, F.when(F.col("flipped"), F.col("white")).otherwise(F.col("black")).alias("black"), F.when(F.col("flipped"), F.col("black")).otherwise(F.col("white")).alias("white"), "tie")
+
+
+def reversi_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every board that play from the orders' late boards reaches, at its first ply."""
+    return reachable(late_boards(read(spark, sf_dir, "orders")), 4)
+
+
+def _late_sql() -> str:
+    number = "((o_orderkey % 1000003) * 2654435761 + (o_custkey % 1000003) * 40503)"
+    free = " | ".join(f"[{', '.join(map(str, OUTER4))}][({number} >> {k}) % {len(OUTER4)} + 1]" for k in FREE)
+    taken = f"({int(boards.board_mask(4))} & ~({free}))"
+    return f"late AS (SELECT DISTINCT CAST(o_orderkey % 2 AS TINYINT) AS player, {taken} AS occ, xor(({number} * 31) >> 3, {number} * 101) & {taken} AS col FROM orders)"
+
+
+def _turned_sql() -> str:
+    each = " ".join(f"WHEN {_bit(*cell)} THEN " + " + ".join(f"CASE WHEN (other & {between}) = {between} AND (own & {end}) <> 0 THEN {between} ELSE 0 END" for between, end in _ways(*cell)) for cell in CELLS4)
+    return f"CAST(CASE cell {each} END AS BIGINT)"
+
+
+def _played(rows: str, kept: str) -> str:
+    """Rows (player, occ, own, other and more) a move later: the other player is next, unless one passes."""
+    cells = ", ".join(str(_bit(*cell)) for cell in CELLS4)
+    return (
+        f"SELECT {kept}, CAST(1 - mover AS TINYINT) AS player, occ | cell AS occ, xor(other, turned) AS own, own | cell | turned AS other FROM (SELECT *, {_turned_sql()} AS turned FROM ("
+        f"SELECT * REPLACE (CASE WHEN mine <> 0 THEN own ELSE other END AS own, CASE WHEN mine <> 0 THEN other ELSE own END AS other), CASE WHEN mine <> 0 THEN player ELSE 1 - player END AS mover, CASE WHEN mine <> 0 THEN mine ELSE theirs END AS moves "
+        f"FROM (SELECT *, {_moves('own', 'other')} AS mine, {_moves('other', 'own')} AS theirs FROM {rows})), unnest([{cells}]) t(cell) WHERE (moves & cell) <> 0)"
+    )
+
+
+def outcomes_sql() -> str:
+    """Every game is played out on its own."""
+    return (
+        f"WITH RECURSIVE {_late_sql()}, s AS (SELECT player AS p, occ AS o, col AS c, player, occ, {SIDES} FROM late), "
+        f"g AS (SELECT * FROM s UNION ALL {_played('g', 'p, o, c')}), "
+        f"e AS (SELECT p, o, c, bit_count(CASE WHEN player = 1 THEN own ELSE other END) AS b, bit_count(CASE WHEN player = 1 THEN other ELSE own END) AS w FROM g WHERE {_moves('own', 'other')} = 0 AND {_moves('other', 'own')} = 0) "
+        "SELECT p AS player, o AS occ, c AS col, count(*) FILTER (b > w) AS black, count(*) FILTER (b < w) AS white, count(*) FILTER (b = w) AS tie FROM e GROUP BY ALL"
+    )
+
+
+def reachable_sql() -> str:
+    shapes = []
+    for swap in (False, True):
+        for flip_r in (False, True):
+            for flip_c in (False, True):
+                to = {(r, c): (7 - x if flip_r else x, 7 - y if flip_c else y) for r, c in CELLS4 for x, y in [(c, r) if swap else (r, c)]}
+                o, k = (" + ".join(f"CASE WHEN ({v} & {_bit(*cell)}) <> 0 THEN {_bit(*to[cell])} ELSE 0 END" for cell in CELLS4) for v in ("occ", "col"))
+                shapes.append(f"{{'o': CAST({o} AS BIGINT), 'c': CAST({k} AS BIGINT)}}")
+
+    def canonical(rows: str) -> str:
+        turned = f"SELECT ply, player, [{', '.join(shapes)}] AS xs FROM (SELECT ply, player, occ, CASE WHEN player = 1 THEN own ELSE other END AS col FROM {rows})"
+        both = "list_concat(list_transform(xs, lambda x: {'o': x.o, 'c': x.c, 'late': 1 - player}), list_transform(xs, lambda x: {'o': x.o, 'c': xor(x.c, x.o), 'late': 0 + player}))"
+        return f"SELECT DISTINCT ply, CAST(1 - y.late AS TINYINT) AS player, y.o AS occ, {SIDES.replace('col', 'y.c').replace('occ', 'y.o').replace('player', '(1 - y.late)')} FROM (SELECT ply, list_min({both}) AS y FROM ({turned}))"
+
+    return (
+        f"WITH RECURSIVE {_late_sql()}, g AS ({canonical(f'(SELECT 0 AS ply, player, occ, {SIDES} FROM late)')} "
+        f"UNION {canonical('(' + _played('g', 'ply + 1 AS ply') + ')')}) "
+        "SELECT CAST(min(ply) AS INT) AS ply, player, occ, CASE WHEN player = 1 THEN own ELSE other END AS col FROM g GROUP BY player, occ, col"
+    )
+
+
+QUERIES = {
+    "reversi_moves": reversi_moves, "reversi_children": reversi_children, "reversi_step_figures": reversi_step_figures, "reversi_ends": reversi_ends,
+    "reversi_outcomes": reversi_outcomes, "reversi_reachable": reversi_reachable,
+}
+ORACLES = {
+    "reversi_moves": moves_sql(), "reversi_children": children_sql(), "reversi_step_figures": figures_sql(), "reversi_ends": ends_sql(),
+    "reversi_outcomes": outcomes_sql(), "reversi_reachable": reachable_sql(),
+}

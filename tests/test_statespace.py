@@ -1,6 +1,7 @@
 """Boards against a scalar walk over cells, and the published outcome of the 4x4 game."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -155,3 +156,85 @@ def test_children_of_derived_boards(spark, sf_dir):
     o, c, p = (np.array([r[k] for r in rows]) for k in ("occ", "col", "player"))
     again = boards.canonical(o.astype(np.uint64), c.astype(np.uint64), p.astype(np.int64))
     assert len(rows) and (again[0] == o.astype(np.uint64)).all() and (again[1] == c.astype(np.uint64)).all() and (again[2] == p).all()
+
+
+def tree(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_counts_are_joined_as_they_lie(spark, tmp_path):
+    path = str(tmp_path)
+    statespace.solve(spark, path, 4)
+    statespace.retrograde(spark, path, 4)
+    store = LevelStore(spark, path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = tree(statespace.outcomes(statespace.level_rows(store, 7), store.read("counts-8"), 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One shuffle of the children to the stored buckets, one of the counts to their boards; none of the stored side.
+    shuffles = [line.strip(" :+-") for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "Bucketed: true" in plan, plan
+    lines = plan.splitlines()
+    stored = next(i for i, line in enumerate(lines) if "Bucketed: true" in line and "black" in line)
+    above = [line for line in lines[:stored] if re.search("(SortMerge|ShuffledHash)Join|Exchange", line)]
+    joins = [i for i, line in enumerate(above) if "Join" in line]
+    assert len(joins) == 1 and len(above[joins[0] + 1 :]) == 1  # the children's shuffle alone lies between the join and the stored side
+    left = statespace.expand(statespace.level_rows(store, 9), 4).filter("NOT terminal")
+    assert left.filter("occ IS NULL").count() == 0 < statespace.expand(statespace.level_rows(store, 9), 4).filter("terminal").count()
+
+
+def test_a_run_stopped_amid_a_level_goes_on_with_the_shares_left(spark, tmp_path, monkeypatch):
+    whole, halves = f"{tmp_path}/whole", f"{tmp_path}/halves"
+    want = statespace.solve(spark, whole, 4, max_level=6)
+    expanded, share = [], statespace._share
+
+    def stopped(store, level, size, k, of):
+        if level == 4 and k == 2:
+            raise KeyboardInterrupt
+        return share(store, level, size, k, of)
+
+    monkeypatch.setattr(statespace, "_share", stopped)
+    with pytest.raises(KeyboardInterrupt):
+        statespace.solve(spark, halves, 4, max_level=6, ranges=4)
+    store = LevelStore(spark, halves)
+    assert store.deepest("boards") == 4 and [store.committed(f"share-5-{k}-of-4") for k in range(4)] == [True, True, False, False]
+    monkeypatch.setattr(statespace, "_share", share)
+    plain = statespace.expand
+    monkeypatch.setattr(statespace, "expand", lambda rows, size: expanded.append(1) or plain(rows, size))
+    assert statespace.solve(spark, halves, 4, max_level=6, ranges=4) == want
+    assert len(expanded) == 2 + 4  # the two shares left of one level, all of the next
+    for k in range(7):
+        assert sorted(statespace.level_rows(store, k).collect()) == sorted(statespace.level_rows(LevelStore(spark, whole), k).collect())
+    assert not any(store.committed(f"share-5-{k}-of-4") for k in range(4))
+
+
+def test_counts_are_as_wide_as_needed_and_counted_anew_by_force(spark, tmp_path):
+    path = str(tmp_path)
+    statespace.solve(spark, path, 4)
+    got = statespace.retrograde(spark, path, 4)
+    store = LevelStore(spark, path)
+    kinds = [store.read(f"counts-{k}").schema["black"].dataType.simpleString() for k in range(13)]
+    assert kinds[12] == "tinyint" and kinds[0] == "smallint" and set(kinds) == {"tinyint", "smallint"}
+    limits = dict(statespace.WIDTHS)
+    for k, kind in enumerate(kinds):
+        told = store.stats(f"counts-{k}")
+        assert told["largest"] <= limits[kind] and told["width"] == kind and told["bytes"] > 0
+    assert [statespace.width(n) for n in (127, 128, 1 << 31, 1 << 63)] == ["tinyint", "smallint", "bigint", "decimal(38,0)"]
+    with pytest.raises(OverflowError):
+        statespace.width(10**38)
+    wrong = spark.createDataFrame([(1, 1, 1, 7, 7, 7)], "player byte, occ long, col long, black smallint, white smallint, tie smallint")
+    store.write("counts-0", wrong, statespace._census, statespace.BOARD)
+    assert statespace.retrograde(spark, path, 4)["black"] == 7
+    assert statespace.retrograde(spark, path, 4, force=True) == got
+
+
+def test_frontiers_of_boards_without_moves_end(spark):
+    occ, col, player = boards.start()
+    rows = spark.createDataFrame([(player, occ, col)], "player byte, occ long, col long")
+    found = statespace.reachable(rows, 4).groupBy("ply").count().collect()
+    levels = {r.ply: r["count"] for r in found}
+    assert levels[0] == 1 and levels[1] == 1 and max(levels) == 12
+    full = spark.createDataFrame([(1, int(boards.board_mask(4)), 0)], "player byte, occ long, col long")
+    assert [r.ply for r in statespace.reachable(full, 4).collect()] == [0]
+    assert statespace.reachable(rows.limit(0), 4).count() == 0
