@@ -23,7 +23,7 @@ FLUSH = 800_000
 #: Bytes of keys likewise, but for one longer slice of text.
 FLUSH_BYTES = 32 << 20
 #: Buckets for each partition of a shuffle.
-BUCKETS = 8
+BUCKETS = 2
 #: Streams of one kind and bucket: keys in order, one to a line, and their counts.
 SCHEMA = "kind string, bucket int, keys string, counts array<long>"
 
