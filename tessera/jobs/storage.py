@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import nested_index
 from tessera.sources import records
+from tessera.sources.index_store import IndexStore
 from tessera.sources.tables import new_path, read
 from tessera.streaming import merging
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 HIERARCHY = ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey"]
+#: Keys in a file of the indexes below, few enough for small tables to have several files.
+INDEX_ROWS = 10_000
 MONTH = "CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT)"
 
 
@@ -92,12 +94,26 @@ def union_all(spark, sf_dir):
     'SELECT l_returnflag, l_linestatus, l_suppkey, CAST(sum(n) OVER (ORDER BY l_returnflag, l_linestatus, l_suppkey) - n AS BIGINT) AS "offset" FROM g',
 )
 def merge_into_index(spark, sf_dir):
-    """New keys merged into an index: it is expanded, joined with them, and built anew without copies."""
+    """New keys merged into a stored index: only files that they fall into are written again."""
     rows = read(spark, sf_dir, "lineitem").select(*HIERARCHY, "l_linenumber")
-    old = rows.filter("l_linenumber <= 3")
-    expanded = nested_index.expand(nested_index.level(old, HIERARCHY, 3), nested_index.leaf(old, HIERARCHY).select("position", "l_partkey"), HIERARCHY)
-    every = expanded.select(*HIERARCHY).unionByName(rows.filter("l_linenumber > 3").select(*HIERARCHY))
-    return nested_index.level(every, HIERARCHY, 3).drop("children")
+    index = IndexStore(spark, new_path(spark, "index"), HIERARCHY, rows_per_file=INDEX_ROWS)
+    index.build(rows.filter("l_linenumber <= 3"))
+    index.merge(rows.filter("l_linenumber > 3"))
+    return index.prefixes()
+
+
+@query(
+    "index_lookup",
+    "WITH k AS (SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey, l_partkey FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT *, CAST(row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_suppkey, l_partkey) - 1 AS BIGINT) AS position FROM k) "
+    "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_suppkey, l_partkey, position FROM lineitem LEFT JOIN p USING (l_returnflag, l_linestatus, l_suppkey, l_partkey)",
+)
+def index_lookup(spark, sf_dir):
+    """The position of every line's key in a stored index, or none, by files, prefixes and then leaves."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *HIERARCHY)
+    index = IndexStore(spark, new_path(spark, "index"), HIERARCHY, rows_per_file=INDEX_ROWS)
+    index.build(rows.filter("l_linenumber <= 3"))
+    index.check()
+    return index.lookup(rows)
 
 
 @query("stream_distinct", "SELECT DISTINCT l_partkey AS hi, l_suppkey AS lo FROM lineitem")
