@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.text import byte_class, slices, split, text_bytes
 
@@ -145,26 +146,27 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts[:3], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), counts[3])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every secret replaced by its kind; all columns and rows stay."""
-    schema = docs.schema
+def redact(docs: DataFrame, changed: str | None = None) -> DataFrame:
+    """The documents with every secret replaced by its kind; all rows and all other columns stay as they are.
+
+    changed names a further column, which no other is named like, that tells whether a text was changed.
+    """
+    schema = docs.schema if changed is None else T.StructType([*docs.schema, T.StructField(changed, T.BooleanType())])
+    names = docs.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                lengths = part.column("n_chars").to_pylist() if "n_chars" in names else None
+                texts, told = part.column("text").to_pylist(), []
                 for row, spans in enumerate(_spans(part.column("text"))):
+                    told.append(bool(spans))
                     if spans:
                         texts[row] = _without(texts[row], spans)
-                        if lengths:
-                            lengths[row] = len(texts[row])
                 columns = {n: part.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-                if lengths:
-                    columns["n_chars"] = pa.array(lengths, part.column("n_chars").type)
+                if changed is not None:
+                    columns[changed] = pa.array(told, pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    names = schema.names
     return docs.mapInArrow(replace, schema)
 
 

@@ -81,3 +81,12 @@ def test_a_clean_text_under_the_id_of_a_contaminated_one_stays(spark, sf_dir):
     rows = [(5, item, "en", "s", 1), (5, "a clean text of its own", "en", "s", 1)]
     kept = dict(corpus_pipeline.STAGES)["decontaminate"](spark, spark.createDataFrame(rows, read(spark, sf_dir, "documents").schema), sf_dir)
     assert [r.text for r in kept.collect()] == [rows[1][1]]
+
+
+def test_lengths_of_any_type_pass_and_numbers_follow_the_text(spark, sf_dir):
+    text = "password=abcdef123 and more"
+    for kind, given, want in (("string", "many", "many"), ("long", 5, len("[assign] and more")), ("double", 1.5, 1.5), ("array<int>", [1], [1])):
+        docs = spark.createDataFrame([(1, text, given), (2, "clean", given), (3, None, None)], f"doc_id long, text string, n_chars {kind}")
+        got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf_dir).collect()}
+        assert "abcdef123" not in got[1].text and got[2].n_chars == given and got[3].n_chars is None
+        assert got[1].n_chars == (len(got[1].text) if kind == "long" else want)
