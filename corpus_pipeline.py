@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import decontaminate, near_copies, packing, quality, secrets
 from tessera.llm.bpe import default_tokenizer
@@ -47,8 +48,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays, null and empty texts as they are."""
-    return secrets.redact(docs)
+    """Replace secrets in the texts; every document stays, null and empty texts as they are.
+
+    Where a text was changed, n_chars, if there is such a column of whole numbers, counts it anew.
+    """
+    changed = unused("changed", docs.columns)
+    hidden = secrets.redact(docs, changed)
+    if "n_chars" in docs.columns and isinstance(kind := docs.schema["n_chars"].dataType, T.IntegralType):
+        hidden = hidden.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return hidden.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
