@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits, rates
 from tessera.operators import asof, nested_index
-from tessera.operators.ordinals import exclusive_prefix_sum, position, skip_rows
+from tessera.operators.ordinals import exclusive_prefix_sum, next_value, position, skip_rows
 from tessera.sources.records import player_of
 from tessera.sources.tables import read
 
@@ -103,12 +103,24 @@ def cumulative_sum(spark, sf_dir):
     'SELECT l_returnflag, l_linestatus, first_child AS "offset", lead(first_child, 1, (SELECT count(*) FROM k)) OVER (ORDER BY l_returnflag, l_linestatus) AS "end" FROM o'
 )
 def lead_span(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    index = nested_index.level(rows, HIERARCHY, 2)
-    # As many groups as there are pairs of flag and status.
-    order = Window.orderBy("l_returnflag", "l_linestatus")
-    total = F.sum("children").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return index.select("l_returnflag", "l_linestatus", "offset", F.coalesce(F.lead("offset").over(order), total).alias("end"))
+    return _spans(lines(spark, sf_dir), 2)
+
+
+@query(
+    "WITH k AS (SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey, l_partkey FROM lineitem), g AS (SELECT l_returnflag, l_linestatus, l_suppkey, count(*) AS n FROM k GROUP BY ALL), "
+    "o AS (SELECT *, CAST(sum(n) OVER (ORDER BY l_returnflag, l_linestatus, l_suppkey) - n AS BIGINT) AS first_child FROM g) "
+    'SELECT l_returnflag, l_linestatus, l_suppkey, first_child AS "offset", lead(first_child, 1, (SELECT count(*) FROM k)) OVER (ORDER BY l_returnflag, l_linestatus, l_suppkey) AS "end" FROM o'
+)
+def lead_span_lowest(spark, sf_dir):
+    """The same for the level right above the leaves, which grows with the table."""
+    return _spans(lines(spark, sf_dir), 3)
+
+
+def _spans(rows: DataFrame, depth: int) -> DataFrame:
+    """Prefixes with where their children begin and end; the next prefix is found range by range."""
+    keys = HIERARCHY[:depth]
+    index = next_value(nested_index.level(rows, HIERARCHY, depth), keys, "offset", "next")
+    return index.select(*keys, "offset", F.coalesce("next", F.col("offset") + F.col("children")).alias("end"))
 
 
 @query(

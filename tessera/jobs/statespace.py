@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import bits, boards
+from tessera.operators.ordinals import first_rows
 from tessera.sources.levels import LevelStore
 from tessera.sources.metadata import file_sizes
 from tessera.sources.tables import new_path, read
@@ -282,7 +283,7 @@ def pattern_report(spark: SparkSession, path: str, limit: int | None = None) ->
     store = LevelStore(spark, path)
     every = _levels(store)
     if limit is not None:
-        every = every.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("occ", "col", "player"))).filter(F.col("place") <= limit)
+        every = first_rows(every, "level", ["occ", "col", "player"], limit)
     pattern = bits.gather_bits(F.col("occ"), bits.ring_order(8)).bitwiseAND(F.lit(65535))
     ones = F.bit_count("pattern")
     table = F.array(*(F.lit((math.comb(16, k) - 1).bit_length()).cast("long") for k in range(17)))

@@ -56,6 +56,35 @@ def carry_all(frame: DataFrame, keys: list[str | Column], columns: dict[str, Col
     return told.select(*frame.columns, *(F.col(f"{h}_found").alias(n) for n, h in held.items()))
 
 
+def next_value(frame: DataFrame, keys: list[str | Column], column: str, name: str) -> DataFrame:
+    """Add the column's value in the next row in key order; null in the last row."""
+    ranged = _ranged(frame, keys)
+    firsts = ranged.groupBy("__range").agg(F.min_by(F.struct(F.col(column).alias("v")), "__place").alias("__first"))
+    # One row per range, whatever the size of the table.
+    nexts = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__next"))
+    own = F.lead(F.struct(F.col(column).alias("v"))).over(Window.partitionBy("__range").orderBy("__place"))
+    told = ranged.join(F.broadcast(nexts), "__range").select("*", F.coalesce(own, F.col("__next")).alias("__found"))
+    return told.select(*frame.columns, F.col("__found.v").alias(name))
+
+
+def first_rows(frame: DataFrame, group: str, keys: list[str], n: int) -> DataFrame:
+    """The first n rows of each group in key order, for an n that may be large.
+
+    Counts per range and group decide: ranges that lie before the n-th row are taken whole, and of the one that it
+    lies in, the rows up to it.
+    """
+    ranged = _ranged(frame, [group, *keys])
+    counts = ranged.groupBy(group, "__range").agg(F.count("*").alias("__n"))
+    # One row per range and group that lies in it.
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = counts.select(F.col(group).alias("__group"), F.col("__range").alias("__at"), (F.lit(n) - F.sum("__n").over(before) + F.col("__n")).alias("__left"), "__n").filter("__left > 0")
+    taken = ranged.join(left, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__at")))
+    whole = taken.filter("__n <= __left").select(*frame.columns)
+    place = F.row_number().over(Window.partitionBy("__range", group).orderBy("__place"))
+    cut = taken.filter("__n > __left").withColumn("__nth", place).filter("__nth <= __left")
+    return whole.unionByName(cut.select(*frame.columns))
+
+
 def skip_rows(frame: DataFrame, keys: list[str], n: int, last: dict | None = None) -> DataFrame:
     """The rows after the first n in key order; if the last one skipped is not `last`, the scan fails.
 

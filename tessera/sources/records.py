@@ -42,8 +42,12 @@ def open_records(spark: SparkSession, path: str, schema: T.StructType = RECORD)
 
 
 def write_levels(frame: DataFrame, path: str) -> None:
-    """One folder per level and player; readers prune by both."""
-    frame.repartition("level", "player").write.partitionBy("level", "player").mode("append").parquet(path)
+    """One folder per level and player; readers prune by both.
+
+    Rows are dealt by range of all columns, so a large level is written by as many tasks as it has ranges.
+    """
+    rest = [c for c in frame.columns if c not in ("level", "player")]
+    frame.repartitionByRange("level", "player", *rest).sortWithinPartitions("level", "player", *rest).write.partitionBy("level", "player").mode("append").parquet(path)
 
 
 def read_levels(spark: SparkSession, path: str, level: int | None = None, player: int | None = None) -> DataFrame:

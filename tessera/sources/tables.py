@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables and files written to the shared folder and not deleted yet.
-_written: set[str] = set()
+#: What the enclosing temporary_tables() of this thread or task has written and not deleted yet, if there is one.
+_written: ContextVar[set[str] | None] = ContextVar("written", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.add(path)
+    if (mine := _written.get()) is not None:
+        mine.add(path)
     return path
 
 
@@ -55,18 +57,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop(frame: DataFrame) -> None:
     """Delete a table that store() wrote, once nothing reads it any more."""
+    mine = _written.get() or set()
     for path in {p.rpartition("/")[0] for p in frame.inputFiles()}:
         _delete(frame.sparkSession, path)
-        _written.difference_update({p for p in _written if p.rpartition("/")[2] == path.rpartition("/")[2]})
+        mine.difference_update({p for p in mine if p.rpartition("/")[2] == path.rpartition("/")[2]})
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete all that was written to the shared folder within, once the results are stored elsewhere."""
-    before = set(_written)
+    """Delete all that this thread writes to the shared folder within, once the results are stored elsewhere.
+
+    What other threads write meanwhile is theirs; within one another, each deletes its own.
+    """
+    mine: set[str] = set()
+    outer = _written.set(mine)
     try:
         yield
     finally:
-        for path in _written - before:
+        _written.reset(outer)
+        for path in mine:
             _delete(spark, path)
-            _written.discard(path)

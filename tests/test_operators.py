@@ -1,13 +1,14 @@
 """Ordinals, carried values and as-of joins against plain Python, with groups that span many ranges."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
 from tessera.operators import asof, nested_index
-from tessera.operators.ordinals import carry_forward, exclusive_prefix_sum, skip_rows
+from tessera.operators.ordinals import carry_all, carry_forward, exclusive_prefix_sum, first_rows, next_value, skip_rows
 from tessera.sources import records
 from tessera.sources.metadata import footer_summary
 from tessera.sources.tables import shared_dir, store, temporary_tables
@@ -27,6 +28,31 @@ def test_running_sums_and_carried_values_cross_ranges(spark):
     assert carry_forward(frame.limit(0), ["k"], "v", "found").count() == 0
 
 
+def test_several_carried_values_and_the_next_one(spark):
+    random.seed(4)
+    rows = [(i, random.choice([None, i]), random.choice([None, None, -i])) for i in range(300)]
+    frame = spark.createDataFrame(random.sample(rows, 300), "k long, v long, w long")
+    want, last = {}, [None, None]
+    for k, *found in rows:
+        last = [a if b is None else b for a, b in zip(last, found, strict=True)]
+        want[k] = tuple(last)
+    assert {r.k: (r.x, r.y) for r in carry_all(frame, ["k"], {"x": F.col("v"), "y": F.col("w")}).collect()} == want
+    assert {r.k: r.after for r in next_value(frame, ["k"], "v", "after").collect()} == {k: rows[k + 1][1] if k + 1 < 300 else None for k in range(300)}
+    assert next_value(frame.limit(0), ["k"], "v", "after").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 130, 10_000])
+def test_first_rows_of_a_hot_group_and_small_ones(spark, n):
+    random.seed(6)
+    rows = [(random.choice([1] * 8 + [2, 3, None]), i // 2, i) for i in range(600)]
+    frame = spark.createDataFrame(random.sample(rows, 600), "g long, a long, b long")
+    got = sorted((tuple(r) for r in first_rows(frame, "g", ["a", "b"], n).collect()), key=str)
+    want = [r for g in (1, 2, 3, None) for r in sorted(x for x in rows if x[0] == g and g is not None or x[0] is g)[:n]] if n else []
+    assert got == sorted(want, key=str)
+    plan = first_rows(frame, "g", ["a", "b"], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(g#" not in plan.replace(" ", " ")
+
+
 @pytest.mark.parametrize("run", ["first", "last"])
 def test_nearest_rows_of_hot_and_rare_groups(spark, run):
     random.seed(5)
@@ -86,6 +112,36 @@ def test_turns_equal_a_walk_over_cells(spark):
             cells = {(col, 7 - row) for row, col in cells}
 
 
+def test_threads_leave_the_temporary_tables_of_others_alone(spark):
+    begun, ended, found = threading.Barrier(2), threading.Event(), []
+
+    def long():
+        with temporary_tables(spark):
+            begun.wait(60)
+            mine = store(spark.range(7), "mine")
+            begun.wait(60)
+            ended.wait(60)
+            found.append(mine.count())
+            with temporary_tables(spark):
+                inner = store(spark.range(3), "inner")
+                found.append(inner.count())
+            found.append(mine.count())
+
+    def short():
+        with temporary_tables(spark):
+            begun.wait(60)
+            store(spark.range(5), "other")
+            begun.wait(60)
+        ended.set()
+
+    threads = [threading.Thread(target=f) for f in (long, short)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found == [7, 3, 7]
+
+
 def test_temporary_tables_go_and_others_stay(spark, tmp_path):
     kept = store(spark.range(3), "kept")
     with temporary_tables(spark):

@@ -35,6 +35,10 @@ def test_levels_are_pruned_and_segments_join(spark, tmp_path):
     found = records.read_levels(spark, f"{tmp_path}/levels", level=2, player=0)
     assert sorted(r.id for r in found.collect()) == list(range(2, 40, 4))
     assert "PartitionFilters: [isnotnull(level" in found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins what is as small as here
+    records.write_levels(spark.range(4000).selectExpr("7 AS level", "1 AS player", "id"), f"{tmp_path}/levels")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{tmp_path}/levels/level=7/player=1/*.parquet")) > 1  # more than one task
     rows.filter("id < 5").select("id").write.parquet(f"{tmp_path}/a")
     rows.filter("id >= 5").select("id", "level").write.parquet(f"{tmp_path}/b")
     joined = records.concatenate(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
