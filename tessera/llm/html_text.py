@@ -1,16 +1,19 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one per block of the page; elements that never hold main text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) leave blank
-lines behind.  A class or id tells of such an element by one of its whole words between blanks, unless
-the element encloses a main element or, on pages without one, most of the text (comments may be longer).
+Markup is stripped into lines, one per block of the page.  Elements that never hold main text (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, comments) leave lines without weight, and so
+do lines whose text is mostly links, outside main elements.  An element is told by its name, its role, or a word of
+its class or id: one of ROLES_ALWAYS, alone or together with words that only say where it stands or what it
+holds (ad-slot, sidebar-left, commentlist).  Words of ROLES_MAYBE also name ordinary sections: they count only where
+the text never surges to SURGE characters in WINDOW lines.  An element that encloses a main element is never left
+out, whatever its name, nor is a form or an element with a named role that holds most of a page without one.
 
 The text lengths of WINDOW lines after each line are summed; where the sum surges from nothing the text
-begins, and where it dives to nothing it ends.  The stretches between surges and dives decide: if main
-elements hold the heaviest text, every main element with at least TEASER of the text of the fullest one is
-kept whole, short lines included.  If a stretch outside outweighs all main elements OUTWEIGHED times, they
-are teasers, and the page counts as one without them: then all lines from the first stretch to the last of
-the innermost container with more than half of the text are kept.
+begins, and where it dives to nothing it ends.  The stretches between surges and dives are the text: all of
+those in main elements, but for main elements made of links, which are teasers; at either end of a main element,
+WINDOW or more lines of links are a menu.  If a stretch outside outweighs all main elements OUTWEIGHED times, it is
+text too.  There, and on a page without main elements, the text goes from the first stretch to the last of
+the innermost container with more than half of it.
 
 A null page counts as empty and gives an empty text.  Broken markup is read once from front to back: a tag
 without an end is text, a quote without an end does not hide what follows.  Pages count whole, whatever
@@ -20,7 +23,9 @@ are not read, so their names cannot clash.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,10 +38,10 @@ from tessera.llm.text import slices
 WINDOW = 3
 #: Outside main elements, a line whose text is mostly links counts as blank in the distribution.
 LINK_SHARE = 0.5
-#: Main elements with less than this share of the fullest one's text are teasers of other pages.
-TEASER = 0.1
-#: So many times the text of all main elements, in one stretch outside, shows that they are teasers.
+#: So many times the text of all main elements, in one stretch outside, shows that it is text as well.
 OUTWEIGHED = 2
+#: So many characters outside links and blanks in WINDOW lines are prose, not a box of buttons.
+SURGE = 60
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 ENDS = re.compile(r"[\"'>]")
@@ -46,18 +51,37 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu head".split())
 MAIN = frozenset(("article", "main"))
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer menu menubar masthead navbar navigation nav newsletter notice notices alert popup modal promo promoted promotion related recommended respond replies reply share sharing sidebar side social sponsor sponsored subscribe toolbar widget pagination pager".split()
-)
+CELLS = frozenset(("td", "th"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What names an element that holds no main text.
+ROLES_ALWAYS = "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion sidebar sponsor sponsored subscribe".split()
+#: What may name an ordinary section as well.
+ROLES_MAYBE = "recommended related respond share sharing side social toolbar widget".split()
+ROLES_COMMENTS = "comment comments disqus replies reply".split()
+#: Words beside these that do not change what they say.
+PLACES = "area bar block body bottom bottoms box col column container form global group holder inner item items left list main mobile outer page panel primary right row secondary section site slot space strip sub thread top unit wrap wrapper zone".split()
 #: Elements that may hold the main text of a page without a main element, if they have several lines.
 CONTAINERS = frozenset("html body div section td center".split())
-COMMENTS = frozenset("comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+def _named(words: list[str]) -> frozenset[str]:
+    """Words, also run together with a place before or behind."""
+    return frozenset(w for word in words for w in (word, *(word + p for p in PLACES), *(p + word for p in PLACES)))
+
+
+_ALWAYS, _MAYBE, _COMMENTS, _HEADER = (_named(w) for w in (ROLES_ALWAYS, ROLES_MAYBE, ROLES_COMMENTS, ["header"]))
+
+
+def _names(token: str, roles: frozenset[str]) -> bool:
+    """Whether a class or id is one of the roles, perhaps with places beside it and hyphens between."""
+    parts = [p for p in re.split("[-_]+", token) if p]
+    return any(p in roles for p in parts) and all(p in roles or p in PLACES or p.isdigit() for p in parts)
+
+
 def dropped(name: str, rest: str, within_main: bool) -> str:
-    """What tells that an element holds no main text: "element" (name, role), "comments" or "words" (class, id)."""
+    """What tells that an element holds no main text: "element" (name, role), "comments", "words" or "maybe" (class, id)."""
     if name in DROPPED or (name == "header" and not within_main):
         return "element"
     if not rest or name in ("body", "html"):
@@ -68,11 +92,14 @@ def dropped(name: str, rest: str, within_main: bool) -> str:
         if key == "hidden" or (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true"):
             return "element"
         if key in ("class", "id"):
-            tokens = set(value.split())
-            if tokens & COMMENTS:
-                found = "comments"
-            elif name not in MAIN and (tokens & WORDS or (not within_main and "header" in tokens)):
-                found = found or "words"
+            for token in value.split():
+                if _names(token, _COMMENTS):
+                    found = "comments"
+                elif name not in MAIN and found in ("", "maybe"):
+                    if _names(token, _ALWAYS) or (not within_main and _names(token, _HEADER)):
+                        found = "words"
+                    elif _names(token, _MAYBE):
+                        found = "maybe"
     return found
 
 
@@ -136,11 +163,21 @@ def _tag_end(page: str, at: int) -> int:
     return 0
 
 
+class Line(NamedTuple):
+    """A line, the characters of it in links, the main element or what lies between two, and whether it was left out."""
+
+    text: str
+    linked: int
+    holder: int
+    out: bool = False
+    heading: bool = False
+
+
 class Lines:
-    """Lines of a page with their text, the characters of it in links, and the element they are in."""
+    """Lines of a page, and the container that each is in."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, int]] = []
+        self.rows: list[Line] = []
         self.text: list[str] = []
         self.linked = 0
         #: The container of each row, and the one around each container; 0 is the page.
@@ -148,23 +185,23 @@ class Lines:
         self.parents = [0]
         self.container = 0
 
-    def end(self, holder: int) -> None:
+    def end(self, holder: int, out: bool = False, heading: bool = False) -> None:
         line = " ".join(html.unescape("".join(self.text)).split())
         if line:
-            self.rows.append((line, self.linked, holder))
+            self.rows.append(Line(line, self.linked, holder, out, heading))
             self.within.append(self.container)
         self.text, self.linked = [], 0
 
     def gap(self, holder: int) -> None:
         self.end(holder)
-        self.rows += [("", 0, holder)] * WINDOW
+        self.rows += [Line("", 0, holder)] * WINDOW
         self.within += [self.container] * WINDOW
 
 
 def strip(page: str) -> Lines:
-    """Lines of the page; blank ones stand where main elements begin or end, or elements of the body were dropped.
+    """Lines of the page; blank ones stand where main elements or table cells begin or end, or elements of the body were left out.
 
-    Within a container a dropped element only breaks the line, as text may go on behind it.
+    Within a container an element left out only breaks the line, as text may go on behind it.
     """
     out = Lines()
     found = scan(page)
@@ -173,13 +210,18 @@ def strip(page: str) -> Lines:
     at, skip_to, links, mains, holder = 0, -1, 0, 0, 0
     opened: list[tuple[int, int, bool]] = []  # where the containers end, the ones around, and whether within a block
     for i, tag in enumerate(found):
-        if i > skip_to:
-            out.text.append(page[at : tag.start])
-            out.linked += tag.start - at if links else 0
+        out.text.append(page[at : tag.start])
+        out.linked += tag.start - at if links else 0
         at = tag.end
+        name = tag.name
         if i <= skip_to:
+            if name == "br":
+                out.text.append(" ")
+            elif i == skip_to or (name and name not in INLINE):
+                out.end(holder, out=True)
+            if i == skip_to and name not in INLINE and not mains and not (opened and opened[-1][2]):
+                out.gap(holder)
             continue
-        name = tag.name
         if not name:
             continue
         if tag.close:
@@ -189,22 +231,24 @@ def strip(page: str) -> Lines:
                 out.gap(holder)
                 mains -= 1
                 holder += not mains
+            elif name in CELLS:
+                out.gap(holder)
             elif name not in INLINE:
-                out.end(holder)
+                out.end(holder, heading=name in HEADINGS)
             while opened and opened[-1][0] <= i:
                 out.container = opened.pop()[1]
             continue
         why = dropped(name, tag.rest, mains > 0) if i in closes else ""
-        if why in ("words", "comments") and name not in MAIN:
-            around_main, most = content.within(i, closes[i])
-            if (around_main and not mains) or (most and why == "words"):
+        if why and (name not in MAIN or why != "comments"):
+            own = content.within(i, closes[i])
+            wraps = own.mains and not mains
+            if wraps or (own.most and (why == "words" or name == "form")) or (why == "maybe" and own.prose):
                 why = ""
         if why:
             skip_to = closes[i]
-            if name not in INLINE:
-                out.end(holder)
-                if not mains and not (opened and opened[-1][2]):
-                    out.gap(holder)
+            out.end(holder)
+            if name not in INLINE and not mains and not (opened and opened[-1][2]):
+                out.gap(holder)
         elif name == "a":
             links += i in closes
         elif name == "br":
@@ -214,7 +258,7 @@ def strip(page: str) -> Lines:
             holder += not mains
             mains += 1
         elif name not in INLINE:
-            out.end(holder)
+            out.gap(holder) if name in CELLS else out.end(holder)
             if name in CONTAINERS and i in closes:
                 opened.append((closes[i], out.container, name not in ("html", "body")))
                 out.parents.append(out.container)
@@ -224,26 +268,55 @@ def strip(page: str) -> Lines:
     return out
 
 
+class Inside(NamedTuple):
+    """What an element holds: a main element; on a page without one, most of the text outside links; prose."""
+
+    mains: bool
+    most: bool
+    prose: bool
+
+
 class Content:
-    """How much of the page's text, and whether a main element, lies between two tags; counted when asked."""
+    """How much text outside links, and whether a main element, lies between two tags; counted when asked."""
 
     def __init__(self, page: str, found: list[Tag]) -> None:
         self.page, self.found = page, found
         self.counts: tuple[list[int], list[int]] | None = None
+        self.lines: list[tuple[int, int]] = []
+        self.surge: list[int] = []
 
-    def within(self, start: int, end: int) -> tuple[bool, bool]:
-        """Whether a main element begins between the tags; whether, on a page without one, most text lies there."""
+    def within(self, start: int, end: int) -> Inside:
         if self.counts is None:
-            text, mains, at = [], [], 0
-            for tag in self.found:
-                between = "".join(self.page[at : tag.start].split())
-                text.append((text[-1] if text else 0) + len(between))
-                mains.append((mains[-1] if mains else 0) + _begins_main(tag))
-                at = tag.end
-            text.append(text[-1] + len("".join(self.page[at:].split())))
-            self.counts = text, mains
+            self._count()
         text, mains = self.counts
-        return mains[end] > mains[start], not mains[-1] and 2 * (text[end] - text[start]) > text[-1]
+        return Inside(mains[end] > mains[start], not mains[-1] and 2 * (text[end] - text[start]) > text[-1], self._surges(start, end))
+
+    def _count(self) -> None:
+        text, mains, at, links, line = [], [], 0, 0, 0
+        for i, tag in enumerate(self.found):
+            between = 0 if links else len("".join(self.page[at : tag.start].split()))
+            text.append((text[-1] if text else 0) + between)
+            mains.append((mains[-1] if mains else 0) + _begins_main(tag))
+            line += between
+            if tag.name and tag.name not in INLINE:
+                if line:
+                    self.lines.append((i, line))
+                line = 0
+            if tag.name == "a":
+                links = max(0, links - 1) if tag.close else links + 1
+            at = tag.end
+        text.append(text[-1] + len("".join(self.page[at:].split())) if text else 0)
+        self.counts = text, mains
+        # From each line on, the tag at which the first such run of lines ends.
+        self.surge = [len(self.found) + 1] * (len(self.lines) + 1)
+        for j in range(len(self.lines) - 1, -1, -1):
+            total = itertools.accumulate(n for _, n in self.lines[j : j + WINDOW])
+            self.surge[j] = min(self.surge[j + 1], next((self.lines[j + k][0] for k, n in enumerate(total) if n >= SURGE), len(self.found) + 1))
+
+    def _surges(self, start: int, end: int) -> bool:
+        """Whether WINDOW lines between the tags, or fewer, hold SURGE characters outside links."""
+        first = bisect.bisect_right(self.lines, (start, 1 << 60))
+        return first < len(self.lines) and self.surge[first] <= end
 
 
 def _begins_main(tag: Tag) -> bool:
@@ -267,40 +340,68 @@ def _closing(found: list[Tag]) -> dict[int, int]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: blocks in page order, joined by a blank line."""
-    if not page:
-        return ""
-    lines = strip(page)
-    rows = lines.rows
-    weight = [len(line) if _is_main(holder) or linked <= LINK_SHARE * len(line) else 0 for line, linked, holder in rows]
-    total: dict[int, int] = {}
-    for (_, _, holder), n in zip(rows, weight, strict=True):
-        total[holder] = total.get(holder, 0) + n
-    if not any(total.values()):
-        return ""
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(rows))]
-    stretches: list[tuple[int, int, int]] = []
+def stretches(weight: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, line behind the last, text) between surges and dives of the sums over WINDOW lines."""
+    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
+    found: list[tuple[int, int, int]] = []
     i = 0
-    while i < len(rows):
+    while i < len(weight):
         if not weight[i]:  # a surge needs text on its own line
             i += 1
             continue
         end = i
-        while end < len(rows) and sums[end]:
+        while end < len(weight) and sums[end]:
             end += 1
-        stretches.append((i, end, sum(weight[i:end])))
+        found.append((i, end, sum(weight[i:end])))
         i = end
-    mains = {h: n for h, n in total.items() if _is_main(h) and n}
-    outside = max((n for s, _, n in stretches if not _is_main(rows[s][2])), default=0)
-    if mains and outside <= OUTWEIGHED * sum(mains.values()):
-        least = TEASER * max(mains.values())
-        chosen = [s for s in stretches if mains.get(rows[s[0]][2], -1) >= least]
-    else:
-        inside = _fullest(lines, weight)
-        own = [s for s in stretches if any(inside[lines.within[j]] and weight[j] for j in range(s[0], s[1]))]
-        chosen = [(own[0][0], own[-1][1], 0)]
-    return "\n\n".join(rows[j][0] for s, e, _ in chosen for j in range(s, e) if rows[j][0])
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: blocks in page order, joined by a blank line."""
+    if not page:
+        return ""
+    lines = strip(page)
+    rows = lines.rows
+    prose = [0 if r.out or (r.linked > LINK_SHARE * len(r.text) and not (r.heading and _is_main(r.holder))) else len(r.text) for r in rows]
+    teasers = _teasers(rows, prose)
+    weight = [w if not _is_main(r.holder) else 0 if r.out or r.holder in teasers else len(r.text) for r, w in zip(rows, prose, strict=True)]
+    for a, b in _menus(rows, prose, teasers):
+        weight[a:b] = [0] * (b - a)
+    found = stretches(weight)
+    inside_main = [s for s in found if _is_main(rows[s[0]].holder)]
+    in_mains = sum(n for *_, n in inside_main)
+    chosen = {j for a, b, _ in inside_main for j in range(a, b)}
+    if max((n for a, _, n in found if not _is_main(rows[a].holder)), default=0) > OUTWEIGHED * in_mains:
+        outside = [0 if _is_main(r.holder) else w for r, w in zip(rows, weight, strict=True)]
+        inside = _fullest(lines, outside)
+        own = [s for s in found if any(inside[lines.within[j]] and outside[j] for j in range(s[0], s[1]))]
+        chosen |= {j for j in range(own[0][0], own[-1][1]) if not _is_main(rows[j].holder)}
+    return "\n\n".join(rows[j].text for j in sorted(chosen) if rows[j].text and not rows[j].out)
+
+
+def _teasers(rows: list[Line], prose: list[int]) -> set[int]:
+    """Main elements without text but links and headings, where another one has some."""
+    told: dict[int, int] = {}
+    for r, w in zip(rows, prose, strict=True):
+        if _is_main(r.holder) and r.text and not r.out:
+            told[r.holder] = told.get(r.holder, 0) + (0 if r.heading else w)
+    return {h for h, n in told.items() if not n} if any(told.values()) else set()
+
+
+def _menus(rows: list[Line], prose: list[int], teasers: set[int]) -> list[tuple[int, int]]:
+    """Runs of at least WINDOW lines of links at either end of a main element."""
+    found, at = [], 0
+    for holder, group in itertools.groupby(rows, lambda r: r.holder):
+        own = list(group)
+        if _is_main(holder) and holder not in teasers:
+            text = [j for j in range(at, at + len(own)) if rows[j].text and not rows[j].out]
+            solid = [k for k, j in enumerate(text) if prose[j]]
+            if solid:
+                before, behind = text[: solid[0]], text[solid[-1] + 1 :]
+                found += [(run[0], run[-1] + 1) for run in (before, behind) if len(run) >= WINDOW]
+        at += len(own)
+    return found
 
 
 def _fullest(lines: Lines, weight: list[int]) -> list[bool]:

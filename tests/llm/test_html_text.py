@@ -78,17 +78,63 @@ def test_wrappers_named_like_furniture_do_not_take_the_article_along():
     assert main_text(f"<article>{body}</article><div class=sidebar>{said}</div>") == text
 
 
-def test_the_distribution_tells_articles_from_teasers(monkeypatch):
-    body = "".join(f"<p>Paragraph {i} has a good number of words in it.</p>" for i in range(12))
-    text = "\n\n".join(f"Paragraph {i} has a good number of words in it." for i in range(12))
-    teaser = "<article><p>Read more.</p></article>"
-    one, two = f"<article>{body}</article>", f"<main>{body}</main>"
-    assert main_text(f"<body>{one}<div>Between</div>{two}</body>") == text + "\n\n" + text
-    assert main_text(f"<body>{one}<div>{teaser}{teaser}</div></body>") == text
-    misplaced = f"<body><div>{body}</div><div>{teaser}</div></body>"
-    assert main_text(misplaced).startswith(text)
-    monkeypatch.setattr(html_text, "OUTWEIGHED", float("inf"))  # without the stretches' weights the teaser wins
-    assert main_text(misplaced) == "Read more."
+BODY = [f"Paragraph {i} has a good number of words in it." for i in range(12)]
+LONG = "".join(f"<p>{x}</p>" for x in BODY)
+LONG_TEXT = "\n\n".join(BODY)
+
+
+def test_all_articles_stay_and_teasers_made_of_links_go():
+    one, two = f"<article>{LONG}</article>", f"<main>{LONG}</main>"
+    teaser = "<article><h3><a href=x>Another one</a></h3><a href=x>Read more.</a></article>"
+    assert main_text(f"<body>{one}<div>Between</div>{two}</body>") == LONG_TEXT + "\n\n" + LONG_TEXT
+    assert main_text(f"<body>{one}<div>{teaser}{teaser}</div></body>") == LONG_TEXT
+    assert main_text(f"<body>{one}<article><p>Short.</p></article></body>") == LONG_TEXT + "\n\nShort."
+    assert main_text(f"<body><div>{LONG}</div><div><article><p>Read more.</p></article></div></body>") == LONG_TEXT + "\n\nRead more."
+    assert main_text(f"<body>{teaser}</body>") == "Another one\n\nRead more."  # all that there is
+
+
+def test_an_article_within_any_wrapper_stays():
+    for name in ("form", "aside", "nav", "dialog", "header", "footer"):
+        for mark in ("", " class=sidebar", " id=comments", " role=search"):
+            assert main_text(f"<body><div>Menu</div><{name}{mark}><article>{LONG}</article></{name}><footer>End</footer></body>") == LONG_TEXT, (name, mark)
+    assert main_text(f"<body><nav><a href=x>Home</a></nav><form id=aspnet><div>{LONG}</div></form></body>") == LONG_TEXT
+
+
+def test_comments_adverts_and_sidebars_by_their_names():
+    for mark in ("class=comment-list", "class=commentlist", "class=ad-slot", "class='sidebar-left wide'", "id=disqus_thread", "class=ad_box_2", "class=newsletter-form", "id=comments-section", "class=footer-nav"):
+        said = f"<div {mark}><p>{'Something else that somebody said here. ' * 4}</p></div>"
+        assert main_text(f"<article>{LONG}{said}</article>") == LONG_TEXT, mark
+        assert main_text(f"<body><div id=content>{LONG}</div>{said}</body>") == LONG_TEXT, mark
+    assert main_text(f"<body><div class=page-header>Site name and claim</div><div>{LONG}</div><div class=site-footer>Foot of the page</div></body>") == LONG_TEXT
+    for mark in ("class=no-sidebar", "class=has-comments", "class=commentary", "class=additional", "class=headerless", "class=administration"):
+        assert main_text(f"<article><div {mark}>{LONG}</div></article>") == LONG_TEXT, mark
+
+
+def test_names_that_ordinary_sections_have_too():
+    prose = "A section on how people live together, which is longer than a row of buttons would ever be."
+    for mark in ("social", "related", "side", "share-block", "widget"):
+        assert main_text(f"<article>{LONG}<section class={mark}><p>{prose}</p></section></article>") == LONG_TEXT + "\n\n" + prose, mark
+        assert main_text(f"<article>{LONG}<p class={mark}>{prose}</p></article>") == LONG_TEXT + "\n\n" + prose, mark
+        assert main_text(f"<article>{LONG}<div class={mark}><a href=x>{prose}</a><span>Share</span></div></article>") == LONG_TEXT, mark
+
+
+def test_menus_in_cells_and_at_the_ends_of_articles():
+    for menu in ("Home<br>About<br>Contact", "<p>Home</p><p>About</p><p>Contact</p>", "<a href=1>Home</a> <a href=2>About</a>"):
+        assert main_text(f"<table><tr><td>{menu}</td><td>{LONG}</td></tr></table>") == LONG_TEXT, menu
+        assert main_text(f"<table><tr><td>{LONG}</td><td>{menu}</td></tr></table>") == LONG_TEXT, menu
+    links = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(5))
+    listed = "\n\n".join(f"Link {i}" for i in range(5))
+    assert main_text(f"<article><ul>{links}</ul><h1><a href=x>Title</a></h1>{LONG}<ul>{links}</ul></article>") == "Title\n\n" + LONG_TEXT
+    assert main_text(f"<article><h1>Title</h1>{LONG}<ul>{links}</ul>{LONG}</article>") == f"Title\n\n{LONG_TEXT}\n\n{listed}\n\n{LONG_TEXT}"
+    assert main_text(f"<article>{LONG}<p><a href=x>Source</a></p></article>") == LONG_TEXT + "\n\nSource"
+
+
+def test_without_names_the_distribution_finds_the_same_articles(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    bare = [re.sub("<(/?)(?:article|nav)>", r"<\1div>", p) for p in pages]
+    assert [main_text(p) for p in bare] == [article(p) for p in pages]
+    monkeypatch.setattr(html_text, "stretches", lambda weight: [(0, len(weight), sum(weight))])
+    assert all(main_text(b) != article(p) for b, p in zip(bare, pages, strict=True))
 
 
 def test_broken_markup_is_read_in_linear_time():
