@@ -6,10 +6,18 @@ direction per node and split at the median of a bounded sample (the SAMPLE vecto
 hashes of vec_id); deeper levels, which only a larger corpus needs, have one direction per level and
 split at zero.  The number of levels follows the number of classes, so leaves keep their size.
 
-Within a leaf all pairs are compared by cosine: in single precision first, and in double precision where
-that is too close to the threshold to tell.  A leaf that stays large, as one of near copies of each other
-does, is cut into chunks, and each pair of chunks is a task of its own, which holds a block of the pairs
-at a time.  A pair that meets in several leaves is counted in the first one only: tasks find the leaves of
+A node of a tree is cut where the fewest vectors of the sample lie within the margin; one in which MOST_BOTH would go
+both ways wherever it is cut is not split any more, so a dense group does not multiply.
+
+Dense groups are taken out first: a core is a ball so narrow that any two vectors in it are as near as
+asked, whatever their places in it.  Its members need no comparison with each other; they count each
+other's weights.  Cores are found in the sample (at most CORES of them, with CORE vectors of the sample each; a
+group that is missed is compared like others), and the trees are fitted to the rest of the sample.
+
+Within a leaf all other pairs are compared by cosine: in single precision first, and in double precision where
+that is too close to the threshold to tell.  A leaf is cut into chunks of vectors outside cores and chunks of
+each core, and each pair of chunks but those of one core, or of cores too far apart, is a task of its own, which
+holds a block of the pairs at a time.  A pair that meets in several leaves is counted in the first one only: tasks find the leaves of
 linked vectors anew from the trees, so what travels to a leaf is the vector as it was given, and no pair
 ever becomes a row.  Tasks return link counts, and edges to the root of each local component.
 
@@ -43,6 +51,14 @@ BLOCK = 512
 SAMPLE = 20_000
 #: Levels with a direction and a median of their own for every node.
 FITTED_LEVELS = 9
+#: A core has so many vectors of the sample at least, and there are so many cores at most.
+CORE = 16
+CORES = 1024
+CORE_SHIFT = 32
+#: Places of a cut that are tried, as shares of a node's vectors that lie before it.
+CUTS = (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8)
+#: A node is not split where more than this share of its vectors would go both ways, and cut elsewhere than in the middle beyond half of it.
+MOST_BOTH = 0.35
 #: Half the width, in units of a random projection's deviation, within which a vector goes both ways.
 MARGIN = 0.16
 
@@ -55,6 +71,8 @@ class Forest:
     cuts: np.ndarray
     deeper: np.ndarray
     margin: float
+    #: Whether nodes of the last fitted level are split further.
+    split: np.ndarray
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs, in order of the rows; leaf numbers differ between trees."""
@@ -62,12 +80,17 @@ class Forest:
         for tree in range(len(self.directions)):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
             fitted = int(np.log2(self.directions.shape[1] + 1))
+            further = np.zeros(0, bool)
             for level in range(fitted + self.deeper.shape[1]):
                 if level < fitted:
                     at = np.einsum("ij,ij->i", x[row], self.directions[tree, node]) - self.cuts[tree, node]
                 else:
+                    if level == fitted:
+                        further = self.split[tree, node - ((1 << fitted) - 1)]
                     at = np.einsum("ij,j->i", x[row], self.deeper[tree, level - fitted])  # the same for a row in any batch
+                    at = np.where(further, at, -np.inf)
                 left, right = at <= self.margin, at >= -self.margin
+                further = np.concatenate((further[left], further[right])) if level >= fitted else further
                 row = np.concatenate((row[left], row[right]))
                 node = np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
             rows.append(row)
@@ -85,31 +108,90 @@ def grow(sample: np.ndarray, classes: int, dim: int, trees: int = TREES, leaf: i
     directions = draw.normal(size=(trees, (1 << fitted) - 1, dim))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
     cuts = np.zeros(directions.shape[:2])
+    split = np.ones((trees, 1 << fitted), bool)
+    margin = MARGIN / np.sqrt(dim)
     for tree in range(trees):
-        held = {0: sample}
+        held = {0: (sample, True)}
         for node in range(directions.shape[1]):
-            own = held.pop(node)
+            own, further = held.pop(node)
             at = own @ directions[tree, node]
-            cuts[tree, node] = np.median(at) if len(at) else 0.0
-            held[2 * node + 1], held[2 * node + 2] = own[at <= cuts[tree, node]], own[at > cuts[tree, node]]
+            cuts[tree, node], further = _cut(at, margin) if further else (np.inf, False)
+            side = at <= cuts[tree, node]
+            held[2 * node + 1], held[2 * node + 2] = (own[side], further), (own[~side], further)
+        for node, (_, further) in held.items():
+            split[tree, node - directions.shape[1]] = further
     deeper = draw.normal(size=(trees, levels - fitted, dim))
     deeper /= np.linalg.norm(deeper, axis=2, keepdims=True) if deeper.size else 1
-    return Forest(directions, cuts, deeper, MARGIN / np.sqrt(dim))
+    return Forest(directions, cuts, deeper, margin, split)
+
+
+def _cut(at: np.ndarray, margin: float) -> tuple[float, bool]:
+    """Where to split a node, and whether to: not where most of its vectors would go both ways."""
+    if not len(at):
+        return 0.0, True
+    places = np.quantile(at, CUTS)
+    both = (np.abs(at[:, None] - places) <= margin).mean(0)
+    best = int(both.argmin()) if 2 * both[0] > MOST_BOTH else 0
+    return (float(places[best]), True) if both[best] <= MOST_BOTH or len(at) < 8 else (np.inf, False)
+
+
+def cores(sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of dense groups among unit vectors, and which of the vectors lie within one.
+
+    All vectors with this cosine to a centre are at least as near as the threshold to each other, as half the
+    angle is kept to the centre.
+    """
+    near = core_cosine(threshold)
+    free = np.ones(len(sample), bool)
+    x = sample.astype(np.float32)
+    around = np.concatenate([(x[a : a + 2048] @ x.T >= threshold).sum(1) for a in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
+    centres: list[np.ndarray] = []
+    tried = 0
+    for i in np.argsort(-around, kind="stable"):
+        if around[i] < CORE or len(centres) == CORES or tried == 2 * CORES:
+            break
+        if not free[i]:
+            continue
+        tried += 1
+        mine = free & (sample @ sample[i] >= threshold)
+        for _ in range(2):
+            centre = sample[mine].mean(0)
+            centre /= np.linalg.norm(centre)
+            mine = free & (sample @ centre >= near)
+            if mine.sum() < CORE:
+                break
+        else:
+            centres.append(centre)
+            free &= ~mine
+    return np.array(centres).reshape(-1, sample.shape[1]), ~free
+
+
+def core_cosine(threshold: float) -> float:
+    """The cosine to a centre from which on two vectors are surely as near as the threshold."""
+    return float(np.cos(np.arccos(np.clip(threshold, -1, 1)) / 2)) + 1e-7
 
 
 def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    """Unit vectors; scaled by their largest components first, so that no square overflows or vanishes."""
     x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _place(shared, dim: int):
+def _place(shared, centres, dim: int, threshold: float):
+    """Leaves of vectors, and the core that a vector is in, or -1."""
+    near = core_cosine(threshold)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                row, leaf = forest.leaves(_unit(part, dim))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(leaf)], ["rep", "leaf"])
+                x = _unit(part, dim)
+                cosine = np.einsum("ij,kj->ik", x, centres.value)
+                core = np.where(cosine.max(1) >= near, cosine.argmax(1), -1) if cosine.shape[1] else np.full(len(x), -1)
+                row, leaf = forest.leaves(x)
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(leaf), pa.array(core[row].astype(np.int64))], ["rep", "leaf", "core"])
 
     return place
 
@@ -241,11 +323,26 @@ def _links(classes: DataFrame, count: int, dim: int, threshold: float, tables: l
     # A sample of fixed size.
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().to_batches() if count else []
     fit = np.concatenate([_unit(b, dim) for b in sample]) if sample else np.zeros((0, dim))
-    shared = spark.sparkContext.broadcast(grow(fit, count, dim))
-    entries = store(classes.select("rep", "embedding").mapInArrow(_place(shared, dim), "rep long, leaf long"), "leaves")
+    centres, dense = cores(fit, threshold) if len(fit) else (np.zeros((0, dim)), np.zeros(0, bool))
+    shared = spark.sparkContext.broadcast(grow(fit[~dense], count, dim))
+    told = spark.sparkContext.broadcast(centres)
+    entries = store(classes.select("rep", "embedding").mapInArrow(_place(shared, told, dim, threshold), "rep long, leaf long, core long"), "leaves")
     tables.append(entries)
-    chunks = entries.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("size")).filter("size > 1").select("leaf", "chunks")
-    full = entries.join(chunks, "leaf").join(classes, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    paired = full.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tasks = paired.withColumn("first", F.least("chunk", "other")).withColumn("second", F.greatest("chunk", "other")).drop("chunks", "other")
-    return tasks.groupBy("leaf", "first", "second").applyInArrow(_compare(shared, threshold, dim), "id long, links long, root long")
+    # Chunks have numbers: from 0 outside cores, from (core + 1) << CORE_SHIFT in a core.
+    counts = entries.groupBy("leaf", "core").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("long"))
+    first = F.shiftleft(F.col("core") + 1, CORE_SHIFT)
+    numbers = counts.select("leaf", "n", F.sequence(first, first + F.col("chunks") - 1).alias("numbers"))
+    leaves = numbers.groupBy("leaf").agg(F.sum("n").alias("size"), F.flatten(F.collect_list("numbers")).alias("others")).filter("size > 1").select("leaf", "others")
+    # CORES rows at most.
+    apart = centres @ centres.T < np.cos(min(np.pi, 2 * np.arccos(core_cosine(threshold)) + np.arccos(threshold))) - 1e-6
+    near = spark.createDataFrame([(k, [int(i) for i in np.flatnonzero(~apart[k]) if i != k]) for k in range(len(centres))], "core long, near array<long>")
+    placed = entries.join(counts.select("leaf", "core", "chunks"), ["leaf", "core"]).join(leaves, "leaf").join(F.broadcast(near), "core", "left")
+    own = F.shiftleft(F.col("core") + 1, CORE_SHIFT) + F.pmod(F.xxhash64("rep"), F.col("chunks"))
+    other = F.explode(F.filter("others", lambda o: (F.col("core") < 0) | (o < 1 << CORE_SHIFT) | F.array_contains("near", F.shiftright(o, CORE_SHIFT) - 1)))
+    paired = placed.select("leaf", "rep", own.alias("chunk"), other.alias("other"))
+    tasks = paired.select("leaf", "rep", "chunk", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second")).join(classes, "rep")
+    compared = tasks.groupBy("leaf", "first", "second").applyInArrow(_compare(shared, threshold, dim), "id long, links long, root long")
+    # Within a core every two classes are linked.
+    members = entries.filter("core >= 0").select("rep", "core").distinct().join(classes.select("rep", "weight"), "rep")
+    cored = members.groupBy("core").agg(F.sum("weight").alias("total"), F.min("rep").alias("root"))
+    return compared.unionByName(members.join(F.broadcast(cored), "core").select(F.col("rep").alias("id"), (F.col("total") - F.col("weight")).alias("links"), "root"))  # CORES rows at most

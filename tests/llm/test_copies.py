@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import embedding_copies, near_copies
@@ -180,3 +181,62 @@ def test_cosines_at_the_threshold_are_told_in_double_precision():
     exact = x @ x.T
     for threshold in exact[np.triu_indices(60, 1)][:40]:
         assert (embedding_copies._near(x, x, threshold + 1e-12) == (exact >= threshold + 1e-12)).all()
+
+
+def clustered(n, dim=64, cosine=0.97, seed=9):
+    """Unit vectors of which a third are near one direction, so that two of these have about the cosine."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    hot = n // 3
+    x[:hot] = rng.normal(size=dim) / np.sqrt(dim) * np.sqrt(cosine) + rng.normal(size=(hot, dim)) / np.sqrt(dim) * np.sqrt(1 - cosine)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), hot
+
+
+@pytest.mark.parametrize("cosine", [0.97, 0.93])
+def test_a_dense_group_does_not_multiply(spark, cosine):
+    x, hot = clustered(20_000, cosine=cosine)
+    order = np.random.default_rng(1).permutation(len(x))
+    centres, dense = embedding_copies.cores(x[order], 0.9)
+    if cosine == 0.97:
+        assert dense.sum() >= 0.9 * hot and len(centres) == 1
+    for classes in (20_000, 1_000_000, 100_000_000):
+        forest = embedding_copies.grow(x[order][~dense], classes, 64)
+        row, _ = forest.leaves(np.concatenate((x[:300], x[-300:])))
+        copies = np.bincount(row, minlength=600)
+        assert copies[:300].mean() < 2 * copies[300:].mean(), (classes, copies[:300].mean(), copies[300:].mean())
+    if cosine == 0.97:
+        frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+        got = {r.vec_id: r for r in embedding_copies.near_embeddings(frame).collect()}
+        want = np.concatenate([(x[a : a + 2000] @ x.T >= 0.9).sum(1) - 1 for a in range(0, len(x), 2000)])
+        assert all(got[i].n_links == want[i] for i in range(hot)) and all(got[i].component_id == 0 for i in range(hot))
+        assert np.mean([got[i].n_links == want[i] for i in range(len(x))]) > 0.999
+
+
+def test_members_of_a_core_are_surely_linked():
+    rng = np.random.default_rng(3)
+    for threshold in (0.9, 0.5, 0.0, -0.5):
+        near = embedding_copies.core_cosine(threshold)
+        centre = np.eye(8)[0]
+        side = rng.normal(size=(500, 8)) * (np.arange(8) > 0)
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        x = near * centre + np.sqrt(1 - near**2) * np.concatenate((side, -side))  # on the rim, some opposite each other
+        assert (x @ x.T).min() >= threshold
+
+
+def test_near_cores_are_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(embedding_copies, "CHUNK", 30)
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=16)
+    b = a + rng.normal(size=16) * 0.6
+    rows = [(i, (c + rng.normal(size=16) * 0.1).tolist()) for i, c in enumerate([a, b, -a] * 100)]
+    assert len(embedding_copies.cores(np.array([np.array(v) / np.linalg.norm(v) for _, v in rows]), 0.9)[0]) >= 3
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_copies.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_vectors(rows)
+
+
+def test_doubles_of_any_size(spark):
+    rows = [(i, [s, s * k]) for i, (s, k) in enumerate([(1e200, 1.0), (1e200, 1.01), (1e-200, 1.0), (5e-324, 1.0), (1.7e308, 1.0), (1e200, -1.0), (3.0, 3.0)])]
+    got = {r.vec_id: r.n_links for r in embedding_copies.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(v) / max(map(abs, v)) for _, v in rows]
+    unit = np.array([v / np.linalg.norm(v) for v in unit])
+    assert got == dict(enumerate(((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))
