@@ -51,6 +51,8 @@ FEW = 16
 DEPTH = 24
 #: Signatures that agree in fewer places than this share are not compared further.
 LEAST_AGREEMENT = 0.5
+#: Bits of the filter of texts that are compared in full.
+FILTER_BITS = 1 << 26
 #: Classes of a large node among which its pivot is chosen.
 CANDIDATES = 32
 
@@ -201,6 +203,43 @@ def _linked(both, x, y, percent: int):
     return (both > 0) & (100 * both >= percent * (x + y - both))
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of some ranges, one after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _asked(code: np.ndarray, first: np.ndarray, size: np.ndarray, common: np.ndarray, percent: int) -> Callable[[int], np.ndarray]:
+    """Tells which of some sets are linked with one of them.
+
+    Linked sets share one of their rarest shingles, as many as may be missing and one more; only sets that do are
+    compared, so sets that have what is frequent in common cost nothing.
+    """
+    n, place = len(size), np.empty(len(common), np.int64)
+    place[np.argsort(common, kind="stable")] = np.arange(len(common))  # rare ones first
+    owner = np.repeat(np.arange(n), size)
+    rare = place[code]
+    rare = rare[np.lexsort((rare, owner))]
+    prefix = size - -(-percent * size // 100) + 1
+    head = rare[_ranges(first, prefix)]
+    by = np.argsort(head, kind="stable")
+    posting, holder = head[by], np.repeat(np.arange(n), prefix)[by]
+    mark = np.zeros(len(common), np.int64)
+
+    def linked(i: int) -> np.ndarray:
+        own = rare[first[i] : first[i] + size[i]]
+        low, high = (np.searchsorted(posting, own[: prefix[i]], side) for side in ("left", "right"))
+        near = np.zeros(n, bool)
+        near[holder[_ranges(low, high - low)]] = True
+        some = np.flatnonzero(near)
+        mark[own] = 1
+        both = np.add.reduceat(mark[rare[_ranges(first[some], size[some])]], np.cumsum(size[some]) - size[some])
+        mark[own] = 0
+        near[some] = _linked(both, size[i], size[some], percent)
+        return near
+
+    return linked
+
+
 def _compare(percent: int):
     """(a, b): every class that is not the first of its component within the cluster, and that first one."""
 
@@ -220,15 +259,7 @@ def _compare(percent: int):
                 size = np.diff(found.first[a : b + 1])
                 known, code = np.unique(found.flat[lo : found.first[b]], return_inverse=True)
                 common = np.bincount(code, minlength=len(known))
-                mark = np.zeros(len(known), np.int64)
-
-                def linked(i, code=code, first=first, size=size, mark=mark):
-                    own = code[first[i] : first[i] + size[i]]
-                    mark[own] = 1
-                    both = np.add.reduceat(mark[code], first)
-                    mark[own] = 0
-                    return _linked(both, size[i], size, percent)
-
+                linked = _asked(code, first, size, common, percent)
                 root[a:b] = a + _connect(np.add.reduceat(common[code], first) / size, linked)
             moved = np.flatnonzero(root != np.arange(len(cid)))
             yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[root[moved]])], ["a", "b"])
@@ -241,6 +272,33 @@ def _by(frame: DataFrame, key: str) -> DataFrame:
     return frame.repartition(key).sortWithinPartitions(key)
 
 
+def _wanted_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_key, text) of docs that may be among the rows, each once in a task.
+
+    A filter of fixed size tells them from the others, so that no other text is shuffled; a few others pass.
+    """
+    size = FILTER_BITS
+    bit = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(size))
+    bytes_ = rows.groupBy((bit / 8).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, CAST(pmod(xxhash64(doc_id, text_key), {size}) % 8 AS INT))")).alias("bits")).toArrow()  # a row per byte at most
+    table = np.zeros(size // 8, np.uint8)
+    table[bytes_["at"].to_numpy()] = bytes_["bits"].to_numpy().astype(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            keep = []
+            for i in np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                key = (batch.column("doc_id")[i].as_py(), batch.column("text_key")[i].as_py())
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            yield batch.select(["doc_id", "text_key", "text"]).take(pa.array(keep, pa.int64()))
+
+    return docs.filter("doc_id IS NOT NULL").withColumn("bit", bit).mapInArrow(pick, "doc_id long, text_key long, text string")
+
+
 def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, set) of the wanted classes, each from the text of its first row."""
 
@@ -251,9 +309,10 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 blobs = [found[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(blobs, pa.binary())], ["cid", "set"])
 
-    rows = classes.join(wanted.distinct(), "cid", "left_semi").select("cid", "first.doc_id", "first.text_key")
-    texts = docs.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))  # repeated rows go before the shuffle
-    return texts.join(rows, ["doc_id", "text_key"]).select("cid", "text").mapInArrow(make, "cid long, set binary")
+    rows = store(classes.join(wanted.distinct(), "cid", "left_semi").select("cid", "first.doc_id", "first.text_key"), "wanted")
+    # Repeated rows of several tasks meet in the join, whose partitions the grouping keeps.
+    texts = _wanted_texts(docs, rows).join(rows, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "cid").agg(F.first("text").alias("text"))
+    return texts.select("cid", "text").mapInArrow(make, "cid long, set binary")
 
 
 def _members(entries: DataFrame, classes: DataFrame) -> DataFrame:

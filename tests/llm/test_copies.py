@@ -1,6 +1,9 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_copies, near_copies
 from tessera.llm.components import components
@@ -117,6 +120,30 @@ def test_rows_of_one_id_keep_their_own_texts(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True)]
 
 
+def test_half_alike_sets_are_told_apart_in_bounded_time():
+    """A full node of sets that share half of their shingles and are not linked, and some that are."""
+    rng = np.random.default_rng(7)
+    shared = rng.integers(0, 1 << 63, 128, dtype=np.uint64)
+    found = [np.sort(np.concatenate((shared, rng.integers(0, 1 << 63, 128, dtype=np.uint64)))) for _ in range(near_copies.NODE - 40)]
+    found += [np.sort(np.concatenate((f[:240], rng.integers(0, 1 << 63, 16, dtype=np.uint64)))) for f in found[:40]]
+    batch = pa.RecordBatch.from_pydict({"node": np.zeros(len(found), np.int64), "cid": np.arange(len(found)), "set": [f.tobytes() for f in found]})
+    begun = time.process_time()
+    got = pa.Table.from_batches(list(near_copies._compare(75)(iter([batch])))).to_pydict()
+    assert time.process_time() - begun < 60
+    assert {frozenset(p) for p in zip(got["a"], got["b"], strict=True)} == {frozenset((i, near_copies.NODE - 40 + i)) for i in range(40)}
+
+
+def test_only_texts_that_are_compared_are_shuffled(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(2000)]
+    rows += [(3000 + i, rows[i][1] + " more") for i in range(20)] + [rows[5]] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    wanted = docs.filter("doc_id < 20 OR doc_id >= 3000").select("doc_id", "text_key").distinct()
+    picked = near_copies._wanted_texts(docs, wanted)
+    assert {r.doc_id for r in wanted.collect()} <= {r.doc_id for r in picked.collect()} and picked.count() < 60
+    got = result(near_copies.near_copies(docs.drop("text_key")))
+    assert all(got[3000 + i][1] == i for i in range(20)) and sum(not v[2] for v in got.values()) == 20
+
+
 def brute_vectors(rows):
     good = {}
     for i, v in rows:
