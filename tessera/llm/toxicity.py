@@ -4,7 +4,7 @@ A sentence's score is a logistic function of the features of its words (each wor
 of several lengths, lower-cased in A-Z and hashed); a document's score is the noisy-or of its sentences,
 1 - prod(1 - p).  Only document labels are known in training: the likelihood of the noisy-or is climbed
 by gradient steps over a bounded sample of labelled documents, the SAMPLE rows with the smallest hashes
-of doc_id.  Scoring covers every sentence of every document and can return the offending ones.
+of doc_id, as far as SAMPLE_BYTES of text, without documents of more than LONGEST_BYTES.  Scoring covers every sentence of every document and can return the offending ones.
 
 A null or empty text has no sentences and scores 0.  With no labels every score is the noisy-or of
 sentences at the starting bias.  Labels that are not 0 or 1 are left out; where a doc_id repeats, of the
@@ -30,9 +30,12 @@ from tessera.llm.text import _BASE, _TABLE, ALNUM, U64, Words, _window_sums, byt
 FEATURES = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)
 SAMPLE = 4000
+#: Bytes of text that train at most, in all and in one document; longer documents are scored, but do not train.
+SAMPLE_BYTES = 64 << 20
+LONGEST_BYTES = 4 << 20
 ROUNDS = 200
 START_BIAS = -6.0
-PENALTY = 0.7
+PENALTY = 0.2
 FEWEST = 5
 #: Sentences end at these bytes.
 SENTENCE = ~byte_class((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
@@ -99,10 +102,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
                     ["doc_id", "label", "sizes", "features"],
                 )
 
-    # The sample has a fixed bound, so it may be sent to every task.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    found = sample.mapInArrow(bags, "doc_id long, label int, sizes binary, features binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "features", "sizes").limit(2 * limit)
-    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.label, r.features))
+    # The sample has a fixed bound in rows, so it may be sent to every task; its texts are measured before any is read.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumns({"key": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("key")]
+    measured = rows.filter(F.col("size") <= LONGEST_BYTES).select("doc_id", "label", "key", "size").orderBy(*order).limit(2 * limit).collect()
+    total = np.cumsum([0, *(r.size for r in measured)])[1:]
+    picked = {(r.doc_id, r.label, r.key) for r, t in zip(measured, total.tolist(), strict=True) if t <= SAMPLE_BYTES}
+    taken = docs.sparkSession.createDataFrame(sorted(picked), "doc_id long, label int, key long")
+    # Rows that repeat are as many as were measured.
+    found = rows.join(F.broadcast(taken), ["doc_id", "label", "key"]).select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, sizes binary, features binary").limit(2 * limit).collect()
+    rows = sorted(found, key=lambda r: (r.doc_id, r.label, r.features))
     return train([np.frombuffer(r.sizes, "<i4") for r in rows], [np.frombuffer(r.features, "<i4") for r in rows], np.array([r.label for r in rows], float))
 
 

@@ -116,3 +116,17 @@ def test_sample_of_repeated_documents_is_bounded_in_order(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
     few = quality.labelled_counts(docs, labels, "quality", limit=3)
     assert len(few) == 6 and few == quality.labelled_counts(docs.repartition(7), labels, "quality", limit=3)
+
+
+def test_the_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    texts = ["bad thing. " * (1 + i % 3) for i in range(40)] + ["bad thing. " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda sizes, features, y: taken.append((len(y), sum(map(len, sizes)))))
+    for total, longest in ((1 << 20, 1 << 20), (1 << 20, 100), (200, 100), (0, 100)):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", total)
+        monkeypatch.setattr(toxicity, "LONGEST_BYTES", longest)
+        toxicity.fit(docs, labels)
+    (a, _), (b, _), (c, n), (d, _) = taken
+    assert (a, b, d) == (41, 40, 0) and 5 <= c < 20 and 11 * n <= 200 + 11
