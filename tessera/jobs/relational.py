@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits, rates
 from tessera.operators import asof, nested_index
-from tessera.operators.ordinals import exclusive_prefix_sum, next_value, position, skip_rows
+from tessera.operators.ordinals import exclusive_prefix_sum, next_value, position, previous_value, skip_rows
 from tessera.sources.records import player_of
-from tessera.sources.tables import read
+from tessera.sources.tables import read, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,8 +79,10 @@ def dup_accounting(spark, sf_dir):
 
 @query("SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_partkey) > 1 AS is_dup FROM lineitem")
 def adjacent_dup_flag(spark, sf_dir):
-    order = Window.partitionBy("l_partkey").orderBy("l_suppkey")
-    return lines(spark, sf_dir).select(*KEYS).withColumn("is_dup", F.coalesce(F.lag("l_suppkey").over(order) == F.col("l_suppkey"), F.lit(False)))
+    """Whether the row before in key order has the same key; a frequent key lies in as many ranges as it needs."""
+    rows = lines(spark, sf_dir).select(*KEYS, F.struct(*KEYS).alias("pair"), F.xxhash64("l_orderkey", "l_linenumber").alias("tie"))
+    told = previous_value(rows, [*KEYS, "tie"], "pair", "before")
+    return told.select(*KEYS, F.coalesce(F.col("before") == F.col("pair"), F.lit(False)).alias("is_dup"))
 
 
 # --- ordinals and windows --------------------------------------------------------------------------
@@ -128,9 +130,11 @@ def _spans(rows: DataFrame, depth: int) -> DataFrame:
     "z AS (SELECT l_partkey, xor(d << 1, d >> 63) AS z FROM d) SELECT l_partkey, CAST(sum(CASE WHEN z < 128 THEN 1 WHEN z < 16384 THEN 2 WHEN z < 2097152 THEN 3 ELSE 4 END) AS BIGINT) AS bytes FROM z GROUP BY 1"
 )
 def delta_zigzag_varint_size(spark, sf_dir):
-    keys = lines(spark, sf_dir).select(*KEYS).distinct()
-    delta = F.col("l_suppkey") - F.lag("l_suppkey", 1, 0).over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))
-    return keys.withColumn("d", delta).groupBy("l_partkey").agg(F.sum(bits.varint_length(bits.zigzag(F.col("d")))).alias("bytes"))
+    """Bytes of each part's suppliers as differences; a part with very many lies in several ranges."""
+    keys = lines(spark, sf_dir).select(*KEYS).distinct().withColumn("pair", F.struct(*KEYS))
+    told = previous_value(keys, KEYS, "pair", "before")
+    delta = F.col("l_suppkey") - F.when(F.col("before.l_partkey") == F.col("l_partkey"), F.col("before.l_suppkey")).otherwise(F.lit(0))
+    return told.withColumn("d", delta).groupBy("l_partkey").agg(F.sum(bits.varint_length(bits.zigzag(F.col("d")))).alias("bytes"))
 
 
 @query("SELECT l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (ORDER BY l_partkey, l_suppkey) AS rn FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) WHERE rn > 1000")
@@ -190,8 +194,8 @@ def nested_index_leaf(spark, sf_dir):
 @query(LEAF)
 def nested_expand(spark, sf_dir):
     """Full keys from prefixes, offsets and leaf patterns alone."""
-    rows = lines(spark, sf_dir)
-    return nested_index.expand(nested_index.level(rows, HIERARCHY, 3), nested_index.leaf(rows, HIERARCHY).select("position", "l_partkey"), HIERARCHY)
+    leaves = store(nested_index.leaf(lines(spark, sf_dir), HIERARCHY), "leaves")
+    return nested_index.expand(nested_index.level_of(leaves, HIERARCHY), leaves.select("position", "l_partkey"), HIERARCHY)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) <> 1")

@@ -23,6 +23,11 @@ def level(frame: DataFrame, keys: list[str], depth: int) -> DataFrame:
     return exclusive_prefix_sum(children, keys[:depth], F.col("children"), "offset")
 
 
+def level_of(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """The last prefix level from leaves that have their positions: its offsets are the least of them."""
+    return leaves.groupBy(*keys[:-1]).agg(F.min("position").alias("offset"), F.count("*").alias("children"))
+
+
 def expand(index: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
     """Rebuild full keys from the last prefix level and the leaf patterns by position.
 

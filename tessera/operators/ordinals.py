@@ -58,12 +58,23 @@ def carry_all(frame: DataFrame, keys: list[str | Column], columns: dict[str, Col
 
 def next_value(frame: DataFrame, keys: list[str | Column], column: str, name: str) -> DataFrame:
     """Add the column's value in the next row in key order; null in the last row."""
+    return _neighbour(frame, keys, column, name, F.lead, F.min_by)
+
+
+def previous_value(frame: DataFrame, keys: list[str | Column], column: str, name: str) -> DataFrame:
+    """Add the column's value in the row before in key order; null in the first row."""
+    return _neighbour(frame, keys, column, name, F.lag, F.max_by)
+
+
+def _neighbour(frame: DataFrame, keys: list[str | Column], column: str, name: str, step, edge) -> DataFrame:
+    """The value of a neighbouring row, which for the last or first row of a range lies in the next or previous range."""
     ranged = _ranged(frame, keys)
-    firsts = ranged.groupBy("__range").agg(F.min_by(F.struct(F.col(column).alias("v")), "__place").alias("__first"))
+    value = F.struct(F.col(column).alias("v"))
+    edges = ranged.groupBy("__range").agg(edge(value, "__place").alias("__edge"))
     # One row per range, whatever the size of the table.
-    nexts = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__next"))
-    own = F.lead(F.struct(F.col(column).alias("v"))).over(Window.partitionBy("__range").orderBy("__place"))
-    told = ranged.join(F.broadcast(nexts), "__range").select("*", F.coalesce(own, F.col("__next")).alias("__found"))
+    beyond = edges.select("__range", step("__edge").over(Window.orderBy("__range")).alias("__beyond"))
+    own = step(value).over(Window.partitionBy("__range").orderBy("__place"))
+    told = ranged.join(F.broadcast(beyond), "__range").select("*", F.coalesce(own, F.col("__beyond")).alias("__found"))
     return told.select(*frame.columns, F.col("__found.v").alias(name))
 
 

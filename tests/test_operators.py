@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits
 from tessera.operators import asof, nested_index
-from tessera.operators.ordinals import carry_all, carry_forward, exclusive_prefix_sum, first_rows, next_value, skip_rows
+from tessera.operators.ordinals import carry_all, carry_forward, exclusive_prefix_sum, first_rows, next_value, previous_value, skip_rows
 from tessera.sources import records
 from tessera.sources.metadata import footer_summary
 from tessera.sources.tables import shared_dir, store, temporary_tables
@@ -38,6 +38,7 @@ def test_several_carried_values_and_the_next_one(spark):
         want[k] = tuple(last)
     assert {r.k: (r.x, r.y) for r in carry_all(frame, ["k"], {"x": F.col("v"), "y": F.col("w")}).collect()} == want
     assert {r.k: r.after for r in next_value(frame, ["k"], "v", "after").collect()} == {k: rows[k + 1][1] if k + 1 < 300 else None for k in range(300)}
+    assert {r.k: r.past for r in previous_value(frame, ["k"], "v", "past").collect()} == {k: rows[k - 1][1] if k else None for k in range(300)}
     assert next_value(frame.limit(0), ["k"], "v", "after").count() == 0
 
 
