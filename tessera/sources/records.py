@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.metadata import file_sizes
+
 #: Writer options by tier.
 TIERS = {
     "plain": {"compression": "none"},
@@ -27,10 +29,10 @@ def write_records(frame: DataFrame, path: str, keys: list[str], tier: str = "pac
     ordered.write.options(**TIERS[tier]).parquet(path)
 
 
-def open_records(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame | None:
-    """The table, or None where a file is damaged or there is none with the columns asked for.
+def open_records(spark: SparkSession, path: str, schema: T.StructType = RECORD, rows: int | None = None, size: int | None = None) -> DataFrame | None:
+    """The table, or None where a file is damaged or there is none with the columns, rows or bytes asked for.
 
-    All footers are read, in tasks, so a damaged file is found before any row is used.
+    All footers are read, in tasks, so a damaged file is found before any row is used; rows are counted from them.
     """
     try:
         found = spark.read.option("mergeSchema", "true").parquet(path)
@@ -38,6 +40,10 @@ def open_records(spark: SparkSession, path: str, schema: T.StructType = RECORD)
         return None
     if any(f.name not in found.columns for f in schema):
         return None
+    if size is not None and file_sizes(found).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] != size:
+        return None
+    if rows is not None and found.count() != rows:
+        return None
     return found.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
 
 

@@ -29,6 +29,15 @@ def test_scan_refuses_what_is_no_record_file(spark, tmp_path):
     assert records.open_records(spark, f"{tmp_path}/other") is None
 
 
+def test_scan_refuses_other_rows_or_bytes_than_expected(spark, tmp_path):
+    records.write_records(spark.range(90).selectExpr("id AS hi", "id AS lo"), f"{tmp_path}/x", ["hi", "lo"])
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/x/*.parquet"))
+    assert records.open_records(spark, f"{tmp_path}/x", rows=90, size=size).count() == 90
+    assert records.open_records(spark, f"{tmp_path}/x", rows=91) is None and records.open_records(spark, f"{tmp_path}/x", size=size - 1) is None
+    os.unlink(glob.glob(f"{tmp_path}/x/*.parquet")[0])
+    assert records.open_records(spark, f"{tmp_path}/x", rows=90) is None
+
+
 def test_levels_are_pruned_and_segments_join(spark, tmp_path):
     rows = spark.range(40).select((F.col("id") % 4).cast("int").alias("level"), (F.col("id") % 2).cast("int").alias("player"), "id")
     records.write_levels(rows, f"{tmp_path}/levels")
