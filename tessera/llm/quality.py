@@ -140,8 +140,8 @@ def _right_singular(matrix: np.ndarray, rank: int, rounds: int = 12) -> np.ndarr
     return basis.astype(np.float32)
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> list:
-    """Term counts of the bounded sample; only they, not the texts, reach the driver."""
+def labelled_counts(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> list[tuple[int, int, bytes, bytes]]:
+    """(doc_id, label, terms, counts) of the bounded sample, the last two as bytes; no text reaches the driver."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -152,13 +152,13 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, label: str, limit: int =
         for batch in batches:
             for part in slices(batch, "text"):
                 offsets, terms, counts, _ = term_counts(part.column("text"))
-                at = pa.array(offsets, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(at, pa.array(terms)), pa.ListArray.from_arrays(at, pa.array(counts))], ["doc_id", "label", "terms", "counts"])
+                blobs = [[x[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] for x in (terms.astype("<u2"), counts.astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *(pa.array(b, pa.binary()) for b in blobs)], ["doc_id", "label", "terms", "counts"])
 
     # The sample has a fixed bound, so it may be sent to every task.
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "terms", "counts").limit(2 * limit).collect()
-    return sorted(rows, key=lambda r: (r.doc_id, r.label, r.terms, r.counts))
+    rows = sample.mapInArrow(count, "doc_id long, label int, terms binary, counts binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "terms", "counts").limit(2 * limit).collect()
+    return sorted((r.doc_id, r.label, bytes(r.terms), bytes(r.counts)) for r in rows)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -181,12 +181,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> Model:
     rows = labelled_counts(docs, labels, label, limit)
-    y = np.array([r.label for r in rows], float)
+    y = np.array([label for _, label, _, _ in rows], float)
     if not len(rows):
         return Model(np.zeros(TERMS), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
-    offsets = np.concatenate(([0], np.cumsum([len(r.terms) for r in rows]))).astype(np.int64)
-    terms = np.concatenate([np.array(r.terms, np.int64) for r in rows])
-    counts = np.concatenate([np.array(r.counts, float) for r in rows])
+    offsets = np.concatenate(([0], np.cumsum([len(t) // 2 for _, _, t, _ in rows]))).astype(np.int64)
+    terms = np.frombuffer(b"".join(t for _, _, t, _ in rows), "<u2").astype(np.int64)
+    counts = np.frombuffer(b"".join(c for *_, c in rows), "<u4").astype(float)
     n_docs, frequency = document_frequencies(docs)
     weight = np.where(frequency > 0, np.log((1 + n_docs) / (1 + frequency)) + 0.3, 0)
     weight[SHAPES:] *= WORD_WEIGHT
