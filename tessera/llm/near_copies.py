@@ -51,6 +51,8 @@ FEW = 16
 DEPTH = 24
 #: Signatures that agree in fewer places than this share are not compared further.
 LEAST_AGREEMENT = 0.5
+#: Shingles that are compared at once.
+BLOCK = 1 << 18
 #: Bits of the filter of texts that are compared in full.
 FILTER_BITS = 1 << 26
 #: Classes of a large node among which its pivot is chosen.
@@ -214,27 +216,39 @@ def _asked(code: np.ndarray, first: np.ndarray, size: np.ndarray, common: np.nda
     Linked sets share one of their rarest shingles, as many as may be missing and one more; only sets that do are
     compared, so sets that have what is frequent in common cost nothing.
     """
-    n, place = len(size), np.empty(len(common), np.int64)
-    place[np.argsort(common, kind="stable")] = np.arange(len(common))  # rare ones first
-    owner = np.repeat(np.arange(n), size)
-    rare = place[code]
-    rare = rare[np.lexsort((rare, owner))]
+    n, kinds = len(size), len(common)
+    place = np.empty(kinds, np.int64)
+    place[np.argsort(common, kind="stable")] = np.arange(kinds)  # rare ones first
+    keys = np.repeat(np.arange(n) * kinds, size)
+    keys += place[code]
+    keys.sort()  # in place: a cluster's shingles are held once
+    keys %= kinds
+    rare = keys.astype(np.int32)
+    del keys, place
     prefix = size - -(-percent * size // 100) + 1
     head = rare[_ranges(first, prefix)]
     by = np.argsort(head, kind="stable")
-    posting, holder = head[by], np.repeat(np.arange(n), prefix)[by]
-    mark = np.zeros(len(common), np.int64)
+    posting, holder = head[by], np.repeat(np.arange(n, dtype=np.int32), prefix)[by]
+    del head, by
+    mark = np.zeros(kinds, np.int32)
 
     def linked(i: int) -> np.ndarray:
         own = rare[first[i] : first[i] + size[i]]
         low, high = (np.searchsorted(posting, own[: prefix[i]], side) for side in ("left", "right"))
         near = np.zeros(n, bool)
-        near[holder[_ranges(low, high - low)]] = True
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            near[holder[a:b]] = True
         some = np.flatnonzero(near)
         mark[own] = 1
-        both = np.add.reduceat(mark[rare[_ranges(first[some], size[some])]], np.cumsum(size[some]) - size[some])
+        total = np.cumsum(size[some])
+        at = 0
+        while at < len(some):  # a block of the sets at a time
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, "right")))
+            part = some[at:to]
+            both = np.add.reduceat(mark[rare[_ranges(first[part], size[part])]], np.cumsum(size[part]) - size[part])
+            near[part] = _linked(both.astype(np.int64), size[i], size[part], percent)
+            at = to
         mark[own] = 0
-        near[some] = _linked(both, size[i], size[some], percent)
         return near
 
     return linked
@@ -259,8 +273,10 @@ def _compare(percent: int):
                 size = np.diff(found.first[a : b + 1])
                 known, code = np.unique(found.flat[lo : found.first[b]], return_inverse=True)
                 common = np.bincount(code, minlength=len(known))
+                score = np.add.reduceat(common[code], first) / size
                 linked = _asked(code, first, size, common, percent)
-                root[a:b] = a + _connect(np.add.reduceat(common[code], first) / size, linked)
+                del known, code
+                root[a:b] = a + _connect(score, linked)
             moved = np.flatnonzero(root != np.arange(len(cid)))
             yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[root[moved]])], ["a", "b"])
 
