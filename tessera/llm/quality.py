@@ -194,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     dense[_rows(offsets), terms] = _damped(offsets, counts) * weight[terms]
     basis = _right_singular(dense, RANK)
     model = Model(weight, basis, np.zeros((0, basis.shape[1]), np.float32), y, float(y.mean()))
-    model.vectors = model.embed(offsets, terms, counts)
+    blocks = [offsets[a : a + 257] for a in range(0, len(rows), 256)]  # a block's terms by RANK are held at once
+    model.vectors = np.concatenate([model.embed(o - o[0], terms[o[0] : o[-1]], counts[o[0] : o[-1]]) for o in blocks])
     return model
 
 
