@@ -2,35 +2,51 @@
 
 No window runs over the whole table in one task: rows are dealt by range of their keys and written once in
 order, with their place; what a range passes on to the next is one row, and within a range a window does
-the rest.  So no key, however frequent, and no group keeps its rows in one task.
+the rest.  So no key, however frequent, and no group keeps its rows in one task.  A task holds one range: there are
+as many as a shuffle has partitions, and more where those would outgrow RANGE_ROWS.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import store
 
 #: Bits of a place below the number of its range.
 PLACE_BITS = 33
+#: Rows that a task sorts or holds in a window, about.
+RANGE_ROWS = 1 << 18
 
 
-def _ranged(frame: DataFrame, keys: list[str | Column]) -> DataFrame:
-    """The rows, written in key order: __place grows along the whole order, __range numbers its ranges."""
-    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def ranges(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: those of a shuffle, and more where each would have over RANGE_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+
+
+def _ranged(frame: DataFrame, keys: list[str | Column]) -> tuple[DataFrame, int]:
+    """The rows, written in key order, and the number of ranges: __place grows along the whole order, __range numbers its ranges."""
+    n = ranges(frame.sparkSession, frame.count())
     ordered = frame.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id())
-    return store(ordered, "ranges").withColumn("__range", F.shiftright("__place", PLACE_BITS))
+    return store(ordered, "ranges").withColumn("__range", F.shiftright("__place", PLACE_BITS).cast("int")), n
+
+
+def _with_bases(ranged: DataFrame, n: int, bases: DataFrame) -> DataFrame:
+    """Each range in a task of its own, beside what it gets from the others.
+
+    By a hash of their numbers, ranges would meet in a task, and Spark would put tasks together by their bytes on disk.
+    """
+    return ranged.repartitionById(n, "__range").join(F.broadcast(bases), "__range")
 
 
 def exclusive_prefix_sum(frame: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """Add the sum of value over all rows whose keys come before; keys must identify rows."""
-    ranged = _ranged(frame.withColumn("__value", value.cast("long")), keys)
+    ranged, n = _ranged(frame.withColumn("__value", value.cast("long")), keys)
     totals = ranged.groupBy("__range").agg(F.sum("__value").alias("__total"))
     # One row per range, whatever the size of the table.
     bases = totals.select("__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__base"))
     before = F.sum("__value").over(Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(bases), "__range").withColumn(name, (F.col("__base") + before - F.col("__value")).cast("long")).drop("__range", "__place", "__value", "__base")
+    return _with_bases(ranged, n, bases).withColumn(name, (F.col("__base") + before - F.col("__value")).cast("long")).drop("__range", "__place", "__value", "__base")
 
 
 def position(frame: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
@@ -46,13 +62,13 @@ def carry_forward(frame: DataFrame, keys: list[str | Column], column: str, name:
 def carry_all(frame: DataFrame, keys: list[str | Column], columns: dict[str, Column]) -> DataFrame:
     """Add under each name the last value of its column that is not null, up to and with each row, in key order."""
     held = {name: f"__held_{i}" for i, name in enumerate(columns)}
-    ranged = _ranged(frame.withColumns({held[n]: c for n, c in columns.items()}), keys)
+    ranged, parts = _ranged(frame.withColumns({held[n]: c for n, c in columns.items()}), keys)
     ends = ranged.groupBy("__range").agg(*(F.max_by(h, F.when(F.col(h).isNotNull(), F.col("__place"))).alias(h) for h in held.values()))
     # One row per range, whatever the size of the table.
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ends.select("__range", *(F.last(h, ignorenulls=True).over(earlier).alias(f"{h}_base") for h in held.values()))
     own = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
-    told = ranged.join(F.broadcast(bases), "__range").select("*", *(F.coalesce(F.last(h, ignorenulls=True).over(own), F.col(f"{h}_base")).alias(f"{h}_found") for h in held.values()))
+    told = _with_bases(ranged, parts, bases).select("*", *(F.coalesce(F.last(h, ignorenulls=True).over(own), F.col(f"{h}_base")).alias(f"{h}_found") for h in held.values()))
     return told.select(*frame.columns, *(F.col(f"{h}_found").alias(n) for n, h in held.items()))
 
 
@@ -68,13 +84,13 @@ def previous_value(frame: DataFrame, keys: list[str | Column], column: str, name
 
 def _neighbour(frame: DataFrame, keys: list[str | Column], column: str, name: str, step, edge) -> DataFrame:
     """The value of a neighbouring row, which for the last or first row of a range lies in the next or previous range."""
-    ranged = _ranged(frame, keys)
+    ranged, n = _ranged(frame, keys)
     value = F.struct(F.col(column).alias("v"))
     edges = ranged.groupBy("__range").agg(edge(value, "__place").alias("__edge"))
     # One row per range, whatever the size of the table.
     beyond = edges.select("__range", step("__edge").over(Window.orderBy("__range")).alias("__beyond"))
     own = step(value).over(Window.partitionBy("__range").orderBy("__place"))
-    told = ranged.join(F.broadcast(beyond), "__range").select("*", F.coalesce(own, F.col("__beyond")).alias("__found"))
+    told = _with_bases(ranged, n, beyond).select("*", F.coalesce(own, F.col("__beyond")).alias("__found"))
     return told.select(*frame.columns, F.col("__found.v").alias(name))
 
 
@@ -84,7 +100,7 @@ def first_rows(frame: DataFrame, group: str, keys: list[str], n: int) -> DataFra
     Counts per range and group decide: ranges that lie before the n-th row are taken whole, and of the one that it
     lies in, the rows up to it.
     """
-    ranged = _ranged(frame, [group, *keys])
+    ranged, parts = _ranged(frame, [group, *keys])
     counts = ranged.groupBy(group, "__range").agg(F.count("*").alias("__n"))
     # One row per range and group that lies in it.
     before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -92,7 +108,7 @@ def first_rows(frame: DataFrame, group: str, keys: list[str], n: int) -> DataFra
     taken = ranged.join(left, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__at")))
     whole = taken.filter("__n <= __left").select(*frame.columns)
     place = F.row_number().over(Window.partitionBy("__range", group).orderBy("__place"))
-    cut = taken.filter("__n > __left").withColumn("__nth", place).filter("__nth <= __left")
+    cut = taken.filter("__n > __left").repartitionById(parts, "__range").withColumn("__nth", place).filter("__nth <= __left")
     return whole.unionByName(cut.select(*frame.columns))
 
 

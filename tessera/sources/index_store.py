@@ -10,6 +10,9 @@ files by their ranges and the prefixes in them first; their intervals of ordinal
 scan of the leaves, which skips row groups.  Before use, the files are compared with the manifest in
 tasks: a file that is missing, was cut or is not listed refuses the index.
 
+Rows name their file by its number in the order of the manifest, which holds for one version: paths are long.
+Every task gets about as many rows as a file or as RANGE_ROWS, however many there are; the manifest is broadcast.
+
 Keys hold no nulls.  A manifest is a version of its own, written under its name at once: a merge that was
 stopped leaves the version before it, and files that no version lists are deleted by vacuum().
 """
@@ -25,13 +28,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.ordinals import carry_forward
+from tessera.operators.ordinals import carry_forward, ranges
 from tessera.sources.tables import store
 
 #: Intervals of ordinals that a scan of the leaves is given at most; neighbours are joined beyond it.
 INTERVALS = 64
 
 
+def _batch_counts(keys: list[str]):
+    def counts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            told = pa.Table.from_batches([batch]).group_by(keys).aggregate([([], "count_all")])
+            yield from told.select([*keys, "count_all"]).to_batches()
+
+    return counts
+
+
 class DamagedIndex(ValueError):
     """Files differ from what the manifest says."""
 
@@ -56,9 +70,10 @@ class IndexStore:
         return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"manifest/{n}/_SUCCESS")[1])), default=0)
 
     def manifest(self) -> DataFrame:
-        """(part, file, rows, prefixes, bytes, least, greatest, offset) of the files, one row each."""
+        """(file, rows, prefixes, bytes, least, greatest, offset, no) of the files, one row each."""
         told = self.spark.read.parquet(f"{self.path}/manifest/v{self.version()}")  # which must be there
-        return told.withColumn("offset", F.sum("rows").over(Window.orderBy("least")) - F.col("rows"))  # one row per file
+        order = Window.orderBy("least")  # one row per file
+        return told.withColumns({"offset": F.sum("rows").over(order) - F.col("rows"), "no": F.row_number().over(order) - 1})
 
     def _key(self, names: list[str] | None = None) -> Column:
         return F.struct(*(F.col(k) for k in names or self.keys))
@@ -67,7 +82,8 @@ class IndexStore:
         """Write rows, no file with rows of two parts, and a version of the manifest that lists them and the files kept."""
         where, version = f"{self.path}/data/{uuid.uuid4().hex}", self.version() + 1
         dealt = rows.withColumn("__part", part).repartitionByRange(n, "__part", *self.keys).withColumn("__task", F.spark_partition_id())
-        # What one task got of one part is one file, so this window is as large as a file.
+        # What one task got of one part is one file, so this window is as large as a file, and no task has more.
+        dealt = dealt.repartitionById(n, "__task")
         order = Window.partitionBy("__task", "__part").orderBy(*self.keys)
         prefix = self._key(self.keys[:-1])
         begins = ~F.coalesce(F.lag(prefix).over(order) == prefix, F.lit(False))
@@ -84,9 +100,10 @@ class IndexStore:
             F.count("*").alias("rows"), F.count_if("begins").alias("prefixes"), F.first("_metadata.file_size").alias("bytes"), F.min(self._key()).alias("least"), F.max(self._key()).alias("greatest")
         )
 
-    def files(self) -> list[str]:
-        """Paths of the files in key order: as many as a scan of them has anyway."""
-        return [r.file for r in self.manifest().orderBy("least").select("file").collect()]
+    def files(self, numbers: DataFrame | None = None) -> list[str]:
+        """Paths of the files in key order, or of those with these numbers (no): as many as a scan of them has anyway."""
+        told = self.manifest() if numbers is None else self.manifest().join(numbers.select("no").distinct(), "no", "left_semi")
+        return [r.file for r in told.orderBy("no").select("file").collect()]
 
     def _scan(self, files: list[str]) -> DataFrame:
         """(keys, ordinal, begins) of some files."""
@@ -97,7 +114,7 @@ class IndexStore:
 
     def build(self, frame: DataFrame) -> None:
         """The distinct keys of the frame as the first version."""
-        rows = store(frame.select(*self.keys).distinct(), "keys")
+        rows = store(self._counted(frame).select(*self.keys), "keys")
         self._write(rows, max(1, -(-rows.count() // self.rows_per_file)), F.lit("all"), None)
 
     def rows(self, files: list[str] | None = None) -> DataFrame:
@@ -105,8 +122,9 @@ class IndexStore:
         return self._scan(self.files() if files is None else files).select(*self.keys, "ordinal", "begins", F.col("_metadata.file_path").alias("file"))
 
     def _placed(self, rows: DataFrame) -> DataFrame:
-        """Rows of files with their place in the whole order."""
-        return rows.join(self.manifest().select("file", "offset"), "file").withColumn("position", F.col("offset") + F.col("ordinal"))
+        """Rows of files with the number of their file and their place in the whole order, as they are read: paths go no further."""
+        told = rows.join(F.broadcast(self.manifest().select("file", "no", "offset")), "file").drop("file")
+        return told.withColumn("position", F.col("offset") + F.col("ordinal"))
 
     def positions(self) -> DataFrame:
         """All keys with their places."""
@@ -145,34 +163,40 @@ class IndexStore:
 
     # --- search and merge ---------------------------------------------------------------------------
 
+    def _counted(self, frame: DataFrame) -> DataFrame:
+        """(keys, __rows) of the distinct keys: counted batch by batch first, so a hot key is a few rows of its task."""
+        asked = frame.select(*self.keys)
+        told = asked.mapInArrow(_batch_counts(self.keys), T.StructType([*asked.schema, T.StructField("count_all", T.LongType())]))
+        return told.repartition(ranges(self.spark, asked.count()), *self.keys).groupBy(*self.keys).agg(F.sum("count_all").alias("__rows"))
+
     def _in_files(self, frame: DataFrame) -> DataFrame:
-        """Keys with the file whose range they fall into: the last one that begins at or before them, or the first.
+        """Rows with the number of the file whose range their keys fall into: the last one that begins at or before them, or the first.
 
-        The files' beginnings and the keys lie in one order, and the file is carried on; nothing is broadcast.
+        The files' beginnings and the keys lie in one order, and the file is carried on.
         """
         told = self.manifest()
-        first = told.orderBy("least").select("file").first()
-        marks = told.select(*(F.col(f"least.{k}").alias(k) for k in self.keys), F.col("file").alias("__file"), F.lit(0).alias("__side"))
-        both = marks.unionByName(frame.select(*self.keys, F.lit(1).alias("__side")), allowMissingColumns=True)
-        carried = carry_forward(both, [*self.keys, "__side"], "__file", "__found").filter("__side = 1")
-        return carried.select(*self.keys, F.coalesce("__found", F.lit(first.file if first else "")).alias("file"))
+        marks = told.select(*(F.col(f"least.{k}").alias(k) for k in self.keys), F.col("no").alias("__no"), F.lit(0).alias("__side"))
+        both = marks.unionByName(frame.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+        carried = carry_forward(both, [*self.keys, "__side"], "__no", "__found").filter("__side = 1")
+        return carried.select(*frame.columns, F.coalesce("__found", F.lit(0)).alias("no"))
 
     def lookup(self, frame: DataFrame) -> DataFrame:
         """Rows of the frame with the position of their key; null where it is not in the index."""
-        wanted = store(self._in_files(frame.select(*self.keys).distinct()), "wanted")
-        files = [r.file for r in wanted.select("file").distinct().collect() if r.file]  # at most as many as the index has
-        found = self._placed(self.leaves(wanted, files)).select(*self.keys, "position")
+        wanted = store(self._in_files(self._counted(frame).select(*self.keys)), "wanted")
+        found = self._placed(self.leaves(wanted, self.files(wanted))).select(*self.keys, "position")
         return frame.join(found, self.keys, "left")
 
     def leaves(self, wanted: DataFrame, files: list[str]) -> DataFrame:
-        """(keys, ordinal, file) of the leaves that may be wanted (keys, file), in these files.
+        """(keys, ordinal, file) of the leaves that may be wanted (keys, no), in these files.
 
         The prefixes are found first; the leaves between each and the next one are an interval of ordinals.
         Of all intervals, those that begin in one of INTERVALS equal parts of a file are read as one.
         """
         rows, above = self.rows(files), self.keys[:-1]
-        ends = rows.filter("begins").withColumn("until", F.lead("ordinal").over(Window.partitionBy("file").orderBy("ordinal")))
-        inside = ends.join(wanted.select("file", *above).distinct(), ["file", *above], "left_semi")
+        prefixes = self.manifest().agg(F.sum("prefixes")).first()[0] or 0
+        dealt = self._placed(rows.filter("begins")).select(*above, "ordinal", "no").repartition(ranges(self.spark, prefixes), "no")
+        ends = dealt.withColumn("until", F.lead("ordinal").over(Window.partitionBy("no").orderBy("ordinal")))
+        inside = ends.join(wanted.select("no", *above).distinct(), ["no", *above], "left_semi")
         part = F.least(F.lit(INTERVALS - 1), F.floor(F.col("ordinal") * INTERVALS / self.rows_per_file))
         spans = inside.groupBy(part.alias("part")).agg(F.min("ordinal").alias("low"), F.max(F.coalesce("until", F.lit(1 << 62))).alias("high")).collect()
         pushed = reduce(Column.__or__, [(F.col("ordinal") >= r.low) & (F.col("ordinal") < r.high) for r in spans], F.lit(False))
@@ -180,17 +204,20 @@ class IndexStore:
 
     def merge(self, frame: DataFrame) -> dict:
         """Add keys; only files whose ranges new ones fall into are written again.  How many files stayed and went."""
-        given = store(self._in_files(frame.select(*self.keys).distinct()), "given")
-        hit = [r.file for r in given.select("file").distinct().collect()]  # at most as many as the index has
-        if hit == [""]:
-            self._write(given.select(*self.keys), max(1, -(-given.count() // self.rows_per_file)), F.lit("all"), None)
+        given = store(self._in_files(self._counted(frame).select(*self.keys)), "given")
+        told, asked = self.manifest(), given.count()
+        if not (held := told.agg(F.sum("rows")).first()[0]):
+            if asked:
+                self._write(given.select(*self.keys), max(1, -(-asked // self.rows_per_file)), F.lit("all"), None)
             return {"kept": 0, "rewritten": 0}
-        new = store(given.join(self.rows(hit).select(*self.keys), self.keys, "left_anti"), "new")
-        went = [r.file for r in new.select("file").distinct().collect()]
-        told = self.manifest()
+        # Both sides have each key once; the hash tables are of the index's keys.
+        n = ranges(self.spark, asked + held)
+        there = self.rows(self.files(given)).select(*self.keys).repartition(n, *self.keys).hint("shuffle_hash")
+        new = store(given.repartition(n, *self.keys).join(there, self.keys, "left_anti"), "new")
+        went, gone = self.files(new), new.select("no").distinct()
         if went:
-            every = store(self.rows(went).select(*self.keys, "file").unionByName(new), "every")
-            self._write(every, max(len(went), -(-every.count() // self.rows_per_file)), F.sha2("file", 256), told.filter(~F.col("file").isin(went)))
+            every = store(self._placed(self.rows(went)).select(*self.keys, "no").unionByName(new.select(*self.keys, "no")), "every")
+            self._write(every, max(len(went), -(-every.count() // self.rows_per_file)), F.col("no"), told.join(gone, "no", "left_anti"))
         return {"kept": told.count() - len(went), "rewritten": len(went)}
 
     def vacuum(self) -> int:

@@ -128,3 +128,12 @@ def test_an_empty_index_grows(spark, tmp_path):
     assert index.files() == [] and index.lookup(asked).first().position is None
     index.merge(asked)
     assert index.lookup(asked).select(F.col("position")).first().position == 0 and placed(index) == {("a", 1, 1): 0}
+
+
+def test_a_task_writes_one_file(spark, tmp_path):
+    index = made(spark, f"{tmp_path}/x", some_rows(5, 1500))
+    index.merge(spark.createDataFrame(some_rows(6, 1500), "a string, b long, c long"))
+    new = index.files()
+    tasks = {os.path.basename(f)[:10] for f in new}  # part-00007
+    assert len(new) >= 12 and len(tasks) >= len(new) // 2  # a task at a border of two old files has one of each
+    assert placed(index) == {r: i for i, r in enumerate(sorted({*some_rows(5, 1500), *some_rows(6, 1500)}))}

@@ -2,12 +2,13 @@
 
 import random
 import threading
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import asof, nested_index
+from tessera.operators import asof, nested_index, ordinals
 from tessera.operators.ordinals import carry_all, carry_forward, exclusive_prefix_sum, first_rows, next_value, previous_value, skip_rows
 from tessera.sources import records
 from tessera.sources.metadata import footer_summary
@@ -42,6 +43,15 @@ def test_several_carried_values_and_the_next_one(spark):
     assert next_value(frame.limit(0), ["k"], "v", "after").count() == 0
 
 
+def test_a_task_holds_one_range_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(ordinals, "RANGE_ROWS", 50, raising=False)
+    frame = spark.createDataFrame([(k, k if k % 7 == 0 else None) for k in random.sample(range(2000), 2000)], "k long, v long")
+    for told in (carry_forward(frame, ["k"], "v", "x"), next_value(frame, ["k"], "k", "x"), exclusive_prefix_sum(frame.select("k"), ["k"], F.lit(1), "x")):
+        rows = told.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == 2000 and max(Counter(r.task for r in rows).values()) <= 150
+    assert {r.k: r.x for r in rows} == {k: k for k in range(2000)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 130, 10_000])
 def test_first_rows_of_a_hot_group_and_small_ones(spark, n):
     random.seed(6)
