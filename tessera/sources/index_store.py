@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.ordinals import carry_forward, ranges
+from tessera.operators.ordinals import RANGE_ROWS, carry_forward, ranges
 from tessera.sources.tables import store
 
 #: Intervals of ordinals that a scan of the leaves is given at most; neighbours are joined beyond it.
@@ -181,10 +181,24 @@ class IndexStore:
         return carried.select(*frame.columns, F.coalesce("__found", F.lit(0)).alias("no"))
 
     def lookup(self, frame: DataFrame) -> DataFrame:
-        """Rows of the frame with the position of their key; null where it is not in the index."""
-        wanted = store(self._in_files(self._counted(frame).select(*self.keys)), "wanted")
-        found = self._placed(self.leaves(wanted, self.files(wanted))).select(*self.keys, "position")
-        return frame.join(found, self.keys, "left")
+        """Rows of the frame with the position of their key; null where it is not in the index.
+
+        Tasks hold the index's keys as a hash table and the frame's rows pass by, unsorted.  A key of more than
+        RANGE_ROWS rows is dealt to as many tasks as it needs: there are fewer such keys than tasks.
+        """
+        wanted = store(self._in_files(self._counted(frame)), "wanted")
+        found = self._placed(self.leaves(wanted.drop("__rows"), self.files(wanted))).select(*self.keys, "position")
+        n = ranges(self.spark, frame.count())
+        hot = wanted.filter(F.col("__rows") > RANGE_ROWS).select(F.struct(*self.keys).alias("__hot"), F.ceil(F.col("__rows") / RANGE_ROWS).cast("int").alias("__tasks"))
+
+        def shared(rows: DataFrame, share: Column) -> DataFrame:
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__hot.{k}")) for k in self.keys])
+            told = rows.join(F.broadcast(hot), same, "left").withColumn("__tasks", F.coalesce("__tasks", F.lit(1)))
+            return told.withColumn("__share", share).drop("__hot", "__tasks").repartition(n, *self.keys, "__share")
+
+        left = shared(frame, (F.monotonically_increasing_id() % F.col("__tasks")).cast("int"))
+        right = shared(found, F.explode(F.sequence(F.lit(0), F.col("__tasks") - 1)))
+        return left.join(right.hint("shuffle_hash"), [*self.keys, "__share"], "left").select(*frame.columns, "position")
 
     def leaves(self, wanted: DataFrame, files: list[str]) -> DataFrame:
         """(keys, ordinal, file) of the leaves that may be wanted (keys, no), in these files.

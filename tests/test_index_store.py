@@ -2,10 +2,13 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import ordinals
+from tessera.sources import index_store
 from tessera.sources.index_store import DamagedIndex, IndexStore
 
 KEYS = ["a", "b", "c"]
@@ -137,3 +140,18 @@ def test_a_task_writes_one_file(spark, tmp_path):
     tasks = {os.path.basename(f)[:10] for f in new}  # part-00007
     assert len(new) >= 12 and len(tasks) >= len(new) // 2  # a task at a border of two old files has one of each
     assert placed(index) == {r: i for i, r in enumerate(sorted({*some_rows(5, 1500), *some_rows(6, 1500)}))}
+
+
+def test_a_task_of_a_lookup_does_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    for module in (ordinals, index_store):
+        monkeypatch.setattr(module, "RANGE_ROWS", 50, raising=False)
+    rows = some_rows(7, 1500)
+    index = made(spark, f"{tmp_path}/x", rows)
+    place = {r: i for i, r in enumerate(sorted(set(rows)))}
+    asked = [*rows, *[rows[3]] * 700, ("zz", 1, 1), (None, 1, 1), *[("a", None, 1)] * 300]  # hot keys, one of them with a null
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(asked)], "a string, b long, c long, id int")
+    found = index.lookup(frame)
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.id: r.position for r in got} == {i: place.get(r) for i, r in enumerate(asked)} and len(got) == len(asked)
+    assert found.columns == [*frame.columns, "position"]
+    assert max(Counter(r.task for r in got).values()) < 300  # of 2,502
